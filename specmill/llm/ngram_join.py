@@ -161,7 +161,8 @@ def ngram_join(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOL
     total = sized.groupBy("comp").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_sh") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = sized.join(total, "comp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = scratch.write(placed.select("comp", "node", "rep", "many", "own", "blocks"))
-    texts = docs.join(placed, docs.doc_id.eqNullSafe(placed.rep)).drop("doc_id", "rep")
+    # always a shuffle of both sides: a broadcast would hold only while the groups are few
+    texts = docs.join(placed.hint("merge"), docs.doc_id.eqNullSafe(placed.rep)).drop("doc_id", "rep")
     work = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     work = work.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "node", "many", "text")
     work = work.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "side", "node")
