@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .html_text import html_text
 from .mixing import ORACLE as MIXING_SQL
 from .mixing import mix_sources
+from .neighbours import ORACLE as NEAREST_SQL
+from .neighbours import nearest
 from .ngram_join import ngram_join
 from .quality import quality
 from .suffix_dedup import suffix_dedup
@@ -20,6 +23,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(spark, _table(spark, sf_dir, "documents"))
 
@@ -45,13 +52,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     return token_counts(_table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark, _table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ngram_join, op5_mix_sources, op6_suffix_dedup, op7_quality, op8_token_counts, op10_toxicity)}
+    return {f.__name__: f for f in (op1_html_text, op3_ngram_join, op5_mix_sources, op6_suffix_dedup, op7_quality, op8_token_counts, op9_nearest, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": MIXING_SQL}
+    return {"op5_mix_sources": MIXING_SQL, "op9_nearest": NEAREST_SQL}
