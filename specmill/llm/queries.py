@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import decontaminate
 from .html_text import html_text
 from .mixing import ORACLE as MIXING_SQL
 from .mixing import mix_sources
@@ -31,6 +32,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(spark, _table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark, _table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -61,7 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op3_ngram_join, op5_mix_sources, op6_suffix_dedup, op7_quality, op8_token_counts, op9_nearest, op10_toxicity)}
+    return {f.__name__: f for f in (op1_html_text, op3_ngram_join, op4_decontaminate, op5_mix_sources, op6_suffix_dedup, op7_quality, op8_token_counts, op9_nearest, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -43,7 +43,7 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def pieces(column: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def pieces(column: pa.Array, most_bytes: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most_bytes`` each, or of one row."""
     length = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     at = 0
