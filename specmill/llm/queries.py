@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .html_text import html_text
+from .lm_score import lm_scores
 from .mixing import ORACLE as MIXING_SQL
 from .mixing import mix_sources
 from .neighbours import ORACLE as NEAREST_SQL
@@ -28,6 +29,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(_table(spark, sf_dir, "pages"))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(spark, _table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(spark, _table(spark, sf_dir, "documents"))
 
@@ -66,7 +71,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op3_ngram_join, op4_decontaminate, op5_mix_sources, op6_suffix_dedup, op7_quality, op8_token_counts, op9_nearest, op10_toxicity)}
+    return {f.__name__: f for f in (op1_html_text, op2_lm_scores, op3_ngram_join, op4_decontaminate, op5_mix_sources, op6_suffix_dedup, op7_quality, op8_token_counts, op9_nearest, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
