@@ -79,6 +79,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return done.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "th")
 
 
+def mixed_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with the number of the epoch in ``epoch``."""
+    plan = mix_sources(spark, docs).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"), "th", "copies")
+    plan = plan.groupBy("_key", F.col("th").alias("_th")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))).withColumn("_th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    met = keyed.join(plan.hint("merge"), ["_key", "_th"]).withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return met.select(*docs.columns, F.col("_epoch").alias("epoch"))
+
+
 ORACLE = r"""
 with s as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, length(coalesce(text, '')) as chars from documents),

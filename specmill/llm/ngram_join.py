@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, connected_components
@@ -33,7 +33,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def sketch_batches(batches: Iterator[pa.RecordBatch], bands: int, rows: int, n: int = N_WORDS) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> (doc_id, node, n_sh, bands): ``node`` is the hash of the word sequence, null without words."""
+    """(doc_id, text, th) -> (doc_id, th, node, n_sh, bands): ``node`` is the hash of the word sequence, null without words."""
     mult = _multipliers(bands * rows)
     for batch in batches:
         for a, b in pieces(batch.column(1)):
@@ -50,7 +50,7 @@ def sketch_batches(batches: Iterator[pa.RecordBatch], bands: int, rows: int, n:
             number = np.diff(first)
             node = pa.array(_signed(words.signature(1)), mask=number == 0)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * bands + 1, bands, dtype=np.int32)), pa.array(_signed(keys.ravel())))
-            yield pa.RecordBatch.from_arrays([part.column(0), node, pa.array(number), flat], ["doc_id", "node", "n_sh", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), node, pa.array(number), flat], ["doc_id", "th", "node", "n_sh", "bands"])
 
 
 def _compare(docs: list[tuple[int, int, int, np.ndarray]], across: bool, threshold: float) -> Iterator[tuple[int, int, int]]:
@@ -134,23 +134,13 @@ def verify_batches(batches: Iterator[pa.RecordBatch], threshold: float, n: int =
     yield flush()
 
 
-def ngram_join(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, n: int = N_WORDS, recall: float = 0.9995, rows: int = 4) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text) with its class of near-duplicates: doc_id, class_id, n_links.
-
-    Two texts are linked where the Jaccard similarity of their sets of ``n``-word shingles is ``threshold`` or more.
-    class_id is the smallest doc_id of those joined by links; n_links counts the other rows linked to the row, exact
-    copies among them. Exact copies (same words in order) are collapsed first and share one node, so that a group of
-    copies costs one comparison. Candidates meet in a MinHash band; connected candidates are compared on their whole
-    shingle sets, large groups in pairs of bounded blocks that return counts and a spanning forest, never the pairs.
-
-    Null, empty and wordless texts are a class of their own (class_id = doc_id, 0 links). Texts of fewer than ``n``
-    words have one shingle of all their words. Repeated rows are copies of each other; rows whose doc_id is null
-    take part and get the class_id of the rest of their class (null if there is none). Other columns are ignored.
-    """
+def _classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, n: int = N_WORDS, recall: float = 0.9995, rows: int = 4) -> DataFrame:
+    """doc_id, th, node, label, class_id, n_links of every row; node and label are null without words."""
     scratch = Scratch(spark, "ngram_join")
     bands = bands_for(threshold, recall, rows)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = scratch.write(docs.mapInArrow(lambda it: sketch_batches(it, bands, rows, n), "doc_id long, node long, n_sh long, bands array<long>"))
+    hashed = docs.withColumn("th", F.xxhash64("text"))
+    sketch = scratch.write(hashed.mapInArrow(lambda it: sketch_batches(it, bands, rows, n), "doc_id long, th long, node long, n_sh long, bands array<long>"))
     nodes = scratch.write(sketch.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many"), F.first("n_sh").alias("n_sh"), F.first("bands").alias("bands")))
     member = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     bucket = member.groupBy("band", "key").agg(F.min("node").alias("low"), F.count("*").alias("c")).where("c > 1")
@@ -171,5 +161,35 @@ def ngram_join(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOL
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     marked = nodes.select("node", "rep", "many").join(links, "node", "left").join(label, "node", "left").select("node", "rep", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("label", "node").alias("label"))
     least = marked.groupBy("label").agg(F.min("rep").alias("class_id"))
-    marked = scratch.write(marked.join(least, "label").select("node", "class_id", "n_links"))
-    return sketch.select("doc_id", "node").join(marked, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    marked = scratch.write(marked.join(least, "label").select("node", "label", "class_id", "n_links"))
+    joined = sketch.select("doc_id", "th", "node").join(marked, "node", "left")
+    return joined.select("doc_id", "th", "node", "label", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, n: int = N_WORDS, recall: float = 0.9995, rows: int = 4) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text) with its class of near-duplicates: doc_id, class_id, n_links.
+
+    Two texts are linked where the Jaccard similarity of their sets of ``n``-word shingles is ``threshold`` or more.
+    class_id is the smallest doc_id of those joined by links; n_links counts the other rows linked to the row, exact
+    copies among them. Exact copies (same words in order) are collapsed first and share one node, so that a group of
+    copies costs one comparison. Candidates meet in a MinHash band; connected candidates are compared on their whole
+    shingle sets, large groups in pairs of bounded blocks that return counts and a spanning forest, never the pairs.
+
+    Null, empty and wordless texts are a class of their own (class_id = doc_id, 0 links). Texts of fewer than ``n``
+    words have one shingle of all their words. Repeated rows are copies of each other; rows whose doc_id is null
+    take part and get the class_id of the rest of their class (null if there is none). Other columns are ignored.
+    """
+    return _classes(spark, docs, threshold, n, recall, rows).select("doc_id", "class_id", "n_links")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, n: int = N_WORDS) -> DataFrame:
+    """The rows of ``docs``, all their columns as they are, with one row of each class: that of the smallest doc_id (null last), then of the smallest hash of its text. Wordless texts all stay."""
+    classes = _classes(spark, docs.select("doc_id", "text"), threshold, n)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("th"))
+    first = classes.where("label is not null").groupBy("label").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.th").alias("_th"), F.lit(True).alias("_words"))
+    wordless = classes.where("label is null").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.lit(False).alias("_words")).distinct()
+    kept = first.unionByName(wordless).select(F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_key"), "_th", "_words")
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))).withColumn("_th", F.xxhash64(F.col("text").cast("string")))
+    met = keyed.join(kept.hint("merge"), ["_key", "_th"])
+    number = F.row_number().over(Window.partitionBy("_key", "_th").orderBy("_th"))
+    return met.withColumn("_number", number).where("_number = 1 or not _words").select(*docs.columns)

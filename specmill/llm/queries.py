@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_lm_scores, op3_ngram_join, op4_decontaminate, op5_mix_sources, op6_suffix_dedup, op7_quality, op8_token_counts, op9_nearest, op10_toxicity)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_html_text, op2_lm_scores, op3_ngram_join, op4_decontaminate, op5_mix_sources, op6_suffix_dedup, op7_quality, op8_token_counts, op9_nearest, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

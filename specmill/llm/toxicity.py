@@ -117,6 +117,14 @@ def _scores(batches: Iterator[pa.RecordBatch], model: Machine) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], ["doc_id", "score"])
 
 
+def _clean(batches: Iterator[pa.RecordBatch], model: Machine, text: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    active = (model.w != 0) | (model.v != 0).any(1)
+    for batch in batches:
+        for a, b in pieces(batch.column(text)):
+            part = batch.slice(a, b - a)
+            yield part.filter(pa.array(model.score(b - a, *terms(Words(part.column(text)), active)) < threshold))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """Learns from rows whose crc32 remainder by 3 is not 1."""
     chosen = labelled_sample(docs, labels, "toxic", 3, 1, sample)
@@ -135,3 +143,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = rows.mapInArrow(lambda it: _scores(it, model), "doc_id long, score double")
     return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, all their columns as they are, whose score is below ``threshold``."""
+    model, text = train(docs, labels, sample), docs.columns.index("text")
+    return docs.mapInArrow(lambda it: _clean(it, model, text, threshold), docs.schema)
