@@ -23,8 +23,8 @@ from .textkernel import U, _RI, _TAB, mix, pieces, powers, prefix, ranges, raw
 
 WINDOW, GRAM = 100, 50
 _R2 = 0xC2B2AE3D27D4EB4F
-#: Text bytes of one batch of the index, and its anchors at most as they come.
-BATCH_BYTES = 16 << 20
+#: Text bytes of one batch of the index.
+BATCH_BYTES = 8 << 20
 _LAST = np.int64(2**63 - 1)
 COLUMNS = "doc_id long, th long, kind int, start array<int>, len array<int>"
 
@@ -122,7 +122,7 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     end = np.concatenate([head[1:], [m]])
     good = anchor[head] >= 0
     head, end = head[good], end[good]
-    k = g[anchor[head]]
+    k = mix(g[anchor[head]] + U(1))  # mixed again: hashes that are least of many are small, and k is cut into ranges
     u = mix(ranges(h, head, end + WINDOW - 1) + U(0x1234567)) >> U(24)
     row = np.searchsorted(offs, head, side="right") - 1
     return k, u, row, (head - offs[row]).astype(np.uint32), (end - head).astype(np.uint32)
@@ -243,7 +243,7 @@ def probe_batches(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
         u = mix((h2[at + WINDOW] - h2[at]) * powers(pow(_R2, -1, 2**64), len(h2))[at]) >> U(24)
         have.append(Entries(k, u, np.full(len(at), doc_id if doc_id is not None else _LAST), np.full(len(at), th), at.astype(np.uint32), np.ones(len(at), np.uint32)))
         size += len(at)
-        if size >= 400_000:
+        if size >= 300_000:
             yield from _out(Entries.join(have), parts)
             have, size = [], 0
     if have:
