@@ -26,7 +26,9 @@ _R2 = 0xC2B2AE3D27D4EB4F
 #: Text bytes of one batch of the index.
 BATCH_BYTES = 8 << 20
 _LAST = np.int64(2**63 - 1)
-COLUMNS = "doc_id long, th long, kind int, start array<int>, len array<int>"
+COLUMNS = "bucket int, kind int, block binary"
+#: Spans that a task holds before it sends them on.
+HELD = 400_000
 
 
 class Entries:
@@ -168,31 +170,49 @@ def anchor_batches(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa
         yield from _out(Entries.join(have), parts)
 
 
-def _spans(e: Entries, kind: int) -> pa.RecordBatch:
-    """Entries as lists by document. kind 0: bytes that repeat; kind 1: windows to be looked at one by one."""
-    _, _, d, t, pos, ln = e.c
-    o = np.lexsort((pos, t, d))
-    d, t, pos, ln = d[o], t[o], pos[o], ln[o]
-    if kind == 0:
-        ln = ln + np.uint32(WINDOW - 1)
-    head = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])])) if len(d) else np.zeros(0, np.int64)
-    offs = pa.array(np.append(head, len(d)).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(offs, pa.array(x.astype(np.int32))) for x in (pos, ln)]
-    return pa.RecordBatch.from_arrays([pa.array(d[head]), pa.array(t[head]), pa.array(np.full(len(head), kind, np.int32)), *lists], ["doc_id", "th", "kind", "start", "len"])
-
-
-def family_batches(batches: Iterator[pa.RecordBatch], probe: bool) -> Iterator[pa.RecordBatch]:
+class Spans:
+    """Spans of documents on their way: packed by bucket of the document."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.size = buckets, {0: [], 1: []}, 0
+
+    def put(self, e: Entries, kind: int) -> Iterator[pa.RecordBatch]:
+        """kind 0: bytes that repeat; kind 1: windows to be looked at one by one."""
+        _, _, d, t, pos, ln = e.c
+        self.held[kind].append((d, t, pos, ln + np.uint32(WINDOW - 1) if kind == 0 else ln))
+        self.size += len(d)
+        if self.size > HELD:
+            yield self.sent()
+
+    def sent(self) -> pa.RecordBatch:
+        rows: list[tuple[int, int, bytes]] = []
+        for kind, parts in self.held.items():
+            if not parts:
+                continue
+            d, t, pos, ln = (np.concatenate(x) for x in zip(*parts, strict=True))
+            bucket = np.mod(d ^ t, self.buckets)
+            order = np.lexsort((pos, t, d, bucket))
+            cut = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+            for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+                at = order[cut[k] : cut[k + 1]]
+                rows.append((k, kind, pack(deltas(d[at]), deltas(t[at]), pos[at], ln[at])))
+        self.held, self.size = {0: [], 1: []}, 0
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], ["bucket", "kind", "block"])
+
+
+def family_batches(batches: Iterator[pa.RecordBatch], probe: bool, buckets: int) -> Iterator[pa.RecordBatch]:
     """(part, block), sorted by part -> spans of documents."""
-    family, at = Family(), None
+    family, at, spans = Family(), None, Spans(buckets)
 
     def ended() -> Iterator[pa.RecordBatch]:
         left, found = family.close()
-        yield _spans(found, 0)
+        yield from spans.put(found, 0)
         if probe:
             k = left.c[0]
             same = np.zeros(len(k) + 1, bool)
             same[1:-1] = k[1:] == k[:-1]
-            yield _spans(left.take(same[1:] | same[:-1]), 1)
+            yield from spans.put(left.take(same[1:] | same[:-1]), 1)
 
     for batch in batches:
         for part, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -200,42 +220,64 @@ def family_batches(batches: Iterator[pa.RecordBatch], probe: bool) -> Iterator[p
                 yield from ended()
                 family = Family()
             at = part
-            yield _spans(family.add(_in(block.as_py())), 0)
+            yield from spans.put(family.add(_in(block.as_py())), 0)
     yield from ended()
+    yield spans.sent()
 
 
-def _with_text(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Rows of one document together, its spans before its text."""
-    null = lambda kind: F.lit(None).cast(kind)
-    texts = docs.select("doc_id", "th", F.lit(9).alias("kind"), null("array<int>").alias("start"), null("array<int>").alias("len"), "text")
-    both = texts.unionByName(spans.withColumn("text", null("string")))
-    return both.repartition("doc_id", "th").sortWithinPartitions("doc_id", "th", "kind")
+def _with_text(docs: DataFrame, spans: DataFrame, buckets: int) -> DataFrame:
+    """One bucket of documents in a partition, its spans before its texts; what else ``docs`` has goes along."""
+    bucket = F.pmod(F.col("th").bitwiseXOR(F.coalesce("doc_id", F.lit(int(_LAST)))), F.lit(buckets)).cast("int")
+    both = docs.withColumns({"kind": F.lit(9), "bucket": bucket}).unionByName(spans, allowMissingColumns=True)
+    return both.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("kind")
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes | None, dict[int, list[np.ndarray]]]]:
-    """(doc_id, th, text, spans by kind) for each row with a text."""
-    key, spans = None, {}
+class Found:
+    """The spans of a bucket's documents."""
+
+    def __init__(self) -> None:
+        self.parts: list[list[np.ndarray]] = []
+        self.at: dict[tuple[int, int], tuple[int, int]] | None = None
+
+    def add(self, block: bytes) -> None:
+        d, t, pos, ln = unpack(block)
+        self.parts.append([undeltas(d), undeltas(t), pos.astype(np.int64), ln.astype(np.int64)])
+
+    def of(self, doc_id: int | None, th: int) -> np.ndarray | None:
+        if self.at is None:
+            self.at = {}
+            if self.parts:
+                d, t, pos, ln = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+                order = np.lexsort((pos, t, d))
+                d, t, self.spans = d[order], t[order], np.stack([pos[order], ln[order]])
+                head = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])]))
+                self.at = {(x, y): (a, b) for x, y, a, b in zip(d[head].tolist(), t[head].tolist(), head.tolist(), [*head[1:].tolist(), len(d)], strict=True)}
+                self.parts = []
+        place = self.at.get((int(_LAST) if doc_id is None else doc_id, th))
+        return None if place is None else self.spans[:, place[0] : place[1]]
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int | None, int, bytes, np.ndarray | None]]:
+    """(batch, row, doc_id, th, text, spans) for each row with a text; spans is None where there are none."""
+    found = Found()
     for batch in batches:
-        kinds, texts = batch.column("kind").to_pylist(), batch.column("text").cast(pa.large_binary())
+        kinds, texts, blocks = batch.column("kind").to_pylist(), batch.column("text").cast(pa.large_binary()), batch.column("block")
         ids, ths = batch.column("doc_id").to_pylist(), batch.column("th").to_pylist()
-        starts, lens = batch.column("start"), batch.column("len")
         for r, kind in enumerate(kinds):
-            if (ids[r], ths[r]) != key:
-                key, spans = (ids[r], ths[r]), {}
             if kind == 9:
-                yield ids[r], ths[r], texts[r].as_py(), spans
+                yield batch, r, ids[r], ths[r], texts[r].as_py() or b"", found.of(ids[r], ths[r])
             else:
-                spans.setdefault(kind, []).append(np.stack([starts[r].values.to_numpy(), lens[r].values.to_numpy()]))
+                found.add(blocks[r].as_py())
 
 
 def probe_batches(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Windows that stand at anchors of several contexts, each as an entry of its own -> (part, block)"""
     have, size = [], 0
-    for doc_id, th, text, spans in _documents(batches):
-        if 1 not in spans or not text:
+    for _, _, doc_id, th, text, spans in _documents(batches):
+        if spans is None or not text:
             continue
         data = np.frombuffer(text, np.uint8)
-        start, ln = np.concatenate(spans[1], axis=1)
+        start, ln = spans
         at = np.repeat(start - (np.cumsum(ln) - ln), ln) + np.arange(ln.sum())
         k = ranges(prefix(data), at, at + WINDOW)
         h2 = np.zeros(len(data) + 1, np.uint64)
@@ -250,9 +292,9 @@ def probe_batches(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
         yield from _out(Entries.join(have), parts)
 
 
-def removed(spans: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+def removed(spans: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of the maximal removed runs."""
-    start, ln = np.concatenate(spans, axis=1)
+    start, ln = spans
     change = np.zeros(n + 1, np.int32)
     np.add.at(change, start, 1)
     np.add.at(change, start + ln, -1)
@@ -266,11 +308,10 @@ def result_batches(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterat
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string(), pa.binary()]
     rows: list[tuple] = []
     size = 0
-    for doc_id, th, text, spans in _documents(batches):
-        text = text or b""
+    for _, _, doc_id, th, text, spans in _documents(batches):
         kept, runs, gone = text, [], 0
-        if 0 in spans:
-            start, end = removed(spans[0], len(text))
+        if spans is not None:
+            start, end = removed(spans, len(text))
             kept = b"".join(text[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(text)], strict=True))
             runs = [{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)]
             gone = len(text) - len(kept)
@@ -283,6 +324,21 @@ def result_batches(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
+def _found(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Repeated bytes of the documents (doc_id, th, text), as lists by document."""
+    scratch = Scratch(spark, "suffix_dedup")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def exchange(blocks: DataFrame, probe: bool) -> DataFrame:
+        met = blocks.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
+        return scratch.write(met.mapInArrow(lambda it: family_batches(it, probe, parts), COLUMNS))
+
+    found = exchange(docs.mapInArrow(lambda it: anchor_batches(it, parts), "part int, block binary"), True)
+    windows = _with_text(docs, found.where("kind = 1"), parts).mapInArrow(lambda it: probe_batches(it, parts), "part int, block binary")
+    more = exchange(windows, False)
+    return found.where("kind = 0").unionByName(more)
+
+
 def suffix_dedup(spark: SparkSession, docs: DataFrame, with_text: bool = True) -> DataFrame:
     """Each row of ``docs`` (doc_id, text) without bytes that an earlier string of 100 bytes has.
 
@@ -292,20 +348,53 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, with_text: bool = True) -
     are ordered by the hash of their text, and rows equal in both are one document, each with the same result. Hot
     passages meet as one entry a batch: a batch keeps the earliest of equal entries and settles the rest at once.
     """
-    scratch = Scratch(spark, "suffix_dedup")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    spans = _found(spark, docs)
+    schema = "doc_id long, th long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string, kept binary"
+    return _with_text(docs, spans, int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(lambda it: result_batches(it, with_text), schema)
 
-    def exchange(blocks: DataFrame, probe: bool) -> DataFrame:
-        met = blocks.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
-        found = scratch.write(met.mapInArrow(lambda it: family_batches(it, probe), COLUMNS))
-        last = int(_LAST)
-        return found.withColumn("doc_id", F.when(F.col("doc_id") != last, F.col("doc_id")))
 
-    found = exchange(docs.mapInArrow(lambda it: anchor_batches(it, parts), "part int, block binary"), True)
-    windows = _with_text(docs, found.where("kind = 1")).mapInArrow(lambda it: probe_batches(it, parts), "part int, block binary")
-    more = exchange(windows, False)
-    spans = found.where("kind = 0").unionByName(more)
-    schema = "doc_id long, th long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string, kept binary"
-    return _with_text(docs, spans).mapInArrow(lambda it: result_batches(it, with_text), schema)
+def _kept_batches(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows with a text, the repeated bytes taken out; those of which nothing but white space is left go."""
+    now, at, texts = None, [], []
+
+    def sent() -> pa.RecordBatch:
+        rows = now.take(pa.array(at, pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *rows.column("rest").flatten()], ["text", *names])
+
+    for batch, r, _, _, whole, spans in _documents(batches):
+        if batch is not now:
+            if at:
+                yield sent()
+            now, at, texts = batch, [], []
+        if spans is not None:
+            start, end = removed(spans, len(whole))
+            whole = b"".join(whole[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(whole)], strict=True))
+            if not whole.strip():
+                continue
+        at.append(r)
+        texts.append(whole.decode("utf-8", errors="ignore"))
+    if at:
+        yield sent()
+
+
+def suffix_dedup_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the repeated bytes taken out of ``text``, and n_chars, where there is one, made to fit.
+
+    A character of which bytes are taken goes as a whole. A row goes if it loses bytes and only white space is left.
+    """
+    names = [c for c in docs.columns if c != "text"]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # names are replaced by numbers inside, so that no column can clash with those of the work
+    rest = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"), rest.alias("rest"))
+    spans = _found(spark, rows.select("doc_id", "th", "text"))
+    kinds = dict(docs.dtypes)
+    inner = [f"c{i}" for i in range(len(names))]
+    schema = ", ".join(["text string", *(f"{c} {kinds[n]}" for c, n in zip(inner, names, strict=True))])
+    out = _with_text(rows, spans, int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(lambda it: _kept_batches(it, inner), schema)
+    value = {n: F.col(c) for n, c in zip(names, inner, strict=True)} | {"text": F.col("text")}
+    if "n_chars" in value:
+        value["n_chars"] = F.length("text").cast(kinds["n_chars"])
+    return out.select(*(value[c].alias(c) for c in docs.columns))
