@@ -1,5 +1,6 @@
 """All queries outside the llm subpackage."""
 
+from . import matching  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
