@@ -1,6 +1,6 @@
 """All queries outside the llm subpackage."""
 
-from . import matching, proposals, scalars  # noqa: F401
+from . import catalog, crawls, matching, proposals, scalars  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
