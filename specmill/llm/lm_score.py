@@ -21,17 +21,33 @@ from pyspark.sql import functions as F
 
 from .blocks import deltas, pack, undeltas, unpack
 from .shared import Scratch
-from .textkernel import U, Words, _C, mix
+from .textkernel import U, Words, _C, mix, pieces
 
 ORDER, BACKOFF = 3, 0.4
 #: Text bytes of a chunk.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 #: Bits of an n-gram's hash.
 BITS = 56
 _LOST = "documents came in other chunks than before"
 
 
-def grams(words: Words, order: int) -> tuple[np.ndarray, np.ndarray]:
+class Hashes:
+    """Word hashes of many texts, made piece by piece: the hashing of bytes takes many times the room of its result."""
+
+    def __init__(self, column: pa.Array):
+        hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for a, b in pieces(column):
+            words = Words(column.slice(a, b - a))
+            hashes.append(words.hash)
+            counts.append(words.counts())
+        self.hash = np.concatenate(hashes)
+        self.first = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
+
+    def counts(self) -> np.ndarray:
+        return np.diff(self.first)
+
+
+def grams(words: Hashes, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the words that end an n-gram of this order within their text, and its hash."""
     n = len(words.hash)
     place = np.arange(n)
@@ -77,7 +93,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, pa.Array,
 def count_batches(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> (part, key, block): distinct n-grams of a chunk, with counts, by range of their hash."""
     for key, _, texts in chunks(batches):
-        words = Words(texts)
+        words = Hashes(texts)
         tables = [np.unique(grams(words, m)[1], return_counts=True) for m in range(1, ORDER + 1)]
         edges = np.array([(p << BITS) // parts for p in range(parts)] + [1 << BITS], np.uint64)
         cuts = [np.searchsorted(h, edges) for h, _ in tables]
@@ -97,12 +113,13 @@ def total_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     part, keys, blocks = None, [], []
 
     def added() -> pa.RecordBatch:
-        columns = [unpack(b) for b in blocks]
         totals: list[list[np.ndarray]] = [[] for _ in blocks]
         for m in range(ORDER):
-            h = [undeltas(c[2 * m]) for c in columns]
+            columns = [unpack(b)[2 * m : 2 * m + 2] for b in blocks]
+            h = [undeltas(c[0]) for c in columns]
             _, where = np.unique(np.concatenate(h), return_inverse=True)
-            total = np.bincount(where, np.concatenate([c[2 * m + 1] for c in columns])).astype(np.uint64)[where] if len(where) else np.zeros(0, np.uint64)
+            total = np.bincount(where, np.concatenate([c[1] for c in columns]))
+            total = (total.astype(np.uint32 if total.max(initial=0) < 1 << 32 else np.uint64))[where] if len(where) else np.zeros(0, np.uint32)
             for k, x in enumerate(np.split(total, np.cumsum([len(x) for x in h])[:-1])):
                 totals[k].append(x)
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([part] * len(keys), pa.int32()), pa.array([pack(*t) for t in totals], pa.binary())], ["key", "part", "block"])
@@ -130,7 +147,7 @@ def chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([-1], pa.int32()), pa.array([block], pa.binary())], ["key", "part", "block"])
 
 
-def others(words: Words, order: int, total: np.ndarray) -> np.ndarray:
+def others(words: Hashes, order: int, total: np.ndarray) -> np.ndarray:
     """For every word the count, in all other documents, of the n-gram that it ends; 0 where there is none."""
     out = np.zeros(len(words.hash), np.int64)
     place, h = grams(words, order)
@@ -145,7 +162,7 @@ def others(words: Words, order: int, total: np.ndarray) -> np.ndarray:
     return out
 
 
-def score_chunk(words: Words, totals: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def score_chunk(words: Hashes, totals: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sum of the log scores of each text but for the size of the corpus, and how often that divides."""
     counts = [others(words, m + 1, totals[m]) for m in range(ORDER)]
     n = len(words.hash)
@@ -170,8 +187,8 @@ def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if not copies:
             raise RuntimeError(_LOST)
         ids = pa.concat_arrays([b.column(0) for b in texts])
-        words = Words(pa.concat_arrays([b.column(1) for b in texts]))
-        value, ends = score_chunk(words, [np.concatenate([f[m] for f in found] or [np.zeros(0, np.uint64)]) for m in range(ORDER)])
+        words = Hashes(pa.concat_arrays([b.column(1) for b in texts]))
+        value, ends = score_chunk(words, [np.concatenate([f[m] for f in found] or [np.zeros(0, np.uint32)]) for m in range(ORDER)])
         for _ in range(copies):
             yield pa.RecordBatch.from_arrays([ids, pa.array(words.counts()), pa.array(value), pa.array(ends)], ["doc_id", "n_words", "value", "ends"])
 
@@ -203,7 +220,7 @@ def lm_scores(spark: SparkSession, docs: DataFrame, attempts: int = 3) -> DataFr
     mean 0; repeated rows are other documents to each other; doc_id may be null.
     """
     scratch = Scratch(spark, "lm_scores")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counted = rows.mapInArrow(lambda it: count_batches(it, parts), "part int, key binary, block binary")
     totals = counted.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(total_batches, "key binary, part int, block binary")
