@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import pack, unpack
 from .labelled import labelled_sample, remainder
 from .textkernel import U, Words, mix, pieces, ranges
 
@@ -64,8 +65,11 @@ def fit(data: list[tuple[int, np.ndarray]], least_steps: int = 4000, batch: int
         share = (y.sum() + 0.5) / (len(y) + 10)
         return Machine(float(np.log(share / (1 - share))), w, v)
     n, pos = len(y), float(y.sum())
-    with_label = np.bincount(np.concatenate([d[1] for d in data if d[0]]), minlength=size).astype(np.float64)
-    seen = with_label + np.bincount(np.concatenate([d[1] for d in data if not d[0]]), minlength=size)
+    with_label, seen = np.zeros(size), np.zeros(size)
+    for label, found in data:
+        seen[found] += 1
+        if label:
+            with_label[found] += 1
     gap = np.maximum(np.abs(with_label * n - seen * pos) - n / 2, 0)
     used = gap**2 * n > least_chi * np.maximum(seen * (n - seen), 0.5) * pos * (n - pos)
     rows = [d[1][used[d[1]]] for d in data]
@@ -125,11 +129,25 @@ def _clean(batches: Iterator[pa.RecordBatch], model: Machine, text: int, thresho
             yield part.filter(pa.array(model.score(b - a, *terms(Words(part.column(text)), active)) < threshold))
 
 
+def _fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All sampled rows -> one row, the model packed."""
+    rows = sorted(((i, int(y > 0), t.values.to_numpy().copy()) for batch in batches for i, y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)), key=lambda r: r[0])
+    model = fit([(y, t) for _, y, t in rows])
+    at = np.flatnonzero((model.w != 0) | (model.v != 0).any(1))
+    yield pa.RecordBatch.from_arrays([pa.array([pack(np.array([model.bias]), at.astype(np.int32), model.w[at], model.v[at].ravel())], pa.binary())], ["model"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Learns from rows whose crc32 remainder by 3 is not 1."""
+    """Learns from rows whose crc32 remainder by 3 is not 1. The sample is fitted in one task, which its bound allows; the driver gets the model alone."""
     chosen = labelled_sample(docs, labels, "toxic", 3, 1, sample)
-    got = chosen.mapInArrow(_features, "doc_id long, label int, terms array<int>").toArrow().sort_by([("doc_id", "ascending")])
-    return fit([(int(y > 0), t.values.to_numpy().astype(np.int64)) for y, t in zip(got.column("label").to_pylist(), got.column("terms"), strict=True)])
+    terms_of = chosen.mapInArrow(_features, "doc_id long, label int, terms array<int>").repartition(1)
+    row = terms_of.mapInArrow(_fit_batches, "model binary").first()
+    if row is None:  # a plan over a table known to be empty runs no task
+        return fit([])
+    bias, at, w, v = unpack(row[0])
+    model = Machine(float(bias[0]), np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32))
+    model.w[at], model.v[at] = w, v.reshape(-1, FACTORS)
+    return model
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
