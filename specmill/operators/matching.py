@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identity import DEFAULT_CURRENCY
-from ..functions.numbers import COMPLIANT, match_status, simple_compliance, verdict
+from ..functions.numbers import COMPLIANT, DEVIATION, TOLERANCE, UNVERIFIABLE, match_status, scale_rank, simple_compliance, spec_number, strip
 
 LEAST_ALTERNATIVE, MOST_ALTERNATIVES = 40, 5
 
@@ -18,25 +18,12 @@ def in_scope(lines: DataFrame, scope: DataFrame) -> DataFrame:
 
 def exact_matches(lines: DataFrame, scope: DataFrame, products: DataFrame) -> DataFrame:
     """JN-1, JN-2: (line_id, product_id) where the description is a product's name, or else its part number, without regard to case. The smallest id wins."""
-    keys = products.select("product_id", "supplier_id", F.upper("name").alias("k"), F.lit(0).alias("by")).unionByName(
-        products.where("mpn is not null").select("product_id", "supplier_id", F.upper("mpn").alias("k"), F.lit(1).alias("by"))
+    keys = products.select("product_id", "supplier_id", F.upper("name").alias("k"), F.lit(0).alias("kind")).unionByName(
+        products.where("mpn is not null").select("product_id", "supplier_id", F.upper("mpn").alias("k"), F.lit(1).alias("kind"))
     )
     wanted = lines.where("description is not null").select("line_id", "tender_id", F.upper("description").alias("k"))
     hits = wanted.join(keys, "k").join(scope.select("tender_id", "supplier_id").distinct(), ["tender_id", "supplier_id"], "left_semi")
-    return hits.groupBy("line_id").agg(F.min(F.struct("by", "product_id")).alias("first")).select("line_id", F.col("first.product_id").alias("product_id"))
-
-
-def candidate_pairs(lines: DataFrame, scope: DataFrame, products: DataFrame, crawler_stale: bool = True) -> DataFrame:
-    """JN-4, FLT-1: lines with the products of their class whose supplier is in scope and that are not stale.
-
-    The join is on supplier and class together: lines meet only suppliers in scope, and no class is one hot key.
-    """
-    offered = products.where("not is_stale and class_id is not null")
-    if not crawler_stale:
-        offered = offered.where("not coalesce(crawler_stale, false)")
-    offered = offered.select("product_id", "supplier_id", "class_id", F.col("attributes").alias("offered"))
-    wanted = in_scope(lines.where("class_id is not null"), scope).select("line_id", "supplier_id", "class_id", F.col("attributes").alias("required"))
-    return wanted.join(offered, ["supplier_id", "class_id"])
+    return hits.groupBy("line_id").agg(F.min(F.struct("kind", "product_id")).alias("first")).select("line_id", F.col("first.product_id").alias("product_id"))
 
 
 def class_rules(definitions: DataFrame) -> DataFrame:
@@ -45,57 +32,105 @@ def class_rules(definitions: DataFrame) -> DataFrame:
     return definitions.groupBy("class_id").agg(F.map_from_entries(F.collect_list(F.struct("name", rule))).alias("rules"))
 
 
-def verdicts(required: Column, offered: Column, rules: Column) -> Column:
-    """JN-6, JN-23, SCA-3: array of (attr, required, offered, verdict) for each required attribute."""
+def typed_value(name: Column, value: Column) -> Column:
+    """A value read once in every way that a comparison may need: number, number or rank, lower-case text, and that trimmed."""
+    text = F.lower(value)
+    number = spec_number(value)
+    return F.struct(value.alias("raw"), number.alias("number"), F.coalesce(number, scale_rank(name, value)).alias("level"), text.alias("text"), strip(text).alias("trimmed"))
+
+
+def typed_offers(bag: Column) -> Column:
+    """A product's bag as map from key to typed value."""
+    return F.transform_values(bag, typed_value)
+
+
+def typed_requirements(bag: Column, rules: Column) -> Column:
+    """A line's bag as array of (attr, op, typed value), the operator telling the type too; null where no rule is known."""
 
     def one(e: Column) -> Column:
-        rule, offer = F.element_at(rules, e["key"]), F.element_at(offered, e["key"])
-        return F.struct(e["key"].alias("attr"), e["value"].alias("required"), offer.alias("offered"), verdict(e["key"], rule["datatype"], rule["match_op"], e["value"], offer).alias("verdict"))
+        rule = F.element_at(rules, e["key"])
+        how = F.when(rule["match_op"] == "eq", F.when(rule["datatype"] == "numeric", "eq_number").when(rule["datatype"] == "bool", "eq_bool").otherwise("eq_text")).otherwise(rule["match_op"])
+        return F.struct(e["key"].alias("attr"), how.alias("how"), typed_value(e["key"], e["value"]).alias("v"))
+
+    return F.transform(F.map_entries(bag), one)
+
+
+def complies(r: Column, o: Column) -> Column:
+    """SCA-3 on typed values: true, false, or null where nothing can be verified."""
+    v, how = r["v"], r["how"]
+    return (
+        F.when(how == "eq_number", F.abs(v["number"] - o["number"]) < TOLERANCE)
+        .when(how == "eq_bool", v["text"] == o["text"])
+        .when(how == "eq_text", v["trimmed"] == o["trimmed"])
+        .when(how == "gte", o["level"] >= v["level"])
+        .when(how == "lte", o["level"] <= v["level"])
+    )
 
-    return F.transform(F.map_entries(required), one)
 
+def verdicts(required: Column, offered: Column) -> Column:
+    """JN-6, JN-23: array of (attr, required, offered, verdict) for each required attribute, from typed values."""
 
-def score(found: Column) -> Column:
+    def one(r: Column) -> Column:
+        o = F.element_at(offered, r["attr"])
+        ok = complies(r, o)
+        return F.struct(r["attr"].alias("attr"), r["v"]["raw"].alias("required"), o["raw"].alias("offered"), F.when(ok, COMPLIANT).when(~ok, DEVIATION).otherwise(UNVERIFIABLE).alias("verdict"))
+
+    return F.transform(required, one)
+
+
+def score(required: Column, offered: Column) -> Column:
     """AGG-1: share of compliant attributes as a whole number of hundredths, rounded down; 0 without requirements."""
-    return F.when(F.size(found) > 0, F.floor(F.size(F.filter(found, lambda v: v["verdict"] == COMPLIANT)) * 100 / F.size(found))).otherwise(0).cast("int")
+    good = F.size(F.filter(required, lambda r: F.coalesce(complies(r, F.element_at(offered, r["attr"])), F.lit(False))))
+    return F.when(F.size(required) > 0, F.floor(good * 100 / F.size(required))).otherwise(0).cast("int")
 
 
-def scored_pairs(pairs: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Pairs with ``verdicts`` and ``score``."""
-    judged = pairs.join(class_rules(definitions), "class_id", "left").withColumn("verdicts", verdicts(F.col("required"), F.col("offered"), F.col("rules")))
-    return judged.withColumn("score", score(F.col("verdicts"))).drop("rules")
+def candidate_pairs(lines: DataFrame, scope: DataFrame, products: DataFrame, definitions: DataFrame, crawler_stale: bool = True, how: str = "inner") -> DataFrame:
+    """JN-4, FLT-1: lines with the products of their class whose supplier is in scope and that are not stale, with their score.
+
+    The join is on supplier and class together: lines meet only suppliers in scope, and no class is one hot key. Values are
+    read before the join, once a line and once a product, so that a pair costs comparisons alone.
+    """
+    offered = products.where("not is_stale and class_id is not null")
+    if not crawler_stale:
+        offered = offered.where("not coalesce(crawler_stale, false)")
+    offered = offered.select("product_id", "supplier_id", "class_id", typed_offers(F.col("attributes")).alias("offered"))
+    wanted = lines.where("class_id is not null").join(class_rules(definitions), "class_id", "left")
+    wanted = wanted.select("line_id", "tender_id", "class_id", typed_requirements(F.col("attributes"), F.col("rules")).alias("required"))
+    pairs = wanted.join(scope.select("tender_id", "supplier_id").distinct(), "tender_id", how).join(offered, ["supplier_id", "class_id"], how)
+    return pairs.withColumn("score", F.when(F.col("product_id").isNotNull(), score(F.col("required"), F.col("offered"))))
 
 
 def ranked(pairs: DataFrame, most: int = MOST_ALTERNATIVES) -> DataFrame:
-    """WIN-1, SRT-1, SRT-2: pairs of positive score with their place; the best, and up to ``most`` others of score 40 or more."""
-    place = F.row_number().over(Window.partitionBy("line_id").orderBy(F.desc("score"), "product_id"))
-    return pairs.where("score > 0").withColumn("place", place).where(F.col("place") <= most + 1).where((F.col("place") == 1) | (F.col("score") >= LEAST_ALTERNATIVE))
+    """WIN-1, SRT-1, SRT-2: pairs with their place in their line: score, then id; the first ``most`` + 1 of them."""
+    place = F.row_number().over(Window.partitionBy("line_id").orderBy(F.desc_nulls_last("score"), "product_id"))
+    return pairs.withColumn("place", place).where(F.col("place") <= most + 1)
 
 
 def match_lines(lines: DataFrame, scope: DataFrame, products: DataFrame, definitions: DataFrame) -> DataFrame:
-    """DML-1: one row a line: line_id, product_id, match_type, score, status, verdicts, alternatives (product ids with scores).
+    """DML-1: one row a line: line_id, tender_id, product_id, match_type, score, status, verdicts, alternatives (product ids with scores).
 
     Exact hits are settled first and never reach the candidates. A line without a class is not_found with no type; with a
     class but no candidate of positive score not_found of type spec; a best score below 40 is not_found with its product.
+    Verdicts are spelled out for the ranked candidates only.
     """
-    exact = exact_matches(lines, scope, products)
-    open_lines = lines.join(exact.select("line_id"), "line_id", "left_anti")
-    top = ranked(scored_pairs(candidate_pairs(open_lines, scope, products), definitions))
-    entry = F.struct("place", "product_id", "score", "verdicts")
-    found = top.groupBy("line_id").agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    found = found.select("line_id", F.element_at("all", 1).alias("best"), F.slice("all", 2, MOST_ALTERNATIVES).alias("rest"))
     none = "array<struct<attr:string,required:string,offered:string,verdict:string>>"
-    others = "array<struct<product_id:bigint,score:int,verdicts:" + none + ">>"
-    by_spec = open_lines.join(found, "line_id", "left").select(
-        "line_id",
-        F.col("best.product_id").alias("product_id"),
-        F.when(F.col("class_id").isNotNull(), "spec").alias("match_type"),
-        F.coalesce("best.score", F.lit(0)).alias("score"),
-        F.coalesce("best.verdicts", F.array().cast(none)).alias("verdicts"),
-        F.coalesce(F.transform("rest", lambda r: F.struct(r["product_id"], r["score"], r["verdicts"])), F.array().cast(others)).cast(others).alias("alternatives"),
-    )
-    by_name = exact.select("line_id", "product_id", F.lit("exact").alias("match_type"), F.lit(100).alias("score"), F.array().cast(none).alias("verdicts"), F.array().cast(others).alias("alternatives"))
-    return by_spec.unionByName(by_name).withColumn("status", match_status(F.col("score")))
+    others = f"array<struct<product_id:bigint,score:int,verdicts:{none}>>"
+    exact = exact_matches(lines, scope, products).withColumnRenamed("product_id", "exact_id")
+    settled = lines.join(exact, "line_id", "left")
+    closed = settled.where("exact_id is not null or class_id is null").select(
+        "line_id", "tender_id", F.col("exact_id").alias("product_id"), F.when(F.col("exact_id").isNotNull(), "exact").alias("match_type"), F.when(F.col("exact_id").isNotNull(), 100).otherwise(0).alias("score"),
+        F.array().cast(none).alias("verdicts"), F.array().cast(others).alias("alternatives"),
+    )
+    top = ranked(candidate_pairs(settled.where("exact_id is null"), scope, products, definitions, how="left"))
+    good = (F.col("score") > 0) & ((F.col("place") == 1) | (F.col("score") >= LEAST_ALTERNATIVE))
+    entry = F.when(good, F.struct("place", "product_id", "score", verdicts(F.col("required"), F.col("offered")).alias("verdicts")))
+    found = top.groupBy("line_id", "tender_id").agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    best = F.get("all", F.lit(0))
+    by_spec = found.select(
+        "line_id", "tender_id", best["product_id"].alias("product_id"), F.lit("spec").alias("match_type"), F.coalesce(best["score"], F.lit(0)).alias("score"), F.coalesce(best["verdicts"], F.array().cast(none)).alias("verdicts"),
+        F.transform(F.slice("all", 2, MOST_ALTERNATIVES), lambda r: F.struct(r["product_id"], r["score"], r["verdicts"])).cast(others).alias("alternatives"),
+    )
+    return by_spec.unionByName(closed).withColumn("status", match_status(F.col("score")))
 
 
 def enriched_alternatives(matches: DataFrame, products: DataFrame, prices: DataFrame, suppliers: DataFrame) -> DataFrame:

@@ -11,42 +11,55 @@ VARIANTS = ["PERFECT", "BEST_ACCEPTANCE", "CHEAPEST"]
 
 
 def candidates(matches: DataFrame, prices: DataFrame) -> DataFrame:
-    """SET-3: (line_id, pos, product_id, score, price): the best at 0, then the alternatives in order. Lines without a product have none."""
+    """SET-3: (tender_id, line_id, pos, product_id, score, price): the best at 0, then the alternatives in order. A line without a product has one row without a product."""
     best = F.array(F.struct(F.col("product_id"), F.col("score")))
     rest = F.transform("alternatives", lambda a: F.struct(a["product_id"], a["score"]))
-    each = matches.where("product_id is not null").select("line_id", F.posexplode(F.concat(best, rest)).alias("pos", "c"))
-    return each.select("line_id", "pos", "c.product_id", "c.score").join(prices.select("product_id", "price"), "product_id", "left")
+    each = matches.select("tender_id", "line_id", F.posexplode(F.concat(best, rest)).alias("pos", "c"))
+    return each.select("tender_id", "line_id", "pos", "c.product_id", "c.score").join(prices.select("product_id", "price"), "product_id", "left")
 
 
-def cheapest(options: DataFrame) -> DataFrame:
-    """DML-14, SRT-3: among candidates of positive score the one of least price, those without a price last, then by place.
-    If none has a positive score, the best alternative whatever its score. Prices of other currencies are compared as they are."""
+def _cheapest_pick(pick: Column) -> Column:
+    """DML-14, SRT-3: among candidates of positive score the one of least price, those without a price last, then by place; if none
+    has a positive score, the best alternative whatever its score. Prices of other currencies are compared as they are."""
     place = F.struct(F.col("price").isNull(), F.col("price"), F.col("pos"))
-    fallback = F.struct(-F.col("score"), F.col("pos"))
-    pick = F.struct("product_id", "score")
-    out = options.groupBy("line_id").agg(
-        F.min_by(F.when(F.col("score") > 0, pick), F.when(F.col("score") > 0, place)).alias("a"), F.min_by(F.when(F.col("pos") > 0, pick), F.when(F.col("pos") > 0, fallback)).alias("b")
-    )
-    return out.select("line_id", F.coalesce("a", "b").alias("p")).where("p is not null").select("line_id", "p.product_id", "p.score")
+    has = F.col("product_id").isNotNull()
+    positive = F.min_by(F.when(has & (F.col("score") > 0), pick), F.when(has & (F.col("score") > 0), place))
+    return F.coalesce(positive, F.min_by(F.when(has & (F.col("pos") > 0), pick), F.when(has & (F.col("pos") > 0), F.struct(-F.col("score"), F.col("pos")))))
 
 
-def best_acceptance(options: DataFrame, estimates: DataFrame) -> DataFrame:
+def _best_pick(pick: Column) -> Column:
     """SRT-4: the first candidate of highest estimated probability; its own score stands in for a missing estimate."""
-    judged = options.join(estimates.select("line_id", "product_id", "probability"), ["line_id", "product_id"], "left")
-    order = F.struct(F.coalesce("probability", "score"), -F.col("pos"))
-    return judged.groupBy("line_id").agg(F.max_by(F.struct("product_id", "score"), order).alias("p")).select("line_id", "p.product_id", "p.score")
-
-
-def generate(lines: DataFrame, matches: DataFrame, prices: DataFrame, estimates: DataFrame) -> DataFrame:
-    """DML-13: (tender_id, variant, line_id, product_id, score, probability, reasoning) for each line and variant."""
-    options = candidates(matches, prices)
-    perfect = matches.where("product_id is not null or score is not null").select("line_id", "product_id", F.col("score").cast("int").alias("score"))
-    chosen = perfect.withColumn("variant", F.lit(VARIANTS[0]))
-    chosen = chosen.unionByName(best_acceptance(options, estimates).withColumn("variant", F.lit(VARIANTS[1])))
-    chosen = chosen.unionByName(cheapest(options).withColumn("variant", F.lit(VARIANTS[2])))
-    every = lines.select("tender_id", "line_id", F.explode(F.array(*map(F.lit, VARIANTS))).alias("variant"))
-    told = estimates.select("line_id", "product_id", "probability", "reasoning")
-    return every.join(chosen, ["line_id", "variant"], "left").join(told, ["line_id", "product_id"], "left").select("tender_id", "variant", "line_id", "product_id", "score", "probability", "reasoning")
+    has = F.col("product_id").isNotNull()
+    return F.max_by(F.when(has, pick), F.when(has, F.struct(F.coalesce("probability", "score"), -F.col("pos"))))
+
+
+def _judged(options: DataFrame, estimates: DataFrame) -> DataFrame:
+    return options.join(estimates.select("line_id", "product_id", "probability", "reasoning"), ["line_id", "product_id"], "left")
+
+
+def cheapest(options: DataFrame) -> DataFrame:
+    """(line_id, product_id, score) of the CHEAPEST variant, for lines that have one."""
+    return options.groupBy("line_id").agg(_cheapest_pick(F.struct("product_id", "score")).alias("p")).where("p is not null").select("line_id", "p.product_id", "p.score")
+
+
+def best_acceptance(options: DataFrame, estimates: DataFrame) -> DataFrame:
+    """(line_id, product_id, score) of the BEST_ACCEPTANCE variant, for lines that have one."""
+    return _judged(options, estimates).groupBy("line_id").agg(_best_pick(F.struct("product_id", "score")).alias("p")).where("p is not null").select("line_id", "p.product_id", "p.score")
+
+
+def generate(matches: DataFrame, prices: DataFrame, estimates: DataFrame | None = None, options: DataFrame | None = None) -> DataFrame:
+    """DML-13: (tender_id, variant, line_id, product_id, score, probability, reasoning) for each line and variant.
+
+    All three choices of a line are made in one aggregate over its candidates, so that matches are read once. ``options`` are
+    candidates that bring their estimates along.
+    """
+    if options is None:
+        options = _judged(candidates(matches, prices), estimates)
+    pick = F.struct("product_id", "score", "probability", "reasoning")
+    first = F.col("pos") == 0
+    chosen = options.groupBy("tender_id", "line_id").agg(F.min_by(F.when(first, pick), F.when(first, F.col("pos"))).alias("a"), _best_pick(pick).alias("b"), _cheapest_pick(pick).alias("c"), F.bool_or(first & F.col("product_id").isNotNull()).alias("any"))
+    by_variant = F.array(*(F.struct(F.lit(v).alias("variant"), p.alias("p")) for v, p in zip(VARIANTS, (F.col("a"), F.when(F.col("any"), F.col("b")), F.when(F.col("any"), F.col("c"))), strict=True)))
+    return chosen.select("tender_id", "line_id", F.explode(by_variant).alias("v")).select("tender_id", "v.variant", "line_id", "v.p.product_id", "v.p.score", "v.p.probability", "v.p.reasoning")
 
 
 def half_up_mean(c: str) -> Column:

@@ -31,13 +31,15 @@ CHOSEN = f"""{ESTIMATES}, {CHEAPEST}, {BEST}, chosen_v as (
 
 
 def estimates(options: DataFrame) -> DataFrame:
-    kept = options.where((F.col("line_id") + F.col("product_id")) % 5 != 0)
+    kept = options.where("product_id is not null").where((F.col("line_id") + F.col("product_id")) % 5 != 0)
     return kept.select("line_id", "product_id", F.expr(PROBABILITY).cast("int").alias("probability"), F.lit("").alias("reasoning"))
 
 
 def proposal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches, prices = matched(spark, sf_dir), A.prices(spark, sf_dir)
-    return P.generate(A.lines(spark, sf_dir), matches, prices, estimates(P.candidates(matches, prices)))
+    options = P.candidates(matched(spark, sf_dir), A.prices(spark, sf_dir))
+    known = (F.col("line_id") + F.col("product_id")) % 5 != 0
+    options = options.withColumns({"probability": F.when(known, F.expr(PROBABILITY).cast("int")), "reasoning": F.when(known, "")})
+    return P.generate(options, None, options=options)
 
 
 @register("proposal_cheapest", f"{A.ALL}, {ESTIMATES}, {CHEAPEST} select line_id, product_id, score::int as score from cheapest_v")
