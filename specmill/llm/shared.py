@@ -43,23 +43,23 @@ def connected_components(scratch: Scratch, edges: DataFrame, most_rounds: int =
     """(node, label) with the smallest node of each component, from ``edges`` (a, b) of longs.
 
     Alternating large-star and small-star rounds. A node's neighbours are never gathered: the minimum is a partial
-    aggregate and is joined back, so a hub with very many edges is split like any skewed join. Every round is
-    written to the shared folder. Self edges and repeated edges are allowed; nodes without an edge are not returned.
+    aggregate, which is written and joined back. Both sides of the join are then dealt anew, so that Spark can split a hub
+    with very many edges like any skewed key. Every round is written to the shared folder. Self edges and repeated edges are allowed; nodes without an edge are not returned.
     """
     state = None
     cur = edges.where("a <> b and a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     last = None
     for _ in range(most_rounds):
         both = cur.select("a", "b").unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = scratch.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.unionByName(low.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = scratch.write(large)
+        low = scratch.write(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         nxt = scratch.write(small)
         mark = tuple(nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state is not None:
-            scratch.drop(state)
+        scratch.drop(*range(scratch.n - 4, scratch.n - 1), *([state] if state is not None else []))
         state, cur = scratch.n - 1, nxt
         if mark == last:
             break
