@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import spec_number, strip
+from .numbers import spec_number, strip, to_unit
 
 # Keys that identify a product and never state a requirement.
 IDENTIFIER_KEYS = ["item_no", "mpn", "manualLink", "description", "sku"]
@@ -118,3 +118,26 @@ def inferred_datatype(values: Column, current: Column) -> Column:
     booleans = F.forall(values, lambda v: F.lower(v).isin("true", "false"))
     numbers = F.size(F.filter(values, lambda v: spec_number(v).isNotNull()))
     return F.when(booleans, "bool").when(numbers >= n * 0.9, "numeric").when(current == "enum", "enum").otherwise("text")
+
+
+def normalize_units(bag: Column, units: Column) -> Column:
+    """SCA-6: numbers of keys that ``units`` knows in its unit. The unit they are in is the value of ``<key>_unit``, or the same;
+    that companion goes when the value was read, and both stay as they are when it was not."""
+
+    def number(key: Column) -> Column:
+        return spec_number(F.element_at(bag, key))
+
+    known = F.map_keys(F.map_filter(bag, lambda k, _: F.map_contains_key(units, k) & number(k).isNotNull()))
+    kept = F.map_filter(bag, lambda k, _: ~F.array_contains(F.transform(known, lambda x: F.concat(x, F.lit("_unit"))), k))
+
+    def one(key: Column, value: Column) -> Column:
+        target = F.element_at(units, key)
+        source = F.coalesce(F.element_at(bag, F.concat(key, F.lit("_unit"))), target)
+        return F.when(F.array_contains(known, key), to_unit(spec_number(value), source, target).cast("string")).otherwise(value)
+
+    return F.transform_values(kept, one)
+
+
+def replace_values(bag: Column, spellings: Column) -> Column:
+    """DML-10: values by a map from key to a map from variant to canonical spelling."""
+    return F.transform_values(bag, lambda k, v: F.coalesce(F.element_at(F.element_at(spellings, k), v), v))

@@ -130,3 +130,21 @@ def public_address(host: str | None) -> bool:
         return ipaddress.ip_address((host or "").strip("[]")).is_global
     except ValueError:
         return False
+
+
+def api_evidence(page_url: Column, urls: Column) -> Column:
+    """FLT-13: whether a page or one of the addresses in its embedded JSON belongs to an API."""
+    pattern = r"/(api|graphql)/"
+    return url_path(page_url).rlike(pattern) | F.coalesce(F.exists(urls, lambda u: u.rlike(pattern)), F.lit(False))
+
+
+def resource_accepted(kind: Column, media_type: Column) -> Column:
+    """FLT-18: media types that a rendered page may load, by kind of resource."""
+    m = F.lower(F.substring_index(media_type, ";", 1))
+    return (
+        F.when(kind == "document", m.isin("text/html", "application/xhtml+xml"))
+        .when(kind == "script", m.contains("javascript") | m.contains("ecmascript"))
+        .when(kind == "stylesheet", m == "text/css")
+        .when(kind.isin("xhr", "fetch"), m.isin("application/json", "text/plain", "text/html", "application/xml", "text/xml") | m.endswith("+json") | m.endswith("+xml"))
+        .otherwise(False)
+    )
