@@ -11,6 +11,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST_EPOCHS = 1.5, 2
 #: Ranges of the key within a source; only the range where the budget ends is sorted.
 RANGES = 4096
+#: Sources whose plan is small enough to be sent to every task.
+MOST_BROADCAST = 50_000
 
 
 def uniform(doc_id: Column) -> Column:
@@ -68,7 +70,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame) -> DataFrame:
     in_order = Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = ranges.select("skey", "range", "range_size", F.coalesce(F.sum("range_size").over(in_order), F.lit(0)).alias("before"))
     ends = sums.join(plan.select("skey", "part"), "skey").where("before < part").groupBy("skey").agg(F.max("range").alias("end_range"), F.max("before").alias("end_before"))
-    plan = plan.join(ends, "skey", "left").drop("source")
+    plan = scratch.write(plan.join(ends, "skey", "left").drop("source"))
+    if plan.count() <= MOST_BROADCAST:  # one row a source; beyond that a join on the source, which Spark splits where it is skewed
+        plan = F.broadcast(plan)
 
     rows = rows.join(plan, "skey").withColumn("end_range", F.coalesce("end_range", F.lit(-1)))
     within = Window.partitionBy("skey", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", "th").rowsBetween(Window.unboundedPreceding, -1)
