@@ -32,48 +32,52 @@ def class_rules(definitions: DataFrame) -> DataFrame:
     return definitions.groupBy("class_id").agg(F.map_from_entries(F.collect_list(F.struct("name", rule))).alias("rules"))
 
 
-def typed_value(name: Column, value: Column) -> Column:
-    """A value read once in every way that a comparison may need: number, number or rank, lower-case text, and that trimmed."""
-    text = F.lower(value)
-    number = spec_number(value)
-    return F.struct(value.alias("raw"), number.alias("number"), F.coalesce(number, scale_rank(name, value)).alias("level"), text.alias("text"), strip(text).alias("trimmed"))
+def comparison(rule: Column) -> Column:
+    """How a rule compares: the operator, and for equality the kind of value. Null without a rule."""
+    return F.when(rule["match_op"] == "eq", F.when(rule["datatype"] == "numeric", "eq_number").when(rule["datatype"] == "bool", "eq_bool").otherwise("eq_text")).otherwise(rule["match_op"])
 
 
-def typed_offers(bag: Column) -> Column:
-    """A product's bag as map from key to typed value."""
-    return F.transform_values(bag, typed_value)
+def typed_value(how: Column, name: Column, value: Column) -> tuple[Column, Column]:
+    """What a comparison needs of a value, read once: a number (or rank, for an ordering), or a text."""
+    number = spec_number(value)
+    num = F.when(how == "eq_number", number).when(how.isin("gte", "lte"), F.coalesce(number, scale_rank(name, value)))
+    txt = F.when(how == "eq_bool", F.lower(value)).when(how == "eq_text", strip(F.lower(value)))
+    return num.alias("num"), txt.alias("txt")
 
 
 def typed_requirements(bag: Column, rules: Column) -> Column:
-    """A line's bag as array of (attr, op, typed value), the operator telling the type too; null where no rule is known."""
+    """A line's bag as array of (attr, how, num, txt)."""
 
     def one(e: Column) -> Column:
-        rule = F.element_at(rules, e["key"])
-        how = F.when(rule["match_op"] == "eq", F.when(rule["datatype"] == "numeric", "eq_number").when(rule["datatype"] == "bool", "eq_bool").otherwise("eq_text")).otherwise(rule["match_op"])
-        return F.struct(e["key"].alias("attr"), how.alias("how"), typed_value(e["key"], e["value"]).alias("v"))
+        how = comparison(F.element_at(rules, e["key"]))
+        return F.struct(e["key"].alias("attr"), how.alias("how"), *typed_value(how, e["key"], e["value"]))
 
     return F.transform(F.map_entries(bag), one)
 
 
+def typed_offers(bag: Column, rules: Column) -> Column:
+    """A product's bag as map from attribute to (num, txt), of attributes with a rule only."""
+    known = F.map_filter(bag, lambda k, _: F.map_contains_key(rules, k))
+    return F.transform_values(known, lambda k, v: F.struct(*typed_value(comparison(F.element_at(rules, k)), k, v)))
+
+
 def complies(r: Column, o: Column) -> Column:
     """SCA-3 on typed values: true, false, or null where nothing can be verified."""
-    v, how = r["v"], r["how"]
     return (
-        F.when(how == "eq_number", F.abs(v["number"] - o["number"]) < TOLERANCE)
-        .when(how == "eq_bool", v["text"] == o["text"])
-        .when(how == "eq_text", v["trimmed"] == o["trimmed"])
-        .when(how == "gte", o["level"] >= v["level"])
-        .when(how == "lte", o["level"] <= v["level"])
+        F.when(r["how"] == "gte", o["num"] >= r["num"])
+        .when(r["how"] == "lte", o["num"] <= r["num"])
+        .when(r["how"] == "eq_number", F.abs(r["num"] - o["num"]) < TOLERANCE)
+        .when(r["how"].isin("eq_text", "eq_bool"), r["txt"] == o["txt"])
     )
 
 
-def verdicts(required: Column, offered: Column) -> Column:
-    """JN-6, JN-23: array of (attr, required, offered, verdict) for each required attribute, from typed values."""
+def verdicts(required: Column, offered: Column, required_bag: Column, offered_bag: Column) -> Column:
+    """JN-6, JN-23: array of (attr, required, offered, verdict) for each required attribute; typed values judge, bags give the texts."""
 
     def one(r: Column) -> Column:
-        o = F.element_at(offered, r["attr"])
-        ok = complies(r, o)
-        return F.struct(r["attr"].alias("attr"), r["v"]["raw"].alias("required"), o["raw"].alias("offered"), F.when(ok, COMPLIANT).when(~ok, DEVIATION).otherwise(UNVERIFIABLE).alias("verdict"))
+        ok = complies(r, F.element_at(offered, r["attr"]))
+        verdict = F.when(ok, COMPLIANT).when(~ok, DEVIATION).otherwise(UNVERIFIABLE)
+        return F.struct(r["attr"].alias("attr"), F.element_at(required_bag, r["attr"]).alias("required"), F.element_at(offered_bag, r["attr"]).alias("offered"), verdict.alias("verdict"))
 
     return F.transform(required, one)
 
@@ -84,19 +88,30 @@ def score(required: Column, offered: Column) -> Column:
     return F.when(F.size(required) > 0, F.floor(good * 100 / F.size(required))).otherwise(0).cast("int")
 
 
+def requirements(lines: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Classified lines with their typed requirements."""
+    wanted = lines.where("class_id is not null").join(class_rules(definitions), "class_id", "left")
+    return wanted.select("line_id", "tender_id", "class_id", typed_requirements(F.col("attributes"), F.col("rules")).alias("required"), F.col("attributes").alias("required_bag"))
+
+
+def offers(products: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Products of a class with their typed offers."""
+    known = products.where("class_id is not null").join(class_rules(definitions), "class_id", "left")
+    empty = F.create_map().cast("map<string,struct<num:double,txt:string>>")
+    return known.select("product_id", "supplier_id", "class_id", F.coalesce(typed_offers(F.col("attributes"), F.col("rules")), empty).alias("offered"), F.col("attributes").alias("offered_bag"))
+
+
 def candidate_pairs(lines: DataFrame, scope: DataFrame, products: DataFrame, definitions: DataFrame, crawler_stale: bool = True, how: str = "inner") -> DataFrame:
     """JN-4, FLT-1: lines with the products of their class whose supplier is in scope and that are not stale, with their score.
 
     The join is on supplier and class together: lines meet only suppliers in scope, and no class is one hot key. Values are
     read before the join, once a line and once a product, so that a pair costs comparisons alone.
     """
-    offered = products.where("not is_stale and class_id is not null")
+    fresh = products.where("not is_stale and class_id is not null")
     if not crawler_stale:
-        offered = offered.where("not coalesce(crawler_stale, false)")
-    offered = offered.select("product_id", "supplier_id", "class_id", typed_offers(F.col("attributes")).alias("offered"))
-    wanted = lines.where("class_id is not null").join(class_rules(definitions), "class_id", "left")
-    wanted = wanted.select("line_id", "tender_id", "class_id", typed_requirements(F.col("attributes"), F.col("rules")).alias("required"))
-    pairs = wanted.join(scope.select("tender_id", "supplier_id").distinct(), "tender_id", how).join(offered, ["supplier_id", "class_id"], how)
+        fresh = fresh.where("not coalesce(crawler_stale, false)")
+    offered = offers(fresh, definitions).drop("offered_bag")
+    pairs = requirements(lines, definitions).drop("required_bag").join(scope.select("tender_id", "supplier_id").distinct(), "tender_id", how).join(offered, ["supplier_id", "class_id"], how)
     return pairs.withColumn("score", F.when(F.col("product_id").isNotNull(), score(F.col("required"), F.col("offered"))))
 
 
@@ -121,9 +136,12 @@ def match_lines(lines: DataFrame, scope: DataFrame, products: DataFrame, definit
         "line_id", "tender_id", F.col("exact_id").alias("product_id"), F.when(F.col("exact_id").isNotNull(), "exact").alias("match_type"), F.when(F.col("exact_id").isNotNull(), 100).otherwise(0).alias("score"),
         F.array().cast(none).alias("verdicts"), F.array().cast(others).alias("alternatives"),
     )
-    top = ranked(candidate_pairs(settled.where("exact_id is null"), scope, products, definitions, how="left"))
+    wanted = settled.where("exact_id is null")
+    # the ranking sees ids and scores alone; bags are joined again to the few rows that it keeps
+    slim = candidate_pairs(wanted, scope, products, definitions, how="left").select("line_id", "tender_id", "product_id", "score")
+    top = ranked(slim).join(requirements(wanted, definitions).select("line_id", "required", "required_bag"), "line_id").join(offers(products, definitions).select("product_id", "offered", "offered_bag"), "product_id", "left")
     good = (F.col("score") > 0) & ((F.col("place") == 1) | (F.col("score") >= LEAST_ALTERNATIVE))
-    entry = F.when(good, F.struct("place", "product_id", "score", verdicts(F.col("required"), F.col("offered")).alias("verdicts")))
+    entry = F.when(good, F.struct("place", "product_id", "score", verdicts(F.col("required"), F.col("offered"), F.col("required_bag"), F.col("offered_bag")).alias("verdicts")))
     found = top.groupBy("line_id", "tender_id").agg(F.array_sort(F.collect_list(entry)).alias("all"))
     best = F.get("all", F.lit(0))
     by_spec = found.select(

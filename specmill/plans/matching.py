@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbers import COMPLIANT
 from ..operators import matching as M
 from . import adapter as A
 from .registry import register
@@ -41,9 +40,8 @@ def attribute_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, scope, products = A.lines(spark, sf_dir), A.scope(spark, sf_dir), A.products(spark, sf_dir)
     open_lines = lines.join(M.exact_matches(lines, scope, products).select("line_id"), "line_id", "left_anti")
     pairs = M.candidate_pairs(open_lines, scope, products, A.definitions(spark, sf_dir))
-    told = pairs.select("line_id", "score", M.verdicts(F.col("required"), F.col("offered")).alias("verdicts"))
-    ok = lambda name: F.count_if(F.exists("verdicts", lambda v: (v["attr"] == name) & (v["verdict"] == COMPLIANT)))
-    return told.groupBy("line_id").agg(ok("size").alias("n_size"), ok("brand").alias("n_brand"), ok("insulation_class").alias("n_class"), F.count("*").alias("n_pairs"), F.max("score").alias("best"))
+    ok = lambda name: F.count_if(F.exists("required", lambda r: (r["attr"] == name) & F.coalesce(M.complies(r, F.element_at("offered", r["attr"])), F.lit(False))))
+    return pairs.groupBy("line_id").agg(ok("size").alias("n_size"), ok("brand").alias("n_brand"), ok("insulation_class").alias("n_class"), F.count("*").alias("n_pairs"), F.max("score").alias("best"))
 
 
 @register(
