@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,9 @@ class Scratch:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="specmill_")
+            folder = tempfile.mkdtemp(prefix="specmill_")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            base = f"file://{folder}"
             spark.conf.set("spark.checkpoint.dir", base)
         self.base = f"{base.rstrip('/')}/{name}_{uuid.uuid4().hex}"
         self.n = 0
@@ -44,7 +48,8 @@ def connected_components(scratch: Scratch, edges: DataFrame, most_rounds: int =
 
     Alternating large-star and small-star rounds. A node's neighbours are never gathered: the minimum is a partial
     aggregate, which is written and joined back. Both sides of the join are then dealt anew, so that Spark can split a hub
-    with very many edges like any skewed key. Every round is written to the shared folder. Self edges and repeated edges are allowed; nodes without an edge are not returned.
+    with very many edges like any skewed key. Every round is written to the shared folder. Self edges and repeated edges
+    are allowed; nodes without an edge are not returned.
     """
     state = None
     cur = edges.where("a <> b and a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
