@@ -9,6 +9,8 @@ from ..functions.identity import DEFAULT_CURRENCY
 from ..functions.numbers import COMPLIANT, DEVIATION, TOLERANCE, UNVERIFIABLE, match_status, scale_rank, simple_compliance, spec_number, strip
 
 LEAST_ALTERNATIVE, MOST_ALTERNATIVES = 40, 5
+#: Attribute names that are compared as fields of their own.
+MOST_COMPILED = 32
 
 
 def in_scope(lines: DataFrame, scope: DataFrame) -> DataFrame:
@@ -101,18 +103,51 @@ def offers(products: DataFrame, definitions: DataFrame) -> DataFrame:
     return known.select("product_id", "supplier_id", "class_id", F.coalesce(typed_offers(F.col("attributes"), F.col("rules")), empty).alias("offered"), F.col("attributes").alias("offered_bag"))
 
 
-def candidate_pairs(lines: DataFrame, scope: DataFrame, products: DataFrame, definitions: DataFrame, crawler_stale: bool = True, how: str = "inner") -> DataFrame:
+def attribute_names(definitions: DataFrame, most: int = MOST_COMPILED) -> list[str] | None:
+    """The names that any class defines, in order, or null if there are more than ``most``."""
+    names = [r[0] for r in definitions.select("name").distinct().limit(most + 1).collect()]
+    return sorted(names) if len(names) <= most else None
+
+
+def _compiled(lines: DataFrame, products: DataFrame, definitions: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame, list[Column]]:
+    """Lines and products with a struct field for each name, and a flag column for each: pairs then run in generated code."""
+    rules = class_rules(definitions)
+
+    def field(i: int, name: str, required: bool) -> Column:
+        how = comparison(F.element_at("rules", name))
+        return F.struct(*([how.alias("how")] if required else []), *typed_value(how, F.lit(name), F.element_at("attributes", name))).alias(f"a{i}")
+
+    wanted = lines.where("class_id is not null").join(rules, "class_id", "left")
+    wanted = wanted.select("line_id", "tender_id", "class_id", F.size("attributes").alias("n_required"), F.struct(*(field(i, n, True) for i, n in enumerate(names))).alias("r"))
+    offered = products.join(rules, "class_id", "left").select("product_id", "supplier_id", "class_id", F.struct(*(field(i, n, False) for i, n in enumerate(names))).alias("o"))
+    return wanted, offered, [F.coalesce(complies(F.col(f"r.a{i}"), F.col(f"o.a{i}")), F.lit(False)) for i in range(len(names))]
+
+
+def candidate_pairs(lines: DataFrame, scope: DataFrame, products: DataFrame, definitions: DataFrame, crawler_stale: bool = True, how: str = "inner", names: list[str] | None = None) -> DataFrame:
     """JN-4, FLT-1: lines with the products of their class whose supplier is in scope and that are not stale, with their score.
 
     The join is on supplier and class together: lines meet only suppliers in scope, and no class is one hot key. Values are
-    read before the join, once a line and once a product, so that a pair costs comparisons alone.
+    read before the join, once a line and once a product, so that a pair costs comparisons alone. Up to MOST_COMPILED attribute
+    names, each is a field of its own and ``hits`` has a flag for each of ``names``; beyond that arrays and maps are compared.
     """
     fresh = products.where("not is_stale and class_id is not null")
     if not crawler_stale:
         fresh = fresh.where("not coalesce(crawler_stale, false)")
-    offered = offers(fresh, definitions).drop("offered_bag")
-    pairs = requirements(lines, definitions).drop("required_bag").join(scope.select("tender_id", "supplier_id").distinct(), "tender_id", how).join(offered, ["supplier_id", "class_id"], how)
-    return pairs.withColumn("score", F.when(F.col("product_id").isNotNull(), score(F.col("required"), F.col("offered"))))
+    names = names or attribute_names(definitions)
+    suppliers = scope.select("tender_id", "supplier_id").distinct()
+    if not names:
+        wanted, offered = requirements(lines, definitions).drop("required_bag"), offers(fresh, definitions).drop("offered_bag")
+        points = score(F.col("required"), F.col("offered"))
+        hits = F.array().cast("array<boolean>")
+    else:
+        wanted, offered, flags = _compiled(lines, fresh, definitions, names)
+        total = flags[0].cast("int")
+        for flag in flags[1:]:
+            total = total + flag.cast("int")
+        points = F.when(F.col("n_required") > 0, F.floor(total * 100 / F.col("n_required"))).otherwise(0).cast("int")
+        hits = F.array(*flags)
+    pairs = wanted.join(suppliers, "tender_id", how).join(offered, ["supplier_id", "class_id"], how)
+    return pairs.select("line_id", "tender_id", "class_id", "product_id", F.when(F.col("product_id").isNotNull(), points).alias("score"), hits.alias("hits"))
 
 
 def ranked(pairs: DataFrame, most: int = MOST_ALTERNATIVES) -> DataFrame:

@@ -39,8 +39,10 @@ def attribute_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of all candidate pairs, counted by line and attribute."""
     lines, scope, products = A.lines(spark, sf_dir), A.scope(spark, sf_dir), A.products(spark, sf_dir)
     open_lines = lines.join(M.exact_matches(lines, scope, products).select("line_id"), "line_id", "left_anti")
-    pairs = M.candidate_pairs(open_lines, scope, products, A.definitions(spark, sf_dir))
-    ok = lambda name: F.count_if(F.exists("required", lambda r: (r["attr"] == name) & F.coalesce(M.complies(r, F.element_at("offered", r["attr"])), F.lit(False))))
+    definitions = A.definitions(spark, sf_dir)
+    names = M.attribute_names(definitions)
+    pairs = M.candidate_pairs(open_lines, scope, products, definitions, names=names)
+    ok = lambda name: F.count_if(F.col("hits")[names.index(name)])
     return pairs.groupBy("line_id").agg(ok("size").alias("n_size"), ok("brand").alias("n_brand"), ok("insulation_class").alias("n_class"), F.count("*").alias("n_pairs"), F.max("score").alias("best"))
 
 

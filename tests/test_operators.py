@@ -164,3 +164,12 @@ def test_miss_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("misses").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert [(r.run, r.misses, r.stale) for r in spark.table("misses").orderBy("run").collect()] == [(1, 0, False), (2, 1, False), (3, 2, True), (4, 0, False)]
+
+
+def test_matching_with_many_attributes_gives_the_same(spark, monkeypatch):
+    lines = [(i, 1, "x", "c", {"max_voltage": str(i * 100), "has_trms": "true", "insulation_class": "F"}) for i in range(1, 6)]
+    products = [(i, 1, "c", "p", None, False, {"max_voltage": str(i * 90), "has_trms": "true" if i % 2 else "false", "insulation_class": "abfhn"[i % 5]}) for i in range(1, 12)]
+    told = lambda: {k: (r.product_id, r.score, [tuple(v) for v in r.verdicts], [(a.product_id, a.score) for a in r.alternatives]) for k, r in _match(spark, lines, products).items()}
+    compiled = told()
+    monkeypatch.setattr(matching, "attribute_names", lambda definitions: None)
+    assert told() == compiled
