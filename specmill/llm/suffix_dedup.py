@@ -52,7 +52,7 @@ EMPTY = Entries(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.i
 
 
 def scan(e: Entries) -> tuple[Entries, Entries]:
-    """Sorts by k; of entries equal in k and u the earliest stays, the others are returned as repeated."""
+    """Sorts by k; of entries equal in k, u and length the earliest stays, the others are returned as repeated."""
     e = e.take(np.argsort(e.c[0], kind="stable"))
     k = e.c[0]
     same = np.zeros(len(k) + 1, bool)
@@ -61,9 +61,9 @@ def scan(e: Entries) -> tuple[Entries, Entries]:
     if not len(runs):
         return e, EMPTY
     sub = e.take(runs)
-    sub = sub.take(np.lexsort((sub.c[4], sub.c[3], sub.c[2], sub.c[1], sub.c[0])))
+    sub = sub.take(np.lexsort((sub.c[4], sub.c[3], sub.c[2], sub.c[5], sub.c[1], sub.c[0])))
     again = np.zeros(len(sub), bool)
-    again[1:] = (sub.c[0][1:] == sub.c[0][:-1]) & (sub.c[1][1:] == sub.c[1][:-1])
+    again[1:] = (sub.c[0][1:] == sub.c[0][:-1]) & (sub.c[1][1:] == sub.c[1][:-1]) & (sub.c[5][1:] == sub.c[5][:-1])
     # rows with equal doc_id and text are one document: the same place twice is no repetition
     place = np.zeros(len(sub), bool)
     place[1:] = again[1:] & (sub.c[2][1:] == sub.c[2][:-1]) & (sub.c[3][1:] == sub.c[3][:-1]) & (sub.c[4][1:] == sub.c[4][:-1])
@@ -99,6 +99,13 @@ class Family:
         return batch, Entries.join(out)
 
 
+def second(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte ranges, by another table and base than those of ``ranges``."""
+    h = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_TAB[data ^ 0x5A] * powers(_R2, len(data)), out=h[1:])
+    return mix((h[end] - h[start]) * powers(pow(_R2, -1, 2**64), len(h))[start])
+
+
 def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """k, u, row, first window within the row and number of windows, for each anchor."""
     n = len(data)
@@ -125,7 +132,7 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     good = anchor[head] >= 0
     head, end = head[good], end[good]
     k = mix(g[anchor[head]] + U(1))  # mixed again: hashes that are least of many are small, and k is cut into ranges
-    u = mix(ranges(h, head, end + WINDOW - 1) + U(0x1234567)) >> U(24)
+    u = second(data, head, end + WINDOW - 1)  # whole: k is that of the string alone, so only u tells its contexts apart
     row = np.searchsorted(offs, head, side="right") - 1
     return k, u, row, (head - offs[row]).astype(np.uint32), (end - head).astype(np.uint32)
 
@@ -140,7 +147,7 @@ def _out(e: Entries, parts: int) -> Iterator[pa.RecordBatch]:
         k, u, d, t, pos, ln = e.take(slice(cut[p], cut[p + 1])).c
         docs, idx = np.unique(np.stack([d, t], 1), axis=0, return_inverse=True)
         ids.append(int(p))
-        rows.append(pack(deltas(k), (u & U(0xFFFFFFFF)).astype(np.uint32), (u >> U(32)).astype(np.uint8), docs[:, 0].copy(), docs[:, 1].copy(), idx.reshape(-1).astype(np.uint32), pos, ln))
+        rows.append(pack(deltas(k), (u & U(0xFFFFFFFF)).astype(np.uint32), (u >> U(32)).astype(np.uint32), docs[:, 0].copy(), docs[:, 1].copy(), idx.reshape(-1).astype(np.uint32), pos, ln))
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(rows, pa.binary())], ["part", "block"])
 
 
@@ -280,9 +287,7 @@ def probe_batches(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.
         start, ln = spans
         at = np.repeat(start - (np.cumsum(ln) - ln), ln) + np.arange(ln.sum())
         k = ranges(prefix(data), at, at + WINDOW)
-        h2 = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TAB[data ^ 0x5A] * powers(_R2, len(data)), out=h2[1:])
-        u = mix((h2[at + WINDOW] - h2[at]) * powers(pow(_R2, -1, 2**64), len(h2))[at]) >> U(24)
+        u = second(data, at, at + WINDOW) >> U(24)  # 40 bits besides the 64 of k, both of the whole window
         have.append(Entries(k, u, np.full(len(at), doc_id if doc_id is not None else _LAST), np.full(len(at), th), at.astype(np.uint32), np.ones(len(at), np.uint32)))
         size += len(at)
         if size >= 300_000:

@@ -177,6 +177,21 @@ def test_suffix_dedup(spark, docs):
     assert same.columns == docs.columns and {r.node for r in same.collect()} == {"clash"}
 
 
+def test_suffix_dedup_tells_contexts_apart(spark):
+    """Two texts around one string of 50 bytes, and no 100 bytes in common, whose contexts share the 40 bits of hash once compared."""
+    hot = "lmfsmfntjzenpeyiuoeoebqqpvwhxzcbsjydycerxtgtiiujuv"
+    a = f"axzhnthdxhlxzmfxjisrdompifinwtykxfkqcmdtvqcfhfyage{hot}rcipdyyaoadpgkyywjufyktwumpynulnguvdbijxwlqglifmpk"
+    b = f"zpzeafwxguyynaunjwajlwjhbfdaawixkfksjthofnwszlxtyb{hot}pbbbqhvwaqcghcfgeedqdjejwztnoekwisnxzbmxbunuhtdutn"
+    docs = spark.createDataFrame([(1, a), (2, b), (3, b)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.suffix_dedup(spark, docs).collect()} == {1: 0, 2: 0, 3: 150}
+
+
+def test_scan_compares_lengths():
+    one = np.ones(2, np.int64)
+    kept, again = suffix_dedup.scan(suffix_dedup.Entries(one.astype(np.uint64), one.astype(np.uint64), np.arange(2), one, np.zeros(2, np.uint32), np.array([3, 4], np.uint32)))
+    assert len(kept) == 2 and len(again) == 0
+
+
 def test_index_family_keeps_the_earliest():
     rng = np.random.default_rng(2)
     family, out, everything = suffix_dedup.Family(), [], []
