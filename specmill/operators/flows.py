@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,19 +77,26 @@ def merge_spellings(products: DataFrame, spellings: DataFrame) -> DataFrame:
     return out.withColumn("attributes", F.when(F.col("spellings").isNotNull(), replace_values(F.col("attributes"), F.col("spellings"))).otherwise(F.col("attributes"))).drop("spellings")
 
 
-def sync_classes(products: DataFrame, definitions: DataFrame, groups: DataFrame, spellings: DataFrame) -> tuple[DataFrame, DataFrame]:
+def sync_classes(
+    products: DataFrame, definitions: DataFrame, groups: DataFrame | Callable[[DataFrame, DataFrame], DataFrame], spellings: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """DML-8, DML-12 for all classes at once: accessories, missing and repaired definitions, duplicate keys, spellings, and repair again.
-    ``groups`` and ``spellings`` are checked proposals of a model. Returns products and definitions."""
+    ``groups`` and ``spellings`` are checked proposals of a model; ``groups`` may be a function that asks for them anew in each pass.
+    Returns products, definitions and the aliases of merged keys."""
+    if "value_aliases" not in definitions.columns:
+        definitions = definitions.withColumn("value_aliases", F.lit(None).cast("map<string,string>"))
 
     def synced(products: DataFrame, definitions: DataFrame) -> DataFrame:
-        new = ingest.missing_specs(products, definitions).select("class_id", F.col("key").alias("name"), F.lit("text").alias("datatype"), F.lit("eq").alias("match_op"), F.lit(None).cast("string").alias("canonical_unit"))
+        new = ingest.missing_specs(products, definitions).select(
+            "class_id", F.col("key").alias("name"), F.lit("text").alias("datatype"), F.lit("eq").alias("match_op"), F.lit(None).cast("string").alias("canonical_unit"), F.lit(None).cast("map<string,string>").alias("value_aliases")
+        )
         return ingest.repaired_definitions(definitions.select(*new.columns).unionByName(new), ingest.inferred_types(products, definitions)).drop("ordered")
 
     products, definitions = normalize_stored(products, definitions)
     definitions = synced(products, definitions)
-    products, definitions, _ = ingest.merge_duplicates(products, definitions, groups)
+    products, definitions, aliases = ingest.merge_until_stable(products, definitions, groups)
     products = merge_spellings(products, spellings)
-    return products, synced(products, definitions)
+    return products, synced(products, definitions), aliases
 
 
 def typeahead(suppliers: DataFrame, chosen: DataFrame, text: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.attrs import from_ranked, is_identifier, may_merge
+from ..functions.attrs import from_ranked, is_identifier, map_union, may_merge
 from ..functions.identity import DEFAULT_CURRENCY, blank_to_null, chunk_key
-from ..functions.numbers import is_ordered, match_op, same_value, spec_number, unit_of_key
+from ..functions.numbers import is_ordered, match_op, same_value, spec_number, strip, unit_of_key
 from ..functions.text import MAX_CHUNK, chunks
 
 LEAST_SHARE, SAMPLES, MOST_SPELLINGS, MOST_PASSES = 0.05, 8, 40, 3
@@ -137,27 +139,113 @@ def inferred_types(products: DataFrame, definitions: DataFrame) -> DataFrame:
     return seen.withColumn("datatype", kind).select("class_id", "key", "datatype", F.when(F.col("datatype") == "numeric", unit_of_key(F.col("key"))).alias("unit"), match_op(F.col("datatype"), F.coalesce("current_op", F.lit("eq")), F.col("key")).alias("match_op"))
 
 
+def _value_maps(groups: DataFrame) -> DataFrame:
+    """Groups with ``value_map``: trimmed lower-case value to canonical value, of the pairs that may merge; empty where there is none."""
+    if "value_map" not in groups.columns:
+        return groups.withColumn("value_map", F.create_map().cast("map<string,string>"))
+    entries = F.map_entries(F.map_filter("value_map", lambda k, v: may_merge(k, v)))
+    # of values that differ only in case or space the last one counts
+    m = from_ranked(F.transform(entries, lambda e, i: F.struct(F.lower(strip(e["key"])).alias("key"), e["value"].alias("value"), (-i).alias("how"))))
+    return groups.withColumn("value_map", F.coalesce(m, F.create_map().cast("map<string,string>")))
+
+
+def _translated(value: Column, value_map: Column) -> Column:
+    return F.coalesce(F.element_at(value_map, F.lower(strip(value))), value)
+
+
 def merge_conflicts(products: DataFrame, groups: DataFrame) -> DataFrame:
-    """AGG-12: (class_id, canonical, alias, conflict): whether any product has both keys with other values."""
-    pairs = groups.select("class_id", "canonical", F.explode("aliases").alias("alias"))
+    """AGG-12: (class_id, canonical, alias, conflict): whether any product has both keys with other values, by the value map of the group."""
+    pairs = _value_maps(groups).select("class_id", "canonical", "value_map", F.explode("aliases").alias("alias"))
     both = products.select("class_id", "attributes").join(pairs, "class_id")
     a, b = F.element_at("attributes", F.col("canonical")), F.element_at("attributes", F.col("alias"))
-    return both.groupBy("class_id", "canonical", "alias").agg(F.coalesce(F.bool_or(a.isNotNull() & b.isNotNull() & ~same_value(a, b)), F.lit(False)).alias("conflict"))
+    differ = a.isNotNull() & b.isNotNull() & ~same_value(_translated(a, F.col("value_map")), _translated(b, F.col("value_map")))
+    return both.groupBy("class_id", "canonical", "alias").agg(F.coalesce(F.bool_or(differ), F.lit(False)).alias("conflict"))
 
 
-def merge_duplicates(products: DataFrame, definitions: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """DML-9, one pass: products with alias keys moved to the canonical one, definitions without those of aliases, and the aliases.
-    A group of which any alias conflicts is left alone."""
-    checked = merge_conflicts(products, groups)
+def _rounds(groups: DataFrame) -> DataFrame:
+    """Groups with ``round``: groups of a class that share a key go one after another, all others at once."""
+    each = groups.withColumn("n", F.row_number().over(Window.partitionBy("class_id").orderBy("canonical", F.array_join("aliases", "\u0001"), F.to_json("value_map"))))
+    keys = each.select("class_id", "n", F.explode(F.array_distinct(F.concat(F.array("canonical"), "aliases"))).alias("key"))
+    clash = keys.withColumn("uses", F.count("*").over(Window.partitionBy("class_id", "key"))).where("uses > 1").select("class_id", "n").distinct()
+    turn = clash.withColumn("round", F.row_number().over(Window.partitionBy("class_id").orderBy("n")))
+    return each.join(turn, ["class_id", "n"], "left").withColumn("round", F.coalesce("round", F.lit(1))).drop("n")
+
+
+def _known_as(groups: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Groups without aliases that are merged already, and with the canonical key that their own has become; groups without an alias left go."""
+    names = aliases.groupBy("class_id").agg(F.map_from_entries(F.collect_list(F.struct("alias", "canonical"))).alias("names"))
+    out = groups.join(names, "class_id", "left").withColumn("names", F.coalesce("names", F.create_map().cast("map<string,string>")))
+    out = out.withColumn("canonical", F.coalesce(F.element_at("names", F.col("canonical")), "canonical"))
+    return out.withColumn("aliases", F.filter("aliases", lambda x: (x != F.col("canonical")) & ~F.map_contains_key("names", x))).where(F.size("aliases") > 0).drop("names")
+
+
+def _merge_round(products: DataFrame, definitions: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Merges groups that share no key."""
+    checked = merge_conflicts(products, groups.select("class_id", "canonical", "aliases", "value_map"))
     good = groups.join(checked.where("conflict").select("class_id", "canonical").distinct(), ["class_id", "canonical"], "left_anti")
-    alias = good.select("class_id", "canonical", F.explode("aliases").alias("alias"))
-    moves = alias.groupBy("class_id").agg(F.map_from_entries(F.collect_list(F.struct("alias", "canonical"))).alias("moves"))
+    # no more than the model has answered; as rows, so that the plan of a round does not hold those before it several times
+    good = good.sparkSession.createDataFrame(good.collect(), good.schema)
+    alias = good.select("class_id", "canonical", F.posexplode(F.array_distinct("aliases")).alias("place", "alias"))
+    to = F.struct("canonical", (F.col("place") + 1).alias("how"))
+    moves = alias.groupBy("class_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("alias"), to.alias("to")))).alias("moves"))
+    moves = moves.join(good.groupBy("class_id").agg(F.map_from_entries(F.collect_list(F.struct("canonical", "value_map"))).alias("translations")), "class_id")
+
     def entry(e: Column) -> Column:
-        to = F.coalesce(F.element_at("moves", e["key"]), e["key"])
-        return F.struct(to.alias("key"), e["value"].alias("value"), F.when(to == e["key"], 0).otherwise(1).alias("how"))
+        to = F.element_at("moves", e["key"])
+        # an own value wins, then that of the first alias; no value gives way to any
+        return F.struct(F.coalesce(to["canonical"], e["key"]).alias("key"), e["value"].alias("value"), F.when(e["value"].isNull(), 1 << 30).otherwise(F.coalesce(to["how"], F.lit(0))).alias("how"))
+
+    bag = F.transform_values(from_ranked(F.transform(F.map_entries("attributes"), entry)), lambda k, v: _translated(v, F.element_at("translations", k)))
+    moved = products.join(moves, "class_id", "left").withColumn("attributes", F.when(F.col("moves").isNotNull(), bag).otherwise(F.col("attributes"))).drop("moves", "translations")
+    left = definitions.join(alias.select("class_id", F.col("alias").alias("name")), ["class_id", "name"], "left_anti")
+    said = good.where(F.size("value_map") > 0).select("class_id", F.col("canonical").alias("name"), F.col("value_map").alias("_said"))
+    left = left.join(said, ["class_id", "name"], "left")
+    known = F.coalesce("value_aliases", F.create_map().cast("map<string,string>"))
+    left = left.withColumn("value_aliases", F.when(F.col("_said").isNull(), F.col("value_aliases")).otherwise(map_union(known, F.col("_said")))).drop("_said")
+    return moved, left, alias.select("class_id", "canonical", "alias")
 
-    moved = products.join(moves, "class_id", "left").withColumn("attributes", F.when(F.col("moves").isNotNull(), from_ranked(F.transform(F.map_entries("attributes"), entry))).otherwise(F.col("attributes"))).drop("moves")
-    return moved, definitions.join(alias.select("class_id", F.col("alias").alias("name")), ["class_id", "name"], "left_anti"), alias
+
+def merge_duplicates(products: DataFrame, definitions: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """DML-9, one pass: products with alias keys moved to the canonical one and its values translated by the value map of the group,
+    definitions without those of aliases and with the translations in ``value_aliases``, and the aliases.
+    A group of which any alias conflicts is left alone. A value map counts as far as its values may merge (QK-18)."""
+    if "value_aliases" not in definitions.columns:
+        definitions = definitions.withColumn("value_aliases", F.lit(None).cast("map<string,string>"))
+    ready = _rounds(_value_maps(groups.withColumn("aliases", F.array_remove("aliases", F.col("canonical")))).where(F.size("aliases") > 0))
+    last = ready.agg(F.max("round")).first()[0] or 0
+    aliases = None
+    for n in range(1, last + 1):
+        now = ready.where(F.col("round") == n).drop("round")
+        products, definitions, alias = _merge_round(products, definitions, now if aliases is None else _known_as(now, aliases))
+        # keys that became an alias only now lead their own aliases on
+        aliases = alias if aliases is None else _followed(aliases, alias)
+    if aliases is None:
+        aliases = groups.select("class_id", "canonical", F.explode("aliases").alias("alias")).limit(0)
+    return products, definitions, aliases
+
+
+def _followed(before: DataFrame, new: DataFrame) -> DataFrame:
+    """All aliases, the older ones by the canonical key that theirs has become."""
+    step = new.select("class_id", F.col("alias").alias("canonical"), F.col("canonical").alias("further"))
+    return before.join(step, ["class_id", "canonical"], "left").select("class_id", F.coalesce("further", "canonical").alias("canonical"), "alias").unionByName(new)
+
+
+def merge_until_stable(products: DataFrame, definitions: DataFrame, groups: DataFrame | Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """DML-9: passes of ``merge_duplicates`` until one merges nothing, at most ``MOST_PASSES``.
+
+    ``groups`` are proposals, or a function that makes them anew from the products and definitions of each pass.
+    """
+    aliases = None
+    for _ in range(MOST_PASSES):
+        proposed = groups(products, definitions) if callable(groups) else groups
+        if aliases is not None:
+            proposed = _known_as(proposed, aliases)
+        products, definitions, new = merge_duplicates(products, definitions, proposed)
+        merged = not new.isEmpty()
+        aliases = new if aliases is None else _followed(aliases, new) if merged else aliases
+        if not merged:
+            break
+    return products, definitions, aliases
 
 
 def allowed_spellings(proposed: DataFrame) -> DataFrame:
@@ -176,6 +264,6 @@ def repaired_definitions(definitions: DataFrame, inferred: DataFrame) -> DataFra
     seen = inferred.select("class_id", F.col("key").alias("name"), F.col("datatype").alias("new_type"), F.col("unit").alias("new_unit"))
     kept = definitions.where(~is_identifier(F.col("name"))).join(seen, ["class_id", "name"], "left")
     kind = F.coalesce("new_type", "datatype")
-    return kept.select("class_id", "name", kind.alias("datatype"), F.when(kind == "numeric", F.coalesce("new_unit", "canonical_unit")).alias("canonical_unit"), match_op(kind, F.col("match_op"), F.col("name")).alias("match_op"), is_ordered(F.col("name")).alias("ordered"))
+    return kept.select("class_id", "name", kind.alias("datatype"), F.when(kind == "numeric", F.coalesce("new_unit", "canonical_unit")).alias("canonical_unit"), match_op(kind, F.col("match_op"), F.col("name")).alias("match_op"), is_ordered(F.col("name")).alias("ordered"), *(c for c in ("value_aliases",) if c in definitions.columns))
 
 

@@ -188,6 +188,19 @@ def merge_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select("product_id", "class_id", F.element_at("attributes", "size").alias("size"), F.size("attributes").cast("long").alias("n_keys"))
 
 
+@register("merge_translated", "select p_partkey as product_id, case when p_size % 2 = 0 then '1' else '3' end as phase, 1::bigint as n_keys from part")
+def merge_translated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twins that agree only by the value map of their group; every fifth product has the alias alone."""
+    one = F.col("p_size") % 2 == 0
+    both = F.create_map(F.lit("phase"), F.when(one, "1").otherwise("three"), F.lit("phases"), F.when(one, "Single").otherwise("3"))
+    alone = F.create_map(F.lit("phases"), F.when(one, " SINGLE").otherwise("Three"))
+    twins = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("class_id"), F.when(F.col("p_partkey") % 5 == 0, alone).otherwise(both).alias("attributes"))
+    said = F.create_map(F.lit("single"), F.lit("1"), F.lit("three"), F.lit("3"))
+    groups = twins.select("class_id").distinct().select("class_id", F.lit("phase").alias("canonical"), F.array(F.lit("phases")).alias("aliases"), said.alias("value_map"))
+    moved, _, _ = I.merge_duplicates(twins, A.definitions(spark, sf_dir), groups)
+    return moved.select("product_id", F.element_at("attributes", "phase").alias("phase"), F.size("attributes").cast("long").alias("n_keys"))
+
+
 @register("repaired_definitions", "select distinct p_type as class_id, v.name, v.datatype, null::varchar as canonical_unit, v.match_op, v.name = 'insulation_class' as ordered from part, (values ('size', 'numeric', 'gte'), ('brand', 'text', 'eq'), ('insulation_class', 'text', 'gte'), ('price', 'numeric', 'lte')) v(name, datatype, match_op)")
 def repaired_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = A.definitions(spark, sf_dir).withColumn("canonical_unit", F.lit(None).cast("string"))

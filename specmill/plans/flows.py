@@ -35,7 +35,7 @@ def sync_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A class whose stored definitions are one that products use and one that none does."""
     stored = A.definitions(spark, sf_dir).where("name in ('size', 'price')").withColumn("canonical_unit", F.lit(None).cast("string"))
     none = lambda s: spark.createDataFrame([], s)
-    _, names = W.sync_classes(A.products(spark, sf_dir), stored, none("class_id string, canonical string, aliases array<string>"), none("class_id string, spec string, variant string, canonical string"))
+    _, names, _ = W.sync_classes(A.products(spark, sf_dir), stored, none("class_id string, canonical string, aliases array<string>"), none("class_id string, spec string, variant string, canonical string"))
     return names.select("class_id", "name", "datatype", "match_op", "canonical_unit")
 
 

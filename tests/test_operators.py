@@ -5,7 +5,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from specmill.operators import ingest, matching, proposals
+from specmill.operators import flows, ingest, matching, proposals
 from specmill.sources import documents, models, pages, sitemaps
 from specmill.streaming import misses
 
@@ -81,6 +81,42 @@ def test_spelling_chains(spark):
     assert got == {("enclosure", "Tot. Encl. Fan Cooled"): "Totally Enclosed Fan-Cooled", ("enclosure", "TEFC"): "Totally Enclosed Fan-Cooled"}
 
 
+def test_merge_translates_values(spark):
+    bags = [(1, "c", {"phase": "1", "phases": "Single "}), (2, "c", {"phases": "three"}), (3, "c", {"phase": None, "ph": "3", "phases": "single"}), (4, "c", {"phase": "single"}), (5, "d", {"phase": "1", "phases": "three"})]
+    products = spark.createDataFrame(bags, "product_id long, class_id string, attributes map<string,string>")
+    names = spark.createDataFrame([(c, n, {"one": "1"} if n == "phase" else None) for c in "cd" for n in ("phase", "phases", "ph")], "class_id string, name string, value_aliases map<string,string>")
+    said = {"Single": "1", "three": "3", "1": "1/3"}  # the last says more and may not merge
+    groups = spark.createDataFrame([(c, "phase", ["phases", "ph"], said) for c in "cd"], "class_id string, canonical string, aliases array<string>, value_map map<string,string>")
+    assert {(r.class_id, r.alias) for r in ingest.merge_conflicts(products, groups).where("conflict").collect()} == {("d", "phases")}
+    moved, left, aliases = ingest.merge_duplicates(products, names, groups)
+    assert {r.product_id: r.attributes for r in moved.collect()} == {1: {"phase": "1"}, 2: {"phase": "3"}, 3: {"phase": "1"}, 4: {"phase": "1"}, 5: {"phase": "1", "phases": "three"}}
+    assert {(r.class_id, r.name): r.value_aliases for r in left.collect()} == {("c", "phase"): {"one": "1", "single": "1", "three": "3"}, ("d", "phase"): {"one": "1"}, ("d", "phases"): None, ("d", "ph"): None}
+    assert {(r.class_id, r.canonical, r.alias) for r in aliases.collect()} == {("c", "phase", "phases"), ("c", "phase", "ph")}
+
+
+def test_merge_in_passes_and_rounds(spark):
+    bags = [(1, "c", {"a": "1", "b": "1"}), (2, "c", {"c": "2"}), (3, "c", {"d": "3"}), (4, "c", {"b": "4", "e": "4"})]
+    products = spark.createDataFrame(bags, "product_id long, class_id string, attributes map<string,string>")
+    names = spark.createDataFrame([("c", n, "text", "eq", None) for n in "abcde"], "class_id string, name string, datatype string, match_op string, canonical_unit string")
+    schema = "class_id string, canonical string, aliases array<string>"
+    chain = spark.createDataFrame([("c", "c", ["d"]), ("c", "a", ["b", "e"]), ("c", "b", ["c"])], schema)
+    moved, left, aliases = ingest.merge_duplicates(products, names, chain)
+    assert {r.product_id: r.attributes for r in moved.collect()} == {1: {"a": "1"}, 2: {"a": "2"}, 3: {"a": "3"}, 4: {"a": "4"}}
+    assert [r.name for r in left.collect()] == ["a"] and {(r.canonical, r.alias) for r in aliases.collect()} == {("a", x) for x in "bcde"}
+    asked = []
+
+    def ask(products, definitions):
+        """Sees one group a pass, and never stops to propose."""
+        asked.append(1)
+        return spark.createDataFrame([("c", "a", ["bcde"[len(asked) - 1]])], schema)
+
+    none = spark.createDataFrame([], "class_id string, spec string, variant string, canonical string")
+    moved, left, aliases = flows.sync_classes(products, names, ask, none)
+    assert len(asked) == 3 and {(r.canonical, r.alias) for r in aliases.collect()} == {("a", "b"), ("a", "c"), ("a", "d")}
+    assert {r.product_id: r.attributes for r in moved.collect()} == {1: {"a": "1"}, 2: {"a": "2"}, 3: {"a": "3"}, 4: {"a": "4", "e": "4"}}
+    assert {r.name for r in left.collect()} == {"a", "e"}
+
+
 PAGE = """<html><head><title> Meter 1 </title><link rel="canonical" href="/p/1?utm_source=x"><script type="application/ld+json">
 {"@graph": [{"@type": ["Product"], "name": "Meter", "mpn": "DMM-1000", "offers": {"@id": "#o"}}, {"@id": "#o", "@type": "Offer", "priceSpecification": [{"price": 5, "priceCurrency": "USD"}, {"price": 6, "priceCurrency": "EUR"}]}]}
 </script><script type="application/json">{"a": {"name": "n", "sku": "s"}}</script><script type="application/json">{bad</script></head>
