@@ -56,6 +56,8 @@ class Element:
     boiler: float
     link: bool
     container: int
+    core: bool = False
+    marks: tuple[int, ...] = ()
 
 
 @dataclass
@@ -67,6 +69,8 @@ class Block:
     heading: bool
     path: tuple[int, ...]
     linked: int = 0
+    core: bool = False
+    marks: tuple[int, ...] = ()
     text: str = ""
     edges: list[tuple[int, float]] = field(default_factory=list)
 
@@ -75,6 +79,28 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)}
 
 
+def wrappers(found: list[Block]) -> set[int]:
+    """Elements with a word of boilerplate in class or id ("has-sidebar") that are around the article, and so tell nothing of it.
+
+    There are none where the article stands in no marked element. Else they are those around the least marked of the blocks in
+    article and main elements and in elements named so; of blocks in equally many the ones with most words. Elements that hold
+    fewer words than stand in no marked element are not among them.
+    """
+    by_element = any(b.core for b in found)
+    if any(not b.marks and (b.core or b.article and not by_element) for b in found):
+        return set()
+    size = [len(_WORDS.findall(b.text)) for b in found]
+    words: dict[tuple[int, ...], int] = {}
+    for b, n in zip(found, size, strict=True):
+        if b.article and b.marks:
+            words[b.marks] = words.get(b.marks, 0) + n
+    if not words:
+        return set()
+    best = min(words, key=lambda m: (len(m), -words[m]))
+    free = sum(n for b, n in zip(found, size, strict=True) if not b.marks)
+    return {k for k in best if sum(n for b, n in zip(found, size, strict=True) if k in b.marks) >= free}
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks of text of a page in order, with what their ancestors tell. Unclosed, misnested and cut off markup is read as a browser would, in the main."""
     stack = [Element("", 0, False, False, 0.0, False, 0)]
@@ -97,7 +123,7 @@ def blocks(page: str) -> list[Block]:
             if not text.strip():
                 return
             heading = any(e.tag in HEADINGS for e in stack[-4:])
-            current = Block([], top.never, top.article, top.boiler, heading, tuple(e.number for e in stack if e.tag in BLOCK))
+            current = Block([], top.never, top.article, top.boiler, heading, tuple(e.number for e in stack if e.tag in BLOCK), core=top.core, marks=top.marks)
             out.append(current)
         current.parts.append(text)
         if top.link:
@@ -152,8 +178,9 @@ def blocks(page: str) -> list[Block]:
         top = stack[-1]
         number += 1
         never, article, boiler, link = top.never or tag in NEVER, top.article, top.boiler, top.link or tag == "a"
+        core, marks = top.core, top.marks
         if tag in ("article", "main"):
-            article = True
+            article = core = True
         elif tag == "header" and not article:
             never = True
         if attrs and tag not in ("html", "body"):
@@ -163,13 +190,13 @@ def blocks(page: str) -> list[Block]:
             if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
                 never = True
             if role in ("main", "article") or a.get("itemprop", "").lower() == "articlebody":
-                article = True
+                article = core = True
             elif role in _BOILER_ROLE:
                 boiler += 6
             if label:
                 label = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", label)
                 if _BOILER.search(label):
-                    boiler += 6 if tag not in ("article", "main") else 0
+                    marks += (number,) if tag not in ("article", "main") else ()
                 elif _ARTICLE.search(label):
                     article = True
         if tag in BLOCK or tag in ("td", "th"):
@@ -177,7 +204,7 @@ def blocks(page: str) -> list[Block]:
                 current = None
             else:
                 say(" ")
-        stack.append(Element(tag, number, never, article, boiler, link, top.container))
+        stack.append(Element(tag, number, never, article, boiler, link, top.container, core, marks))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -186,7 +213,11 @@ def blocks(page: str) -> list[Block]:
             stack.pop()
     for b in out:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
-    return [b for b in out if b.text]
+    out = [b for b in out if b.text]
+    around = wrappers([b for b in out if not b.never])
+    for b in out:
+        b.boiler += 6 * sum(k not in around for k in b.marks)
+    return out
 
 
 def costs(b: Block, has_article: bool) -> float:

@@ -441,6 +441,18 @@ def test_html_text(kind):
     assert html_text.main_text(PAGE.replace('"X"', f'"{kind[0]}"').replace('"Y"', f'"{kind[1]}"')) == TEXT
 
 
+@pytest.mark.parametrize("wrapper", ["layout has-sidebar", "with-comments", "entry category-popular", "story share-enabled"])
+@pytest.mark.parametrize("inner", ["<article>", "<main>", "<div class=content>"])
+def test_html_text_in_wrappers(wrapper, inner):
+    text = "First long paragraph of the real article, with many words and a full stop."
+    remark = "I totally agree with this article, it is really the best one that I have read today."
+    body = f"<div class='{wrapper}'>{inner}<p>{text}</p></{inner[1:].split()[0].rstrip('>')}><section id=comments><article><p>{remark}</p></article></section></div>"
+    assert html_text.main_text(f"<body>{body}<div class=related><article><p>{remark[:40]}</p></article></div></body>") == text
+    plain = body.replace("<section id=comments><article>", "<section id=comments>").replace("</article></section>", "</section>")
+    assert html_text.main_text(f"<body>{plain}</body>") == text
+    assert html_text.main_text(f"<body><p>{text} {text}</p><section id=comments><article><p>{remark}</p></article></section></body>") == f"{text} {text}"
+
+
 def test_html_text_rows(spark):
     rows = [(1, "u", PAGE), (None, None, None), (2, "u", ""), (3, "u", "<nav>a</nav>"), (4, "u", "<article><p>a<p>b &am</article>"), (1, "u", PAGE), (5, "u", "<" * 3000)]
     got = html_text.html_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
