@@ -127,7 +127,8 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = K, every: int = EV
     ``k`` others of largest inner product, ties to the smaller id; fewer where there are fewer.
 
     Vectors that are null, empty, all zero or hold null or non-finite components take no part, nor do rows of null id. Rows
-    that repeat an id count once, with the smallest vector in array order. Vectors of other lengths are not compared.
+    equal in id and vector count once; of an id with several vectors each is a candidate, and the smallest in array order is
+    the query. Vectors of other lengths are not compared.
     Queries come in tiles and candidates in blocks; every (tile, part of the candidates) is one unit of work, so neither
     side has to fit anywhere.
     """
@@ -137,8 +138,8 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = K, every: int = EV
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where("vec_id is not null and x is not null and size(x) > 0")
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     good = good.where(finite & F.exists("x", lambda v: v != 0))
-    good = good.groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("dim", F.size("x"))
-    good_queries = good.where(F.col("vec_id") % every == 0)
+    good = good.distinct().withColumn("dim", F.size("x"))
+    good_queries = good.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("dim", F.size("x"))
     number = good.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
     tiles = max(1, -(-number.q // QUERY_TILE))
     parts = max(1, -(-number.n // UNIT))

@@ -332,6 +332,12 @@ def test_neighbours(spark):
     assert {(r.query_id, r.vec_id) for r in got if r.query_id >= 1000} == {(1020, 1040), (1040, 1020)}
 
 
+def test_neighbours_under_repeated_ids(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [0.5, 0.0]), (3, [0.9, 0.0]), (3, [0.9, 0.0]), (4, [0.7, 0.0])]
+    got = neighbours.nearest(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(20, 1, 3, 0.9), (20, 2, 4, 0.7), (20, 3, 3, 0.5)]
+
+
 def test_neighbours_by_tiles(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(400)]
