@@ -1,10 +1,11 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
 A page is cut into blocks of text. A classifier gives each block a cost of being called content and one of being called
-boilerplate: the capacities to the two terminals. Blocks that follow one another, and blocks under one parent, are tied by
-smoothness edges whose capacity falls with their distance in the document tree. The minimum cut is the labelling of
-least cost. Blocks inside elements that are never the article (menus, footers, forms, scripts) are tied to the
-boilerplate terminal without limit.
+boilerplate, from statistics of the block (length, share of linked text, end of a sentence, repetition, controls beside it) and, as
+bounded evidence beside these, from the names of the elements around it: the capacities to the two terminals. Blocks
+that follow one another, and blocks under one parent, are tied by smoothness edges whose capacity falls with their distance in
+the document tree. The minimum cut is the labelling of least cost. Blocks inside elements that are never the article (menus,
+footers, scripts) are tied to the boilerplate terminal without limit, that is, left out.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,9 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_WORDS = re.compile(r"[^\W_]+")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTR = re.compile(r"[\s/]*([^\s/>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*))?)?")
+_GAP = re.compile(r"[\s/]*")
+_WIDE = re.compile("[぀-ヿ㐀-鿿가-힯]")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[\s_-]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
@@ -31,222 +36,332 @@ BLOCK = frozenset(
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody tfoot thead tr ul".split()
 )
 #: Never part of the article, whatever they hold.
-NEVER = frozenset("head script style noscript template title nav footer aside form button select option textarea iframe svg canvas object audio video dialog menu fieldset datalist map search".split())
-#: Elements that an opening tag of the key ends.
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
+NEVER = frozenset("head script style noscript template title nav footer aside button select option textarea iframe svg canvas object audio video dialog menu fieldset datalist map search".split())
+CONTROLS = frozenset("button input select textarea".split())
+#: Elements that an opening tag of the key ends, unless one of BARRIER stands between.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
+BARRIER = ("ul", "ol", "dl", "table", "select")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|adbox|banner|sponsor\w*|promo\w*|promoted|outbrain|taboola|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscrib\w*|subscription|signup|"
-    r"sidebar|side|sidenav|rail|widget\w*|related|recommend\w*|trending|popular|share|sharing|social|follow|comments?|commentlist|disqus|replies|reply|respond|reactions|nav|navbar|navigation|menu|breadcrumbs?|footer|foot|"
-    r"header|masthead|topbar|toolbar|copyright|login|signin|register|search|pagination|pager|tags|tagcloud|skip|legal|disclaimer|survey|paywall)(?:$|[\s_-])",
+#: Words of class names and ids that tell boilerplate, with their weight; the weight of an element is that of its weightiest word.
+_STRONG = frozenset(
+    "ad ads advert adverts advertisement advertising adsense adslot adbox anzeige werbung publicidad publicite banner sponsor sponsored sponsors promo promos promoted promotion outbrain taboola cookie cookies consent gdpr "
+    "notice notices notification popup modal overlay newsletter subscribe subscription signup sidebar sidenav widget widgets related recommended recommendations share sharing social follow "
+    "comment comments commentlist disqus replies respond reactions nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar toolbar copyright login signin register pagination pager tagcloud disclaimer survey paywall".split()
+)
+_WEAK = frozenset("header foot side rail alert popular trending recommend reply search tags skip legal teaser teasers".split())
+_ARTICLE = frozenset("article articlebody content contents post entry story main maincontent text body bodytext prose hentry".split())
+#: A name that begins or ends so tells the state of a page ("has-sidebar", "comments-open"), not what the element is.
+_STATE_FIRST = frozenset("has with no without is show hide category tag cat type status format theme layout template".split())
+_STATE_LAST = frozenset("open closed enabled disabled on off active visible hidden allowed true false".split())
+STRONG, WEAK = 7.0, 2.0
+_BOILER_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
+_SHORT = re.compile(
+    r"^(?:advertisement|sponsored|anzeige|werbung|publicit[ée]|publicidad|read more|weiterlesen|share(?: this)?|subscribe|sign (?:in|up)|log ?in|menu|skip to .*|accept(?: all)?(?: cookies)?|"
+    r"©.*|\(c\) .*|copyright .*|all rights reserved.*|comments?(?: \(\d+\))?|reply|report|related (?:articles|posts|stories))\W*$",
     re.I,
 )
-_ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|contents|post|entry|story|main|maincontent|text|body|bodytext|prose|hentry)(?:$|[\s_-])", re.I)
-_BOILER_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
-_SHORT = re.compile(r"^(?:advertisement|sponsored|read more|share(?: this)?|subscribe|sign (?:in|up)|log ?in|menu|skip to .*|accept(?: all)?(?: cookies)?|©.*|\(c\).*|copyright.*|all rights reserved.*|comments?(?: \(\d+\))?|reply|report|related (?:articles|posts|stories))\W*$", re.I)
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     tag: str
-    number: int
+    parent: int
+    depth: int
     never: bool
-    article: bool
-    boiler: float
     link: bool
-    container: int
-    core: bool = False
-    marks: tuple[int, ...] = ()
+    heading: bool
+    mark: float = 0.0
+    article: int = 0  # 2: an element for articles; 1: a name of one
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     parts: list[str]
-    never: bool
-    article: bool
-    boiler: float
+    element: int
+    container: int
+    depth: int
+    apart: int
     heading: bool
-    path: tuple[int, ...]
     linked: int = 0
-    core: bool = False
-    marks: tuple[int, ...] = ()
     text: str = ""
-    edges: list[tuple[int, float]] = field(default_factory=list)
-
-
-def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)}
-
+    words: int = 0
+    mark: float = 0.0
+    core: bool = False
 
-def wrappers(found: list[Block]) -> set[int]:
-    """Elements with a word of boilerplate in class or id ("has-sidebar") that are around the article, and so tell nothing of it.
 
-    There are none where the article stands in no marked element. Else they are those around the least marked of the blocks in
-    article and main elements and in elements named so; of blocks in equally many the ones with most words. Elements that hold
-    fewer words than stand in no marked element are not among them.
-    """
-    by_element = any(b.core for b in found)
-    if any(not b.marks and (b.core or b.article and not by_element) for b in found):
-        return set()
-    size = [len(_WORDS.findall(b.text)) for b in found]
-    words: dict[tuple[int, ...], int] = {}
-    for b, n in zip(found, size, strict=True):
-        if b.article and b.marks:
-            words[b.marks] = words.get(b.marks, 0) + n
-    if not words:
-        return set()
-    best = min(words, key=lambda m: (len(m), -words[m]))
-    free = sum(n for b, n in zip(found, size, strict=True) if not b.marks)
-    return {k for k in best if sum(n for b, n in zip(found, size, strict=True) if k in b.marks) >= free}
-
-
-def blocks(page: str) -> list[Block]:
-    """Blocks of text of a page in order, with what their ancestors tell. Unclosed, misnested and cut off markup is read as a browser would, in the main."""
-    stack = [Element("", 0, False, False, 0.0, False, 0)]
-    out: list[Block] = []
+@dataclass
+class Page:
+    elements: list[Element]
+    blocks: list[Block]
+    #: number of controls by the block element that holds them
+    controls: Counter = field(default_factory=Counter)
+
+
+def named(label: str) -> tuple[float, bool]:
+    """Weight of boilerplate, and whether the names are those of an article, for a class and id."""
+    weight, article = 0.0, False
+    for name in label.split():
+        words = [w.lower() for w in _SPLIT.split(_HUMP.sub("-", name)) if w]
+        if not words or len(words) > 1 and (words[0] in _STATE_FIRST or words[-1] in _STATE_LAST):
+            continue
+        is_article = any(w in _ARTICLE for w in words)
+        if any(w in _STRONG for w in words):
+            weight = max(weight, STRONG)
+        elif any(w in _WEAK for w in words):
+            if not (is_article and words[-1] == "header"):  # the head of an article is a part of it
+                weight = max(weight, WEAK)
+        elif is_article:
+            article = True
+    return weight, article and not weight
+
+
+def parse(page: str) -> Page:
+    """Elements and blocks of text of a page in order. Unclosed, misnested and cut off markup is read as a browser would, in the main. The time is linear in the page."""
+    root = Element("", -1, 0, False, False, False)
+    elements, out = [root], Page([root], [])
+    out.elements = elements
+    stack = [0]  # numbers of open elements
+    where: dict[str, list[int]] = {}  # places in the stack by tag
+    block_at: list[int] = [0]  # places in the stack of block elements
     current: Block | None = None
-    number, at = 0, 0
+    low = 0  # least depth since the last block
+    at, end = 0, len(page)
 
     def close_to(k: int) -> None:
-        nonlocal current
-        if any(e.tag in BLOCK for e in stack[k:]):
-            current = None
-        del stack[k:]
+        nonlocal current, low
+        while len(stack) > k:
+            tag = elements[stack.pop()].tag
+            where[tag].pop()
+            if tag in BLOCK:
+                block_at.pop()
+                current = None
+        low = min(low, elements[stack[-1]].depth)
 
     def say(text: str) -> None:
-        nonlocal current
-        top = stack[-1]
+        nonlocal current, low
         if not text:
             return
+        top = elements[stack[-1]]
+        if top.never:
+            return
         if current is None:
             if not text.strip():
                 return
-            heading = any(e.tag in HEADINGS for e in stack[-4:])
-            current = Block([], top.never, top.article, top.boiler, heading, tuple(e.number for e in stack if e.tag in BLOCK), core=top.core, marks=top.marks)
-            out.append(current)
+            container = elements[stack[block_at[-1]]]
+            current = Block([], stack[-1], stack[block_at[-1]], container.depth, container.depth + (out.blocks[-1].depth if out.blocks else 0) - 2 * min(low, container.depth), top.heading)
+            out.blocks.append(current)
+            low = container.depth
+        text = html.unescape(text) if "&" in text else text
         current.parts.append(text)
         if top.link:
             current.linked += len(text.strip())
 
-    while at < len(page):
-        m = _TAG.search(page, at)
-        if m is None:
+    while at < end:
+        m = page.find("<", at)
+        if m < 0:
             say(page[at:])
             break
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        if m[1]:
-            say(html.escape(m[1]))
-        tag = m[3] or m[6]
-        if not tag:
+        if m > at:
+            say(page[at:m])
+        nxt = page[m + 1 : m + 2]
+        if nxt in ("!", "?"):
+            if page.startswith("<!--", m):
+                k = page.find("-->", m + 4)
+                at = end if k < 0 else k + 3
+            else:
+                k = page.find(">", m)
+                at = end if k < 0 else k + 1
             continue
-        tag, closing, attrs = tag.lower(), m[2] or m[5], m[4] if m[3] else m[7]
-        if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close_to(k)
-                    break
+        closing = nxt == "/"
+        name = _NAME.match(page, m + 1 + closing)
+        if name is None:
+            if closing and page[m + 2 : m + 3]:  # a bogus comment
+                k = page.find(">", m)
+                at = end if k < 0 else k + 1
             else:
-                if tag in BLOCK:
-                    current = None
+                say("<")
+                at = m + 1
+            continue
+        tag = name[0].lower()
+        at = name.end()
+        attrs: dict[str, str] = {}
+        slash = False
+        while True:
+            gap = _GAP.match(page, at)
+            slash, at = gap[0].endswith("/"), gap.end()
+            if at >= end or page[at] == ">":
+                at += 1
+                break
+            a = _ATTR.match(page, at)
+            attrs.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
+            at = a.end()
+        if closing:
+            if where.get(tag):
+                close_to(where[tag][-1])
+            elif tag in BLOCK:
+                current = None
             continue
         if tag == "br":
             say("\n")
             continue
+        if tag in CONTROLS:
+            out.controls[stack[block_at[-1]]] += 1
         if tag in VOID:
             if tag == "hr":
                 current = None
             continue
         if tag in BLOCK:
-            for k in range(len(stack) - 1, 0, -1):  # a block element ends an open paragraph
-                if stack[k].tag == "p":
-                    close_to(k)
-                    break
-                if stack[k].tag in BLOCK:
-                    break
-            if tag in HEADINGS and stack[-1].tag in HEADINGS:
-                close_to(len(stack) - 1)
+            top_block = elements[stack[block_at[-1]]]
+            if top_block.tag == "p" or top_block.tag in HEADINGS and tag in HEADINGS:  # a block element ends an open paragraph
+                close_to(block_at[-1])
         if tag in ENDS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ENDS[tag]:
-                    close_to(k)
-                    break
-                if stack[k].tag in ("ul", "ol", "dl", "table", "select"):
-                    break
-        top = stack[-1]
-        number += 1
-        never, article, boiler, link = top.never or tag in NEVER, top.article, top.boiler, top.link or tag == "a"
-        core, marks = top.core, top.marks
+            inner = max((where[t][-1] for t in ENDS[tag] if where.get(t)), default=0)
+            if inner > max((where[t][-1] for t in BARRIER if where.get(t)), default=0):
+                outer = inner
+                for t in ENDS[tag]:  # a row also ends the row that the open cell is in
+                    if where.get(t) and inner - where[t][-1] == 1:
+                        outer = min(outer, where[t][-1])
+                close_to(outer)
+        top = elements[stack[-1]]
+        e = Element(tag, stack[-1], top.depth + (tag in BLOCK), top.never or tag in NEVER, top.link or tag == "a", top.heading or tag in HEADINGS)
         if tag in ("article", "main"):
-            article = core = True
-        elif tag == "header" and not article:
-            never = True
+            e.article = 2
+        elif tag == "header" and not (where.get("article") or where.get("main")):
+            e.never = True
+        elif tag == "form":
+            e.mark = STRONG
         if attrs and tag not in ("html", "body"):
-            a = _attributes(attrs)
-            role = a.get("role", "").lower()
-            label = f"{a.get('class', '')} {a.get('id', '')}".strip()
-            if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
-                never = True
-            if role in ("main", "article") or a.get("itemprop", "").lower() == "articlebody":
-                article = core = True
+            role = attrs.get("role", "").lower()
+            if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(attrs.get("style", "")):
+                e.never = True
+            if role in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody":
+                e.article = 2
             elif role in _BOILER_ROLE:
-                boiler += 6
-            if label:
-                label = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", label)
-                if _BOILER.search(label):
-                    marks += (number,) if tag not in ("article", "main") else ()
-                elif _ARTICLE.search(label):
-                    article = True
-        if tag in BLOCK or tag in ("td", "th"):
+                e.mark = STRONG
+            if "class" in attrs or "id" in attrs:
+                weight, article = named(html.unescape(f"{attrs.get('class', '')} {attrs.get('id', '')}"))
+                if tag in HEADINGS or tag == "article" and weight < STRONG:
+                    weight = 0.0
+                e.mark = max(e.mark, weight)
+                if article and not e.article:
+                    e.article = 1
+        if tag in ("td", "th"):
+            say(" ")
+        if tag in RAW:
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            at = close.end() if close else end
             if tag in BLOCK:
                 current = None
-            else:
-                say(" ")
-        stack.append(Element(tag, number, never, article, boiler, link, top.container, core, marks))
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            stack.pop()
-        elif attrs and attrs.rstrip().endswith("/") and tag in ("svg", "path", "circle", "use"):
-            stack.pop()
-    for b in out:
-        b.text = " ".join(html.unescape("".join(b.parts)).split())
-    out = [b for b in out if b.text]
-    around = wrappers([b for b in out if not b.never])
-    for b in out:
-        b.boiler += 6 * sum(k not in around for k in b.marks)
+            continue
+        if slash and tag in ("svg", "path", "circle", "use", "g", "rect"):
+            continue
+        if tag in BLOCK:
+            current = None
+            block_at.append(len(stack))
+        where.setdefault(tag, []).append(len(stack))
+        elements.append(e)
+        stack.append(len(elements) - 1)
+    for b in out.blocks:
+        b.text = " ".join("".join(b.parts).split())
+        b.parts = []
+        b.words = b.text.count(" ") + 1 + (0 if b.text.isascii() else len(_WIDE.findall(b.text)) // 2)
+    # distances stay those of neighbours among the blocks kept, as an upper bound
+    out.blocks = [b for b in out.blocks if b.text]
     return out
 
 
-def costs(b: Block, has_article: bool) -> float:
+def weigh(page: Page) -> float:
+    """Sets ``mark`` and ``core`` of the blocks; returns how surely what is outside the core is no article, 0 to 1.
+
+    The core is the element that most likely is the article: one for articles, or named so, that holds most unlinked words; of nested
+    ones the innermost that still holds most. Marks of elements around the core say nothing of it. Without any such element
+    the same holds of elements around the first h1 that hold half of the page, and of those beside which there is next to nothing.
+    """
+    elements, blocks = page.elements, page.blocks
+    n = len(elements)
+    mass, marked, h1 = [0.0] * n, [0.0] * n, -1
+    for b in blocks:
+        mass[b.element] += b.words * max(0.0, 1 - b.linked / len(b.text))
+    own = mass[:]
+    for e in range(n - 1, 0, -1):
+        mass[elements[e].parent] += mass[e]
+    for e in range(1, n):  # weightiest mark at or above the element
+        marked[e] = max(marked[elements[e].parent], elements[e].mark)
+    for b in blocks:
+        k = b.element
+        while k and elements[k].tag not in BLOCK:
+            k = elements[k].parent
+        if b.heading and elements[k].tag == "h1":
+            h1 = k
+            break
+    free = sum(own[e] for e in range(n) if marked[e] < STRONG)
+
+    def core_of(kind: int) -> int:
+        found = [e for e in range(1, n) if elements[e].article == kind and mass[e] > 0 and elements[e].mark < STRONG]
+        clear = [e for e in found if marked[e] < STRONG]
+        if clear and (kind == 2 or max(mass[e] for e in clear) >= 0.25 * free):
+            found = clear
+        elif clear or free >= 10:  # one in a marked element only where next to nothing stands elsewhere
+            return 0
+        if not found:
+            return 0
+        best = max(found, key=lambda e: (mass[e], -e))
+        return max((e for e in found if mass[e] >= 0.6 * mass[best]), key=lambda e: (elements[e].depth, mass[e], -e))
+
+    core = core_of(2) or core_of(1)
+    around: set[int] = set()
+    if core:
+        k = core
+        while k:
+            around.add(k)
+            k = elements[k].parent
+    elif h1 > 0:
+        k = h1
+        while k:
+            if 2 * mass[k] >= mass[0]:
+                around.add(k)
+            k = elements[k].parent
+    if not core and all(e.article < 2 for e in elements):  # an empty article is one, too
+        around |= {e for e in range(1, n) if elements[e].mark and elements[e].tag != "form" and mass[e] >= max(30.0, 0.5 * mass[0]) and free < 30 and 10 * free < mass[e]}
+    inside, sees = [False] * n, [0.0] * n
+    for e in range(1, n):
+        p = elements[e].parent
+        inside[e] = inside[p] or e == core
+        sees[e] = max(sees[p], 0.0 if e in around else elements[e].mark)
+    for b in blocks:
+        b.mark, b.core = sees[b.element], inside[b.element]
+    if not core:
+        return 0.0
+    held = sum(own[e] for e in range(n) if inside[e] and sees[e] < STRONG)
+    rest = sum(own[e] for e in range(n) if not inside[e] and sees[e] < STRONG)
+    sure = max(0.0, 2 * held / (held + rest) - 1) if held + rest else 0.0
+    return max(sure, 0.5) if elements[core].article == 2 and held else sure
+
+
+def costs(b: Block, sure: float, has_core: bool, again: int, controls: int) -> float:
     """Cost of calling a block boilerplate less that of calling it content."""
-    words = len(_WORDS.findall(b.text))
-    dense = b.linked / max(1, len(b.text))
-    score = 0.9 * math.log1p(words) - 1.6 - 3.0 * min(1.0, dense)
-    if b.text[-1] in ".!?:;。！？…\"'”’»)":
-        score += 0.6
+    dense = min(1.0, b.linked / max(1, len(b.text)))
+    score = 0.4 + min(2.0, 0.5 * math.log1p(b.words)) - (2.5 if b.core else 4.5) * max(0.0, dense - 0.2) / 0.8
+    if b.text[-1] in ".!?:;…\"'”’»)。！？」":
+        score += 0.5
     if b.heading:
-        score += 1.2
-    if _SHORT.match(b.text):
+        score += 1.0
+    if b.words < 8 and again > 2:
+        score -= 1.5
+    if controls and not b.core:
+        score -= 1.5
+    if len(b.text) < 120 and _SHORT.match(b.text):
         score -= 4.0
-    score = max(-4.0, min(3.0, score))
-    if b.article:
-        score += 4.0
-    elif has_article:
-        score -= 8.0
-    return score - b.boiler * (1.5 if not b.article else 2.0)
-
-
-def smoothness(a: Block, b: Block) -> float:
-    """Capacity of the edge of two blocks: by the share of their paths from the root that is common."""
-    same = 0
-    for x, y in zip(a.path, b.path, strict=False):
-        if x != y:
-            break
-        same += 1
-    apart = len(a.path) + len(b.path) - 2 * same
+    if b.core:
+        score += 2.0
+    elif has_core:
+        score -= 8.0 * sure
+    return score - b.mark
+
+
+def smoothness(apart: int) -> float:
+    """Capacity of the edge of two blocks, by their distance in the tree."""
     return 1.2 / (1 + 0.5 * max(0, apart - 2))
 
 
@@ -343,30 +458,34 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
     return [bool(x) for x in label]
 
 
-def main_text(page: str | None) -> str:
+def main_text(source: str | None) -> str:
     """The text of the blocks labelled content, joined by blank lines; empty if there is none."""
-    if not page:
+    if not source:
         return ""
-    found = [b for b in blocks(page) if not b.never]
+    page = parse(source)
+    found = page.blocks
     if not found:
         return ""
-    has_article = any(b.article and not b.boiler for b in found)
-    score = [costs(b, has_article) for b in found]
+    sure = weigh(page)
+    has_core = any(b.core for b in found)
+    again = Counter(b.text for b in found)
+    score = [costs(b, sure, has_core, again[b.text], page.controls[b.container]) for b in found]
     edges = []
     before: dict[bool, int] = {}
     for i, b in enumerate(found):  # the block before, and the one before of the same kind where another kind stands between
-        marked = b.boiler > 0
-        if i and (found[i - 1].boiler > 0) != marked:
-            edges.append((i - 1, i, 0.15 * smoothness(found[i - 1], b)))
-        if marked in before:
-            edges.append((before[marked], i, smoothness(found[before[marked]], b)))
+        marked = b.mark >= STRONG
+        if i and (found[i - 1].mark >= STRONG) != marked:
+            edges.append((i - 1, i, 0.15 * smoothness(b.apart)))
+        if marked in before and found[before[marked]].core == b.core:
+            edges.append((before[marked], i, smoothness(b.apart)))
         before[marked] = i
-    last: dict[tuple[int, ...], int] = {}
+    last: dict[tuple[int, bool], int] = {}
     for i, b in enumerate(found):  # the nearest earlier block under the same parent
-        j = last.get(b.path[:-1])
-        if j is not None and j != i - 1 and (b.boiler > 0) == (found[j].boiler > 0):
+        key = (page.elements[b.container].parent, b.mark >= STRONG)
+        j = last.get(key)
+        if j is not None and j != i - 1:
             edges.append((j, i, 0.6))
-        last[b.path[:-1]] = i
+        last[key] = i
     content = minimum_cut([max(0.0, x) for x in score], [max(0.0, -x) for x in score], edges)
     return "\n\n".join(b.text for b, c in zip(found, content, strict=True) if c)
 

@@ -459,13 +459,6 @@ def test_html_text_in_wrappers(wrapper, inner):
     assert html_text.main_text(f"<body><p>{text} {text}</p><section id=comments><article><p>{remark}</p></article></section></body>") == f"{text} {text}"
 
 
-def test_html_text_rows(spark):
-    rows = [(1, "u", PAGE), (None, None, None), (2, "u", ""), (3, "u", "<nav>a</nav>"), (4, "u", "<article><p>a<p>b &am</article>"), (1, "u", PAGE), (5, "u", "<" * 3000)]
-    got = html_text.html_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
-    assert Counter((r.page_id, r.text) for r in got if r.page_id != 5) == Counter([(1, TEXT), (1, TEXT), (None, ""), (2, ""), (3, ""), (4, "a\n\nb &am")])
-    assert all(r.n_chars == len(r.text) for r in got)
-
-
 def test_minimum_cut():
     rng = random.Random(4)
     for _ in range(200):
