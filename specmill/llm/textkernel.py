@@ -1,12 +1,14 @@
 """Vectorised word and shingle hashing over Arrow text columns.
 
-A word is a run of ``[A-Za-z0-9_]`` and of bytes above 0x7F, in lower case; everything else separates. Hashes are
-polynomial over bytes modulo 2**64, finished by a mixer. Texts are cut into pieces of bounded bytes so that the memory
-of a task does not follow the batch size.
+A word is a run of letters, marks, numbers (Unicode categories L, M, N) and ``_``, in lower case; everything else separates. Of a run
+of more than 64 KB each 64 KB are a word. Hashes are polynomial over bytes modulo 2**64, finished by a mixer. Rows are taken in pieces
+of bounded bytes, and a row above that bound in parts that carry the words before them over the cut, so that the memory of
+a task follows neither the batch size nor, but for 8 bytes a word where all hashes are wanted, the length of a text.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,6 +72,36 @@ def raw(column: pa.Array, lower: bool = True, stop: str | None = " ") -> tuple[n
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
+_IN_WORD: dict[int, bool] = {}
+
+
+def _in_word(point: int) -> bool:
+    got = _IN_WORD.get(point)
+    if got is None:
+        _IN_WORD[point] = got = point <= 0x10FFFF and unicodedata.category(chr(point))[0] in "LMN"
+    return got
+
+
+def word_bytes(data: np.ndarray) -> np.ndarray:
+    """Whether each byte of UTF-8 text belongs to a word."""
+    out = _WORD[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        first = data[lead].astype(np.uint32)
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        whole = lead + size <= len(data)  # a character that is cut off belongs to the word
+        lead, first, size = lead[whole], first[whole], size[whole]
+        point = first & np.array([0, 0, 0x1F, 0x0F, 0x07], np.uint32)[size]
+        for k in (1, 2, 3):
+            more = size > k
+            point[more] = (point[more] << np.uint32(6)) | (data[lead[more] + k] & np.uint32(0x3F))
+        each, where = np.unique(point, return_inverse=True)
+        no = ~np.array([_in_word(p) for p in each.tolist()], bool)[where]
+        for k in range(4):
+            out[lead[no & (size > k)] + k] = False
+    return out
+
+
 def prefix(data: np.ndarray) -> np.ndarray:
     h = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_TAB[data] * powers(_R, len(data)), out=h[1:])
@@ -81,25 +113,76 @@ def ranges(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((h[end] - h[start]) * powers(_RI, len(h))[start])
 
 
+#: Bytes of the longest word, and of a part of a long row.
+LONGEST, PART = 1 << 16, 1 << 20
+#: Hashes of words that are carried over the cut of a long row.
+CARRY = 64
+
+
+def _cut_back(data: np.ndarray, at: int) -> int:
+    """The start of the character at ``at``."""
+    while at and at < len(data) and data[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
 class Words:
-    """Words of some rows: ``start``, ``end`` (byte places), ``first`` (word number of each row's first word, and the total)."""
+    """Words of some rows: ``start``, ``end`` (byte places), ``first`` (word number of each row's first word, and the total).
+
+    Where the rows are one part of a long row, ``head`` and ``tail`` tell whether it is the first and the last part, ``before`` has the
+    hashes of up to CARRY words before it, and ``n_before`` is their whole number.
+    """
 
-    def __init__(self, column: pa.Array):
-        self.data, self.offs = raw(column)
-        is_word = _WORD[self.data]
+    head = tail = True
+    n_before = 0
+    before = np.zeros(0, np.uint64)
+
+    def __init__(self, column: pa.Array | None = None, data: np.ndarray | None = None):
+        """From a column, or from a part of one lowered text."""
+        if data is None:
+            self.data, self.offs = raw(column)
+        else:
+            self.data, self.offs = data, np.array([0, len(data)])
+        is_word = word_bytes(self.data)
         edge = np.flatnonzero(is_word[1:] != is_word[:-1]) + 1 if len(is_word) else np.zeros(0, np.int64)
         if len(is_word) and is_word[0]:
             edge = np.concatenate([[0], edge])
+        if len(edge) % 2:
+            edge = np.append(edge, len(is_word))
         self.start, self.end = edge[0::2], edge[1::2]
+        if len(edge) and (self.end - self.start).max() > LONGEST:
+            self._split()
         self.first = np.searchsorted(self.start, self.offs)
         self.h = prefix(self.data)
         self.hash = ranges(self.h, self.start, self.end)
 
+    def _split(self) -> None:
+        start, end = [], []
+        for a, b in zip(self.start.tolist(), self.end.tolist(), strict=True):
+            while b - a > LONGEST:
+                cut = _cut_back(self.data, a + LONGEST)
+                start.append(a)
+                end.append(cut)
+                a = cut
+            start.append(a)
+            end.append(b)
+        self.start, self.end = np.array(start), np.array(end)
+
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
     def shingles(self, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the shingles in order, and each row's first. A row of fewer than k words has one, of all its words; a row of no words none."""
+        """Hashes of the shingles in order, and each row's first. A row of fewer than k words has one, of all its words; a row of no words none.
+
+        Of a part of a long row, those that end in it.
+        """
+        if not (self.head and self.tail):
+            words = np.concatenate([self.before[max(0, len(self.before) - k + 1) :], self.hash])
+            if self.n_before + len(self.hash) < k:
+                g = _shingle(np.concatenate([words, np.zeros(k, np.uint64)]), np.arange(int(self.tail and len(words) > 0)), k)
+            else:
+                g = _shingle(words, np.arange(max(0, len(words) - k + 1)), k)
+            return g, np.array([0, len(g)])
         n = self.counts()
         number = np.where(n >= k, n - k + 1, np.minimum(n, 1))
         first = np.concatenate([[0], np.cumsum(number)])
@@ -111,12 +194,60 @@ class Words:
             g += np.where(at + j < last, padded[at + j], U(0)) * _C[j]
         return mix(g), first
 
-    def signature(self, salt: int) -> np.ndarray:
-        """A hash of each row's word sequence."""
+    def sums(self, salt: int) -> np.ndarray:
+        """Of each row the sum that its ``signature`` is made of; of a part of a long row, what it adds."""
         w = mix(self.hash + U(salt * 2 + 1)) * powers(_R, len(self.hash))
         h = np.zeros(len(w) + 1, np.uint64)
         np.cumsum(w, out=h[1:])
-        return mix((h[self.first[1:]] - h[self.first[:-1]]) * powers(_RI, len(h) + 1)[self.first[:-1]] + self.counts().astype(np.uint64))
+        out = (h[self.first[1:]] - h[self.first[:-1]]) * powers(_RI, len(h) + 1)[self.first[:-1]]
+        return out * U(pow(_R, self.n_before, 2**64)) if self.n_before else out
+
+
+def _shingle(words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    g = words[at] * _C[0]
+    for j in range(1, k):
+        g += words[at + j] * _C[j]
+    return mix(g)
+
+
+def signature(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A hash of each row's word sequence."""
+    return mix(sums + counts.astype(np.uint64))
+
+
+def word_parts(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, int, Words]]:
+    """(from, to, words) of rows in pieces of at most ``most`` bytes; a longer row comes in parts, one after another."""
+    for a, b in pieces(column, most):
+        part = column.slice(a, b - a)
+        if b - a > 1 or (pc.binary_length(part)[0].as_py() or 0) <= PART:
+            yield a, b, Words(part)
+            continue
+        data, _ = raw(part)
+        before, n_before, at = Words.before, 0, 0
+        while at < len(data):
+            end = _part_end(data, at)
+            words = Words(data=data[at:end])
+            words.head, words.tail, words.before, words.n_before = at == 0, end == len(data), before, n_before
+            yield a, b, words
+            before, n_before, at = np.concatenate([before, words.hash])[-CARRY:], n_before + len(words.hash), end
+
+
+def _part_end(data: np.ndarray, at: int) -> int:
+    """Where a part that starts at ``at`` ends: behind an ASCII separator, or within a run of more than LONGEST bytes at the cut of one of its words."""
+    target = at + PART
+    if target >= len(data):
+        return len(data)
+    gap = np.flatnonzero(~_WORD[data[target - LONGEST : target]])
+    if len(gap):
+        return target - LONGEST + int(gap[-1]) + 1
+    inside = np.flatnonzero(~word_bytes(data[at:target]))
+    run = at + int(inside[-1]) + 1 if len(inside) else at
+    run = max(run, at)
+    if run > target - LONGEST:
+        return run
+    while (cut := _cut_back(data, run + LONGEST)) <= target:
+        run = cut
+    return run
 
 
 def at_least(values: np.ndarray, first: np.ndarray, ufunc=np.minimum, empty=np.uint64(0)) -> np.ndarray:
