@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import labelled_sample, remainder
-from .textkernel import Words, at_least, pieces, raw, ranges, prefix
+from .textkernel import Words, at_least, prefix, ranges, raw, word_parts
 
 SAMPLE = 20_000
 STATS = ["n_bytes", "n_words", "word_len", "upper", "digit", "bang", "symbol", "mark", "pipe", "high", "line_words", "line_again", "word_again", "gram_again", "longest", "lines", "comma", "stop_end"]
@@ -26,57 +26,90 @@ for _n, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!",
         _KIND[_c] = _n + 1
 
 
-def statistics(column: pa.Array) -> np.ndarray:
-    """One row of STATS for each text; all are finite, 0 for an empty text."""
-    data, offs = raw(column, lower=False)
-    words = Words(column)
-    n = len(offs) - 1
-    size = np.diff(offs) - 1
-    first = words.first
-    count = words.counts()
-    row = np.repeat(np.arange(n), count)
-    out = np.zeros((n, len(STATS)))
-    out[:, 0], out[:, 1] = size, count
-    per = np.maximum(count, 1)
-    length = words.end - words.start
-    out[:, 2] = at_least(length, first, np.add, np.int64(0)) / per
-    kind = _KIND[data]
-    for at, k in ((3, 1), (4, 2), (5, 3), (6, 4), (7, 5), (8, 6), (9, 7), (15, 8), (16, 9)):
-        total = np.concatenate([[0], np.cumsum(kind == k)])
-        out[:, at] = (total[offs[1:]] - total[offs[:-1]]) / (per if at in (5, 6, 7, 8, 16) else np.maximum(size, 1))
-    line_end = np.flatnonzero(data == 10)
-    cuts = np.unique(np.concatenate([line_end + 1, offs[1:], [0]]))
-    start, end = cuts[:-1], cuts[1:]
-    owner = np.searchsorted(offs, start, side="right") - 1
-    lines = np.bincount(owner, minlength=n)
-    out[:, 10] = count / np.maximum(lines, 1)
-    h = prefix(data)
-
-    def again(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Share of each row's items that repeat an earlier one."""
-        o = np.lexsort((hashes, owner))
-        same = (hashes[o][1:] == hashes[o][:-1]) & (owner[o][1:] == owner[o][:-1])
-        return np.bincount(owner[o][1:][same], minlength=n) / np.maximum(np.bincount(owner, minlength=n), 1)
-
-    trimmed = np.where((end > start) & (data[np.maximum(end - 1, 0)] <= 32), end - 1, end) if len(data) else end
-    filled = trimmed - start >= 10
-    out[:, 11] = again(ranges(h, start[filled], trimmed[filled]), owner[filled])
-    out[:, 12] = again(words.hash, row)
-    sh, sh_first = words.shingles(3)
-    out[:, 13] = again(sh, np.repeat(np.arange(n), np.diff(sh_first)))
-    out[:, 14] = at_least(length, first, np.maximum, np.int64(0))
-    if len(line_end):
-        closed = np.concatenate([[0], np.cumsum(np.isin(data[np.maximum(line_end - 1, 0)], list(b".!?")))])
-        per_line = np.searchsorted(line_end, offs)
-        out[:, 17] = (closed[per_line[1:]] - closed[per_line[:-1]]) / np.maximum(np.diff(per_line), 1)
-    return out
+class Measures:
+    """Counts of some rows, or of one part of a long row, from which their statistics follow; parts add up."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray, words: Words):
+        """``data``, ``offs``: the bytes as they stand, without stops."""
+        n = len(offs) - 1
+        kind = _KIND[data]
+        self.size, self.count = np.diff(offs), words.counts()
+        length = words.end - words.start
+        self.length = at_least(length, words.first, np.add, np.int64(0))
+        self.longest = at_least(length, words.first, np.maximum, np.int64(0))
+        self.kinds = np.zeros((n, 10), np.int64)
+        for k in range(1, 10):
+            total = np.concatenate([[0], np.cumsum(kind == k)])
+            self.kinds[:, k] = total[offs[1:]] - total[offs[:-1]]
+        line_end = np.flatnonzero(data == 10)
+        stops = np.isin(data[np.maximum(line_end - 1, 0)], list(b".!?")) & (line_end > offs[np.searchsorted(offs, line_end, side="right") - 1])
+        closed, per_line = np.concatenate([[0], np.cumsum(stops)]), np.searchsorted(line_end, offs)
+        self.closed = closed[per_line[1:]] - closed[per_line[:-1]]
+        cuts = np.unique(np.concatenate([line_end + 1, offs]))
+        start, end = cuts[:-1], cuts[1:]
+        owner = np.searchsorted(offs, start, side="right") - 1
+        trimmed = np.where(data[end - 1] <= 32, end - 1, end) if len(data) else end
+        filled = trimmed - start >= 10
+        self.open = np.zeros(n, np.int64)  # rows that do not end with a line feed have one line more
+        full = self.size > 0
+        self.open[full] = data[offs[1:][full] - 1] != 10
+        sh, sh_first = words.shingles(3)
+        self.hashes = [
+            (ranges(prefix(data), start[filled], trimmed[filled]), owner[filled]),
+            (words.hash, np.repeat(np.arange(n), self.count)),
+            (sh, np.repeat(np.arange(n), np.diff(sh_first))),
+        ]
+
+    def add(self, more: Measures) -> None:
+        """The next part of the same row. A line that is cut counts as two for the share of repeated lines."""
+        for name in ("size", "count", "length", "kinds", "closed"):
+            setattr(self, name, getattr(self, name) + getattr(more, name))
+        self.longest, self.open = np.maximum(self.longest, more.longest), more.open
+        self.hashes = [tuple(np.concatenate(x) for x in zip(a, b, strict=True)) for a, b in zip(self.hashes, more.hashes, strict=True)]
+
+    def statistics(self) -> np.ndarray:
+        """One row of STATS for each text; all are finite, 0 for an empty text."""
+        n = len(self.size)
+        out = np.zeros((n, len(STATS)))
+        per, size = np.maximum(self.count, 1), np.maximum(self.size, 1)
+        lines = self.kinds[:, 8] + self.open
+        out[:, 0], out[:, 1], out[:, 2] = self.size, self.count, self.length / per
+        for at, k in ((3, 1), (4, 2), (5, 3), (6, 4), (7, 5), (8, 6), (9, 7), (15, 8), (16, 9)):
+            out[:, at] = self.kinds[:, k] / (per if at in (5, 6, 7, 8, 16) else size)
+        out[:, 10] = self.count / np.maximum(lines, 1)
+        for at, (hashes, owner) in zip((11, 12, 13), self.hashes, strict=True):  # share of items that repeat an earlier one
+            o = np.lexsort((hashes, owner))
+            same = (hashes[o][1:] == hashes[o][:-1]) & (owner[o][1:] == owner[o][:-1])
+            out[:, at] = np.bincount(owner[o][1:][same], minlength=n) / np.maximum(np.bincount(owner, minlength=n), 1)
+        out[:, 14], out[:, 17] = self.longest, self.closed / np.maximum(self.kinds[:, 8], 1)
+        return out
+
+
+def statistics(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(from, to, statistics) of pieces of the rows."""
+    for a, b, words in word_parts(column):
+        if words.head:
+            data, offs = raw(column.slice(a, b - a), lower=False, stop=None)
+            at, whole = 0, None
+        if words.head and words.tail:
+            yield a, b, Measures(data, offs, words).statistics()
+            continue
+        # lowering may change the length of a text by a little: its parts as they stand are cut in the same proportion
+        end = len(data) if words.tail else min(len(data), at + len(words.data))
+        more = Measures(data[at:end], np.array([0, end - at]), words)
+        at = end
+        if whole is None:
+            whole = more
+        else:
+            whole.add(more)
+        if words.tail:
+            yield a, b, whole.statistics()
 
 
 def _statistics_batches(batches: Iterator[pa.RecordBatch], kept: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in pieces(batch.column("text")):
+        for a, b, x in statistics(batch.column("text")):
             part = batch.slice(a, b - a)
-            x = statistics(part.column("text"))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(x[:, j].copy()) for j in range(len(STATS)))], [*kept, *STATS])
 
 

@@ -210,6 +210,43 @@ def _shingle(words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return mix(g)
 
 
+class Hashes:
+    """Word hashes of all rows, 8 bytes a word; the hashing of bytes takes many times the room of its result and goes part by part."""
+
+    def __init__(self, column: pa.Array):
+        hashes, counts = [np.zeros(0, np.uint64)], np.zeros(len(column), np.int64)
+        for a, b, words in word_parts(column):
+            hashes.append(words.hash)
+            counts[a:b] += words.counts()
+        self.hash = np.concatenate(hashes)
+        self.first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+    def counts(self) -> np.ndarray:
+        return np.diff(self.first)
+
+    def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """As those of ``Words``."""
+        n = self.counts()
+        number = np.where(n >= k, n - k + 1, np.minimum(n, 1))
+        first = np.concatenate([[0], np.cumsum(number)])
+        out = np.empty(first[-1], np.uint64)
+        m = max(0, len(self.hash) - k + 1)
+        run = self.hash[:m] * _C[0]  # of k words from each place, over the ends of rows
+        for j in range(1, k):
+            run += self.hash[j : j + m] * _C[j]
+        run = mix(run)
+        full = n >= k
+        if full.all() and len(n) == 1:
+            return run, first
+        keep = np.zeros(m + 1, np.int64)
+        np.add.at(keep, self.first[:-1][full], 1)
+        np.add.at(keep, self.first[1:][full] - k + 1, -1)
+        out[np.repeat(full, number)] = run[np.cumsum(keep[:-1]) > 0]
+        for r in np.flatnonzero(~full & (n > 0)).tolist():
+            out[first[r]] = _shingle(np.concatenate([self.hash[self.first[r] : self.first[r + 1]], np.zeros(k, np.uint64)]), np.arange(1), k)[0]
+        return out, first
+
+
 def signature(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A hash of each row's word sequence."""
     return mix(sums + counts.astype(np.uint64))

@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from .blocks import pack, unpack
 from .labelled import labelled_sample, remainder
-from .textkernel import U, Words, mix, pieces, ranges
+from .textkernel import U, Words, mix, ranges, word_parts
 
 BITS, FACTORS = 18, 4
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 12_000
+#: Most frequent terms among which pairs are screened, and the chi-square that a pair must reach: of its million pairs none does by chance.
+PAIRED, PAIR_CHI = 1500, 45.0
 
 
 @dataclass
@@ -30,6 +32,9 @@ class Machine:
     w: np.ndarray
     v: np.ndarray
 
+    def active(self) -> np.ndarray:
+        return (self.w != 0) | (self.v != 0).any(1)
+
     def score(self, number: int, row: np.ndarray, term: np.ndarray) -> np.ndarray:
         total = self.bias + np.bincount(row, self.w[term], number)
         for f in range(self.v.shape[1]):
@@ -52,11 +57,38 @@ def terms(words: Words, active: np.ndarray | None = None) -> tuple[np.ndarray, n
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
-def fit(data: list[tuple[int, np.ndarray]], least_steps: int = 4000, batch: int = 64, least_chi: float = 20.0, l1: float = 3e-5, l2: float = 1e-4, seed: int = 11) -> Machine:
+def chi_square(seen: np.ndarray, with_label: np.ndarray, n: int, pos: float) -> np.ndarray:
+    """Statistic of what stands in ``seen`` of n rows, ``with_label`` of them labelled, against the label, with continuity correction."""
+    gap = np.maximum(np.abs(with_label * n - seen * pos) - n / 2, 0)
+    return gap**2 * n / (np.maximum(seen * (n - seen), 0.5) * pos * (n - pos))
+
+
+def paired(data: list[tuple[int, np.ndarray]], seen: np.ndarray, out: np.ndarray, pos: float) -> np.ndarray:
+    """Terms, among the most frequent of ``out``, that tell nothing alone but stand beside another of them in rows of a telling label."""
+    n = len(data)
+    chosen = out[(seen[out] >= 20) & (seen[out] <= 0.9 * n)]
+    chosen = chosen[np.argsort(-seen[chosen], kind="stable")[:PAIRED]]
+    place = np.full(len(seen), -1)
+    place[chosen] = np.arange(len(chosen))
+    both, labelled = (np.zeros((len(chosen), len(chosen)), np.float32) for _ in range(2))
+    for a in range(0, n, 1000):  # products of blocks of rows
+        x = np.zeros((len(data[a : a + 1000]), len(chosen)), np.float32)
+        for k, (_, found) in enumerate(data[a : a + 1000]):
+            at = place[found]
+            x[k, at[at >= 0]] = 1
+        both += x.T @ x
+        y = np.array([d[0] for d in data[a : a + 1000]], bool)
+        labelled += x[y].T @ x[y]
+    chi = chi_square(both.astype(np.float64), labelled.astype(np.float64), n, pos)
+    np.fill_diagonal(chi, 0)
+    return chosen[(chi > PAIR_CHI).any(1)]
+
+
+def fit(data: list[tuple[int, np.ndarray]], least_steps: int = 6000, batch: int = 64, least_chi: float = 20.0, l1: float = 1e-5, l2: float = 1e-4, seed: int = 11) -> Machine:
     """Proximal AdaGrad on the logistic loss. data: label and term buckets of each row.
 
-    Terms whose chi-square statistic against the label (with continuity correction) is below ``least_chi`` stay out: most
-    hashed terms are noise for a few thousand rows.
+    Terms whose chi-square against the label is below ``least_chi`` stay out, as most hashed terms are noise for a few
+    thousand rows, unless a pair of them has one of PAIR_CHI or more.
     """
     size = 1 << BITS
     w, v = np.zeros(size, np.float32), np.zeros((size, FACTORS), np.float32)
@@ -70,8 +102,8 @@ def fit(data: list[tuple[int, np.ndarray]], least_steps: int = 4000, batch: int
         seen[found] += 1
         if label:
             with_label[found] += 1
-    gap = np.maximum(np.abs(with_label * n - seen * pos) - n / 2, 0)
-    used = gap**2 * n > least_chi * np.maximum(seen * (n - seen), 0.5) * pos * (n - pos)
+    used = chi_square(seen, with_label, n, pos) > least_chi
+    used[paired(data, seen, np.flatnonzero((seen > 0) & ~used), pos)] = True
     rows = [d[1][used[d[1]]] for d in data]
     rng = np.random.default_rng(seed)
     v[used] = rng.normal(0, 0.05, (int(used.sum()), FACTORS))
@@ -103,37 +135,40 @@ def fit(data: list[tuple[int, np.ndarray]], least_steps: int = 4000, batch: int
     return Machine(bias, w, v)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def term_batches(batches: Iterator[pa.RecordBatch], text: int, active: np.ndarray | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, row, bucket) of pieces of the batches; a long row's terms are gathered over its parts."""
     for batch in batches:
-        for a, b in pieces(batch.column("text")):
-            part = batch.slice(a, b - a)
-            row, term = terms(Words(part.column("text")))
-            cut = np.searchsorted(row, np.arange(b - a + 1))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(term.astype(np.int32)))], ["doc_id", "label", "terms"])
+        for a, b, words in word_parts(batch.column(text)):
+            row, term = terms(words, active)
+            if not words.head:
+                term = np.union1d(before, term)
+                row = np.zeros(len(term), np.int64)
+            before = term
+            if words.tail:
+                yield batch.slice(a, b - a), row, term
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, row, term in term_batches(batches, 1):
+        cut = np.searchsorted(row, np.arange(len(part) + 1))
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(term.astype(np.int32)))], ["doc_id", "label", "terms"])
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model: Machine) -> Iterator[pa.RecordBatch]:
-    active = (model.w != 0) | (model.v != 0).any(1)
-    for batch in batches:
-        for a, b in pieces(batch.column(1)):
-            part = batch.slice(a, b - a)
-            score = model.score(b - a, *terms(Words(part.column(1)), active))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], ["doc_id", "score"])
+    for part, row, term in term_batches(batches, 1, model.active()):
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(len(part), row, term))], ["doc_id", "score"])
 
 
 def _clean(batches: Iterator[pa.RecordBatch], model: Machine, text: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    active = (model.w != 0) | (model.v != 0).any(1)
-    for batch in batches:
-        for a, b in pieces(batch.column(text)):
-            part = batch.slice(a, b - a)
-            yield part.filter(pa.array(model.score(b - a, *terms(Words(part.column(text)), active)) < threshold))
+    for part, row, term in term_batches(batches, text, model.active()):
+        yield part.filter(pa.array(model.score(len(part), row, term) < threshold))
 
 
 def _fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All sampled rows -> one row, the model packed."""
     rows = sorted(((i, int(y > 0), t.values.to_numpy().copy()) for batch in batches for i, y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)), key=lambda r: r[0])
     model = fit([(y, t) for _, y, t in rows])
-    at = np.flatnonzero((model.w != 0) | (model.v != 0).any(1))
+    at = np.flatnonzero(model.active())
     yield pa.RecordBatch.from_arrays([pa.array([pack(np.array([model.bias]), at.astype(np.int32), model.w[at], model.v[at].ravel())], pa.binary())], ["model"])
 
 

@@ -253,14 +253,26 @@ def shingle_list(w):
 
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(1)
-    base = rng.integers(0, 2**63, 50, dtype=np.uint64)
-    group = decontaminate.Group(9, list(range(50)), [], base)
-    probes = base.copy()
-    for k in range(50):
-        for b in rng.choice(64, rng.integers(0, 40), replace=False):
-            probes[k] ^= np.uint64(1) << np.uint64(b)
-    got = set(zip(*(x.tolist() for x in decontaminate.near(probes, group, 24)), strict=True))
-    assert got == {(a, b) for a in range(50) for b in range(50) if bin(int(probes[a]) ^ int(base[b])).count("1") <= 24}
+    base = rng.integers(0, 2**63, (60, 4), dtype=np.uint64)
+    probes = np.repeat(base, 3, axis=0)
+    for k in range(len(probes)):
+        for b in rng.choice(256, rng.integers(0, 90), replace=False):
+            probes[k, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    got = set(zip(*(x.tolist() for x in decontaminate.near(probes, base)), strict=True))
+    far = np.bitwise_count(probes[:, None] ^ base).sum(2)
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(far <= decontaminate.RADIUS)), strict=True)) and 60 < len(got) < 180
+    a, b = (rng.integers(0, 2**63, (3000, 4), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, (3000, 4), dtype=np.uint64) for _ in range(2))
+    blocks = np.bitwise_count(a.view(np.uint32) ^ b.view(np.uint32)) <= decontaminate.RADIUS // decontaminate.BLOCKS
+    assert blocks.any(1).mean() < 0.02  # random pairs that the blocks let through
+
+
+@pytest.mark.parametrize("m", [9, 36, 120])
+def test_radius_holds_similarity(m):
+    rng = np.random.default_rng(m)
+    a = rng.integers(0, 2**63, (2000, m), dtype=np.uint64)
+    b = a.copy()
+    b[:, math.ceil(2 * m * 0.8 / 1.8) :] = 7  # the rest is one shingle, repeated
+    assert (np.bitwise_count(decontaminate.simhash(decontaminate.distinct(a)) ^ decontaminate.simhash(decontaminate.distinct(b))).sum(1) <= decontaminate.RADIUS).mean() >= 0.999
 
 
 def test_lm_scores(spark, docs):
@@ -410,15 +422,19 @@ def test_classifiers(spark, name):
     assert not next(r for r in got if r.doc_id is None).held_out
 
 
-def test_factorization_learns_pairs():
-    rng = np.random.default_rng(0)
-    data = []
-    for _ in range(3000):
-        a, b = rng.random(2) < 0.5
-        data.append((int(a and b), np.array([k for k, on in ((11, a), (22, b), (33, True)) if on])))
-    m = toxicity.fit(data)
-    score = lambda *t: float(m.score(1, np.zeros(len(t), np.int64), np.array(t))[0])
-    assert score(11, 22, 33) > 0.8 and max(score(11, 33), score(22, 33), score(33)) < 0.3
+@pytest.mark.parametrize("label", [lambda a, b: a != b, lambda a, b: a and b, lambda a, b: a == b])
+def test_factorization_learns_pairs(label):
+    """Also of terms that tell nothing alone."""
+    rng = random.Random(2)
+
+    def rows(n):
+        for _ in range(n):
+            a, b = rng.random() < 0.5, rng.random() < 0.5
+            yield int(label(a, b)), np.unique([t for t, has in ((7, a), (8, b)) if has] + [rng.randrange(200, 900) for _ in range(20)])
+
+    model = toxicity.fit(list(rows(3000)))
+    got = [(y, model.score(1, np.zeros(len(t), int), t)[0]) for y, t in rows(500)]
+    assert sum((s >= 0.5) == y for y, s in got) >= 490
 
 
 def test_rules_as_columns_score_as_rules(spark):
