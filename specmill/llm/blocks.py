@@ -8,13 +8,13 @@ import numpy as np
 import zstandard
 
 
-def pack(*columns: np.ndarray) -> bytes:
+def pack(*columns: np.ndarray, level: int = 1) -> bytes:
     """Columns as byte planes: planes that are all alike (high bytes) cost nothing after compression."""
     parts = [struct.pack("<B", len(columns))]
     for c in columns:
         c = np.ascontiguousarray(c)
         parts += [struct.pack("<3sq", c.dtype.str[1:].encode().ljust(3), len(c)), c.view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
 
 
 def unpack(block: bytes) -> list[np.ndarray]:

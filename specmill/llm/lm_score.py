@@ -1,50 +1,32 @@
 """LM scoring by stupid backoff: count tables of n-grams by hash range, joined to the n-grams of the documents.
 
-Documents are read in chunks. A chunk's n-grams are exploded, summed within the chunk and sent to the ranges of their hash, one
-packed row a chunk and range. A range adds up the counts of all chunks, which is its part of the count table, joins
-them to the n-grams of each chunk and sends the totals back in their order. So a frequent n-gram is one entry a chunk,
-never one a document. The chunk then scores its documents, each against the counts of all other documents.
+Documents are put in chunks, which are written once, so that every later step sees the same ones. A chunk's n-grams are exploded, summed
+within the chunk and sent to the ranges of their hash, one packed row a chunk and range. A range adds up the counts of all
+chunks, which is its part of the count table, joins them to the n-grams of each chunk and sends the totals back in their order.
+So a frequent n-gram is one entry a chunk, never one a document. The chunk then sums the scores of its documents.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import deltas, pack, undeltas, unpack
 from .shared import Scratch
-from .textkernel import U, Words, _C, mix, pieces
+from .textkernel import U, Hashes, _C, mix
 
 ORDER, BACKOFF = 3, 0.4
-#: Text bytes of a chunk.
-CHUNK_BYTES = 8 << 20
+#: Text bytes of a chunk, and of the texts whose n-grams one range of hashes is made for, at most.
+CHUNK_BYTES, RANGE_BYTES = 8 << 20, 32 << 20
 #: Bits of an n-gram's hash.
 BITS = 56
-_LOST = "documents came in other chunks than before"
-
-
-class Hashes:
-    """Word hashes of many texts, made piece by piece: the hashing of bytes takes many times the room of its result."""
-
-    def __init__(self, column: pa.Array):
-        hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for a, b in pieces(column):
-            words = Words(column.slice(a, b - a))
-            hashes.append(words.hash)
-            counts.append(words.counts())
-        self.hash = np.concatenate(hashes)
-        self.first = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
-
-    def counts(self) -> np.ndarray:
-        return np.diff(self.first)
 
 
 def grams(words: Hashes, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,18 +41,17 @@ def grams(words: Hashes, order: int) -> tuple[np.ndarray, np.ndarray]:
     return place, mix(h + U(order)) >> U(64 - BITS)
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, pa.Array, pa.Array]]:
-    """(key, doc_ids, texts) of (doc_id, text) rows. The key is a digest of the contents."""
+def chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> (key, size, block): chunks of rows, compressed, with their text bytes."""
     ids, texts, size = [], [], 0
 
-    def made() -> tuple[bytes, pa.Array, pa.Array]:
-        column, doc_ids = pa.concat_arrays(texts), pa.concat_arrays(ids)
-        digest = hashlib.blake2b(digest_size=16)
-        for array in (doc_ids.fill_null(-1), column):
-            for buffer in pa.concat_arrays([array]).buffers()[1:]:
-                if buffer is not None:
-                    digest.update(buffer)
-        return digest.digest(), doc_ids, column
+    def made() -> pa.RecordBatch:
+        table = pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(texts)], ["doc_id", "text"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as w:
+            w.write_batch(table)
+        block = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().bytes], pa.binary()), pa.array([size], pa.int64()), pa.array([block], pa.binary())], ["key", "size", "block"])
 
     for batch in batches:
         column = batch.column(1).cast(pa.large_string()).fill_null("")
@@ -90,22 +71,30 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, pa.Array,
         yield made()
 
 
+def rows_of(block: bytes) -> tuple[pa.Array, pa.Array]:
+    """doc_ids and texts of a chunk."""
+    with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(block)) as r:
+        batch = next(iter(r))
+    return batch.column(0), batch.column(1)
+
+
 def count_batches(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> (part, key, block): distinct n-grams of a chunk, with counts, by range of their hash."""
-    for key, _, texts in chunks(batches):
-        words = Hashes(texts)
-        tables = [np.unique(grams(words, m)[1], return_counts=True) for m in range(1, ORDER + 1)]
-        edges = np.array([(p << BITS) // parts for p in range(parts)] + [1 << BITS], np.uint64)
-        cuts = [np.searchsorted(h, edges) for h, _ in tables]
-        ids, rows = [], []
-        for p in range(parts):
-            cols = []
-            for (h, c), cut in zip(tables, cuts, strict=True):
-                cols += [deltas(h[cut[p] : cut[p + 1]]), c[cut[p] : cut[p + 1]].astype(np.uint32)]
-            if any(len(c) for c in cols):
-                ids.append(p)
-                rows.append(pack(*cols))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([key] * len(ids), pa.binary()), pa.array(rows, pa.binary())], ["part", "key", "block"])
+    """(key, block) of chunks -> (part, key, block): distinct n-grams of a chunk, with counts, by range of their hash."""
+    edges = np.array([(p << BITS) // parts for p in range(parts)] + [1 << BITS], np.uint64)
+    for batch in batches:
+        for key, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            words = Hashes(rows_of(block.as_py())[1])
+            tables = [np.unique(grams(words, m)[1], return_counts=True) for m in range(1, ORDER + 1)]
+            cuts = [np.searchsorted(h, edges) for h, _ in tables]
+            ids, rows = [], []
+            for p in range(parts):
+                cols = []
+                for (h, c), cut in zip(tables, cuts, strict=True):
+                    cols += [deltas(h[cut[p] : cut[p + 1]]), c[cut[p] : cut[p + 1]].astype(np.uint32)]
+                if any(len(c) for c in cols):
+                    ids.append(p)
+                    rows.append(pack(*cols))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([key] * len(ids), pa.binary()), pa.array(rows, pa.binary())], ["part", "key", "block"])
 
 
 def total_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,11 +103,11 @@ def total_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def added() -> pa.RecordBatch:
         totals: list[list[np.ndarray]] = [[] for _ in blocks]
+        columns = [unpack(b) for b in blocks]
         for m in range(ORDER):
-            columns = [unpack(b)[2 * m : 2 * m + 2] for b in blocks]
-            h = [undeltas(c[0]) for c in columns]
+            h = [undeltas(c[2 * m]) for c in columns]
             _, where = np.unique(np.concatenate(h), return_inverse=True)
-            total = np.bincount(where, np.concatenate([c[1] for c in columns]))
+            total = np.bincount(where, np.concatenate([c[2 * m + 1] for c in columns]))
             total = (total.astype(np.uint32 if total.max(initial=0) < 1 << 32 else np.uint64))[where] if len(where) else np.zeros(0, np.uint32)
             for k, x in enumerate(np.split(total, np.cumsum([len(x) for x in h])[:-1])):
                 totals[k].append(x)
@@ -136,35 +125,21 @@ def total_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield added()
 
 
-def chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chunks themselves, compressed, as rows before their totals: (key, -1, block)."""
-    for key, ids, texts in chunks(batches):
-        sink = pa.BufferOutputStream()
-        table = pa.RecordBatch.from_arrays([ids, texts], ["doc_id", "text"])
-        with pa.ipc.new_stream(sink, table.schema) as w:
-            w.write_batch(table)
-        block = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
-        yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.array([-1], pa.int32()), pa.array([block], pa.binary())], ["key", "part", "block"])
-
-
-def others(words: Hashes, order: int, total: np.ndarray) -> np.ndarray:
-    """For every word the count, in all other documents, of the n-gram that it ends; 0 where there is none."""
-    out = np.zeros(len(words.hash), np.int64)
+def counts_of(words: Hashes, order: int, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every word the count of the n-gram that it ends: in all documents, and in all but its own; 0 where there is none."""
+    whole, out = np.zeros(len(words.hash), np.int64), np.zeros(len(words.hash), np.int64)
     place, h = grams(words, order)
-    each, where = np.unique(h, return_inverse=True)
-    if len(each) != len(total):
-        raise RuntimeError(_LOST)
-    count = total[where].astype(np.int64)
+    where = np.unique(h, return_inverse=True)[1]
+    whole[place] = count = total[where].astype(np.int64)
     more = np.flatnonzero(count > 1)  # an n-gram that stands once in the corpus stands in no other document
     row = np.searchsorted(words.first, place[more], side="right")
     _, pair, own = np.unique((row << 32) | where[more], return_inverse=True, return_counts=True)
     out[place[more]] = count[more] - own[pair]
-    return out
+    return whole, out
 
 
-def score_chunk(words: Hashes, totals: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def score_chunk(words: Hashes, counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sum of the log scores of each text but for the size of the corpus, and how often that divides."""
-    counts = [others(words, m + 1, totals[m]) for m in range(ORDER)]
     n = len(words.hash)
     at = np.arange(n) - np.repeat(words.first[:-1], words.counts())
     value, left = np.zeros(n), np.ones(n, bool)
@@ -180,59 +155,53 @@ def score_chunk(words: Hashes, totals: list[np.ndarray]) -> tuple[np.ndarray, np
 
 
 def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, part, block) sorted by key and part: a chunk, then its totals -> sums of its documents. Chunks equal in every row share a key; they are scored once and returned as often as they came."""
-    key, texts, copies, last, found = None, [], 0, -1, []
-
-    def scored() -> Iterator[pa.RecordBatch]:
-        if not copies:
-            raise RuntimeError(_LOST)
-        ids = pa.concat_arrays([b.column(0) for b in texts])
-        words = Hashes(pa.concat_arrays([b.column(1) for b in texts]))
-        value, ends = score_chunk(words, [np.concatenate([f[m] for f in found] or [np.zeros(0, np.uint32)]) for m in range(ORDER)])
-        for _ in range(copies):
-            yield pa.RecordBatch.from_arrays([ids, pa.array(words.counts()), pa.array(value), pa.array(ends)], ["doc_id", "n_words", "value", "ends"])
+    """(key, part, block) sorted by key and part: a chunk (part -1), then its totals -> sums of its documents."""
+    key, chunk, found = None, b"", []
+
+    def scored() -> pa.RecordBatch:
+        ids, texts = rows_of(chunk)
+        words = Hashes(texts)
+        both = [counts_of(words, m + 1, np.concatenate([f[m] for f in found] or [np.zeros(0, np.uint32)])) for m in range(ORDER)]
+        columns = [x for k in (1, 0) for x in score_chunk(words, [b[k] for b in both])]
+        return pa.RecordBatch.from_arrays([ids, pa.array(words.counts()), *map(pa.array, columns)], ["doc_id", "n_words", "value", "ends", "whole_value", "whole_ends"])
 
     for batch in batches:
         for k, part, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             if k != key:
                 if key is not None:
-                    yield from scored()
-                key, texts, copies, last, found = k, [], 0, -1, []
+                    yield scored()
+                key, found = k, []
             if part < 0:
-                copies += 1
-                if copies == 1:
-                    with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(block.as_py())) as r:
-                        texts = list(r)
-            elif part != last:
-                last = part
+                chunk = block.as_py()
+            else:
                 found.append(unpack(block.as_py()))
     if key is not None:
-        yield from scored()
+        yield scored()
 
 
-def lm_scores(spark: SparkSession, docs: DataFrame, attempts: int = 3) -> DataFrame:
-    """doc_id, n_words, log_score, mean_log_score for every row of ``docs`` (doc_id, text).
+def lm_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, log_score, total_log_score, corpus_log_score for every row of ``docs`` (doc_id, text).
 
-    log_score is the sum over the words of the logarithm of the stupid backoff score with trigrams: the count of the longest
+    total_log_score is the sum over the words of the logarithm of the stupid backoff score with trigrams: the count of the longest
     n-gram that other documents have, by that of its context, times 0.4 for each step of backing off; the single word is
     divided by the number of words, and one that no other document has counts one half. Counts are those of all documents
-    but the scored one. Words are as in the hashing kernel. Null, empty and wordless texts have 0 words, score 0 and
-    mean 0; repeated rows are other documents to each other; doc_id may be null.
+    but the scored one, whose own n-grams would always be found. log_score is the mean over the words. corpus_log_score is the mean
+    with the counts of all documents, the scored one among them. Words are as in the hashing kernel. Null, empty and wordless
+    texts have 0 words and scores of 0; repeated rows are other documents to each other; doc_id may be null.
     """
     scratch = Scratch(spark, "lm_scores")
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counted = rows.mapInArrow(lambda it: count_batches(it, parts), "part int, key binary, block binary")
+    chunks = scratch.write(rows.mapInArrow(chunk_batches, "key binary, size long, block binary"))
+    size = chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    counted = chunks.select("key", "block").mapInArrow(lambda it: count_batches(it, parts), "part int, key binary, block binary")
     totals = counted.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(total_batches, "key binary, part int, block binary")
-    both = totals.unionByName(rows.mapInArrow(chunk_batches, "key binary, part int, block binary"))
-    scored = both.repartition("key").sortWithinPartitions("key", "part").mapInArrow(score_batches, "doc_id long, n_words long, value double, ends long")
-    for attempt in range(attempts):
-        try:
-            done = scratch.write(scored)
-            break
-        except PythonException as e:  # after the loss of an executor the files may have been cut in another way
-            if attempt + 1 == attempts or _LOST not in str(e):
-                raise
-    total = done.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    score = F.col("value") - F.when(F.col("ends") > 0, F.col("ends") * F.log(F.greatest(F.lit(float(total)) - F.col("n_words"), F.lit(1.0)))).otherwise(0.0)
-    return done.select("doc_id", "n_words", score.alias("log_score"), (score / F.greatest(F.col("n_words"), F.lit(1))).alias("mean_log_score"))
+    both = totals.unionByName(chunks.select("key", F.lit(-1).alias("part"), "block"))
+    schema = "doc_id long, n_words long, value double, ends long, whole_value double, whole_ends long"
+    done = scratch.write(both.repartition("key").sortWithinPartitions("key", "part").mapInArrow(score_batches, schema))
+    scratch.drop(0)
+    total = float(done.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0])
+    others, words = F.greatest(F.lit(total) - F.col("n_words"), F.lit(1.0)), F.greatest(F.col("n_words"), F.lit(1))
+    score = F.col("value") - F.when(F.col("ends") > 0, F.col("ends") * F.log(others)).otherwise(0.0)
+    whole = F.col("whole_value") - F.when(F.col("whole_ends") > 0, F.col("whole_ends") * F.log(F.lit(max(total, 1.0)))).otherwise(0.0)
+    return done.select("doc_id", "n_words", (score / words).alias("log_score"), score.alias("total_log_score"), (whole / words).alias("corpus_log_score"))

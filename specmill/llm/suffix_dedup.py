@@ -1,10 +1,12 @@
 """Removal of repeated byte strings with a logarithmic family of sparse suffix arrays.
 
-A full suffix array of the corpus is far beyond the limits of the work here, so the suffixes are sampled without loss: of
-every 100-byte window one anchor is taken, the leftmost place where a 50-byte string of least hash starts. Equal
-windows have equal anchors at equal offsets, so only suffixes at anchors need an index. The array of a batch is its
-anchors in the order of the hash of their first 50 bytes. Batches of one hash range meet in one task, where the family is
-kept: a new batch is merged with levels of its size, geometrically, and each merge is a scan in which equal neighbours show.
+The suffixes are sampled without loss: of every 100-byte window one anchor is taken, the leftmost place where a 50-byte string of
+least hash starts. Equal windows have equal anchors at equal offsets, so only suffixes at anchors need an index. An entry of a suffix
+array is the suffix at an anchor, as far as windows with this anchor reach, and what stands before it in them. A batch of texts
+is sorted into one array for each range of the hash of the first 50 bytes. The arrays of a range meet in one task, where the
+family is kept: a new array is merged with levels of its size, geometrically, and in the order of bytes equal neighbours show.
+At the end common prefixes of neighbours give the windows that entries share though they differ elsewhere. All strings
+are compared by their bytes.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from pyspark.sql import functions as F
 
 from .blocks import deltas, pack, undeltas, unpack
 from .shared import Scratch
-from .textkernel import U, _RI, _TAB, mix, pieces, powers, prefix, ranges, raw
+from .textkernel import PART, U, _RI, mix, pieces, powers, prefix, raw
 
 WINDOW, GRAM = 100, 50
-_R2 = 0xC2B2AE3D27D4EB4F
-#: Text bytes of one batch of the index.
-BATCH_BYTES = 8 << 20
+BEFORE = WINDOW - GRAM
+#: Bytes of a key: the suffix, the bytes before it from right to left, and the lengths of both plus one; what is too short ends in zeros.
+KEY = WINDOW + BEFORE + 2
+#: Text bytes of one batch of the index, and of the texts that one range of hashes is made for.
+BATCH_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
 _LAST = np.int64(2**63 - 1)
 COLUMNS = "bucket int, kind int, block binary"
 #: Spans that a task holds before it sends them on.
@@ -32,10 +36,10 @@ HELD = 400_000
 
 
 class Entries:
-    """Index entries: k, u (hashes), d, t (document), pos (first window), ln (windows)."""
+    """Entries of a suffix array: key (rows of KEY bytes), d, t (document), pos (start of the first window)."""
 
-    def __init__(self, k, u, d, t, pos, ln):
-        self.c = (k, u, d, t, pos, ln)
+    def __init__(self, key, d, t, pos):
+        self.c = (key, d, t, pos)
 
     def __len__(self) -> int:
         return len(self.c[0])
@@ -43,34 +47,50 @@ class Entries:
     def take(self, at) -> Entries:
         return Entries(*(x[at] for x in self.c))
 
+    def before(self) -> np.ndarray:
+        """Bytes before the anchor in the first window."""
+        return self.c[0][:, -1].astype(np.int64) - 1
+
+    def windows(self) -> np.ndarray:
+        """Number of windows: the suffix of the last one starts so many bytes nearer to the anchor."""
+        return self.before() - (WINDOW - (self.c[0][:, -2].astype(np.int64) - 1)) + 1
+
+    def order(self) -> np.ndarray:
+        """The order of the suffixes' bytes, then of those before. Runs that are in order already merge in linear time."""
+        return np.argsort(np.ascontiguousarray(self.c[0]).view(f"S{KEY}").ravel(), kind="stable")
+
     @staticmethod
     def join(parts: list[Entries]) -> Entries:
         return Entries(*(np.concatenate(x) for x in zip(*(p.c for p in parts), strict=True)))
 
 
-EMPTY = Entries(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint32))
+EMPTY = Entries(np.zeros((0, KEY), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
 
 
 def scan(e: Entries) -> tuple[Entries, Entries]:
-    """Sorts by k; of entries equal in k, u and length the earliest stays, the others are returned as repeated."""
-    e = e.take(np.argsort(e.c[0], kind="stable"))
-    k = e.c[0]
-    same = np.zeros(len(k) + 1, bool)
-    same[1:-1] = k[1:] == k[:-1]
+    """Sorts; of entries with equal keys the earliest stays, the others are returned as repeated."""
+    e = e.take(e.order())
+    key = e.c[0]
+    same = np.zeros(len(key) + 1, bool)
+    same[1:-1] = (key[1:] == key[:-1]).all(1)
     runs = np.flatnonzero(same[1:] | same[:-1])
     if not len(runs):
         return e, EMPTY
-    sub = e.take(runs)
-    sub = sub.take(np.lexsort((sub.c[4], sub.c[3], sub.c[2], sub.c[5], sub.c[1], sub.c[0])))
-    again = np.zeros(len(sub), bool)
-    again[1:] = (sub.c[0][1:] == sub.c[0][:-1]) & (sub.c[1][1:] == sub.c[1][:-1]) & (sub.c[5][1:] == sub.c[5][:-1])
+    run = np.cumsum(~same[runs])
+    _, d, t, pos = (x[runs] for x in e.c)
+    order = np.lexsort((pos, t, d, run))
+    d, t, pos, run = d[order], t[order], pos[order], run[order]
+    again = np.zeros(len(runs), bool)
+    again[1:] = run[1:] == run[:-1]
     # rows with equal doc_id and text are one document: the same place twice is no repetition
-    place = np.zeros(len(sub), bool)
-    place[1:] = again[1:] & (sub.c[2][1:] == sub.c[2][:-1]) & (sub.c[3][1:] == sub.c[3][:-1]) & (sub.c[4][1:] == sub.c[4][:-1])
-    rest = np.ones(len(e), bool)
-    rest[runs] = False
-    kept = Entries.join([e.take(rest), sub.take(~again)])
-    return kept.take(np.argsort(kept.c[0], kind="stable")), sub.take(again & ~place)
+    place = np.zeros(len(runs), bool)
+    place[1:] = again[1:] & (d[1:] == d[:-1]) & (t[1:] == t[:-1]) & (pos[1:] == pos[:-1])
+    for column, x in zip(e.c[1:], (d, t, pos), strict=True):
+        column[runs] = x
+    keep, found = np.ones(len(e), bool), np.zeros(len(e), bool)
+    keep[runs[again]] = False
+    found[runs[again & ~place]] = True
+    return e.take(keep), e.take(found)
 
 
 class Family:
@@ -99,18 +119,54 @@ class Family:
         return batch, Entries.join(out)
 
 
-def second(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the byte ranges, by another table and base than those of ``ranges``."""
-    h = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TAB[data ^ 0x5A] * powers(_R2, len(data)), out=h[1:])
-    return mix((h[end] - h[start]) * powers(pow(_R2, -1, 2**64), len(h))[start])
+def shared_windows(e: Entries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, first window, windows): runs of windows of the sorted, different entries that stand earlier in another entry.
 
-
-def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """k, u, row, first window within the row and number of windows, for each anchor."""
+    Entries that share a window with so many bytes before the anchor follow one another, and share the suffix as far as the window
+    reaches: the least common prefix of neighbours tells. Of those, the ones with the same bytes before the anchor share it.
+    """
+    key = e.c[0]
+    none = np.zeros(0, np.int64)
+    if len(e) < 2:
+        return none, none, none
+    differ = key[1:, :WINDOW] != key[:-1, :WINDOW]
+    common = np.where(differ.any(1), differ.argmax(1), WINDOW)
+    near = np.zeros(len(e) + 1, bool)
+    near[1:-1] = common >= GRAM
+    sub = np.flatnonzero(near[1:] | near[:-1])
+    if not len(sub):
+        return none, none, none
+    # of neighbours in ``sub`` the common prefix is that of neighbours in ``e`` where they are, and less than GRAM elsewhere
+    common = np.where(np.diff(sub) == 1, common[sub[:-1]], 0)
+    s = e.take(sub)
+    most = s.before()
+    least = most - s.windows() + 1
+    left, anchor = s.c[0][:, WINDOW : WINDOW + BEFORE], s.c[3].astype(np.int64) + most
+    again = np.zeros((len(s), BEFORE + 1), bool)
+    h = np.zeros(len(s), np.uint64)
+    for n in range(BEFORE + 1):  # windows with n bytes before the anchor
+        if n:
+            h = (h + left[:, n - 1] + U(1)) * U(0x9E3779B97F4A7C15)
+            h ^= h >> U(29)
+        run = np.concatenate([[0], np.cumsum(common < WINDOW - n)])
+        at = np.flatnonzero((least <= n) & (n <= most))
+        order = at[np.lexsort((anchor[at], s.c[2][at], s.c[1][at], h[at], run[at]))]
+        a, b = order[:-1], order[1:]
+        same = (run[a] == run[b]) & (h[a] == h[b])
+        same[same] = (left[a[same], :n] == left[b[same], :n]).all(1)
+        again[b[same], n] = True
+    change = np.diff(np.pad(again, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    entry, first = np.nonzero(change == 1)
+    _, after = np.nonzero(change == -1)
+    # more bytes before the anchor are an earlier window
+    return sub[entry], most[entry] - (after - 1), after - first
+
+
+def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the 50-byte string at, key, row and first window within the row, for each anchor."""
     n = len(data)
     if n < WINDOW:
-        return (*EMPTY.c[:2], np.zeros(0, np.int64), *EMPTY.c[4:])
+        return np.zeros(0, np.uint64), EMPTY.c[0], np.zeros(0, np.int64), EMPTY.c[3]
     h = prefix(data)
     inv = powers(_RI, n + 1)
     g = mix((h[GRAM:] - h[:-GRAM]) * inv[: n + 1 - GRAM])
@@ -131,29 +187,54 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     end = np.concatenate([head[1:], [m]])
     good = anchor[head] >= 0
     head, end = head[good], end[good]
-    k = mix(g[anchor[head]] + U(1))  # mixed again: hashes that are least of many are small, and k is cut into ranges
-    u = second(data, head, end + WINDOW - 1)  # whole: k is that of the string alone, so only u tells its contexts apart
+    at = anchor[head]
+    k = mix(g[at] + U(1))  # mixed again: hashes that are least of many are small, and k is cut into ranges
+    padded = np.concatenate([np.zeros(BEFORE, np.uint8), data, np.zeros(WINDOW, np.uint8)])
+    view = np.lib.stride_tricks.sliding_window_view(padded, BEFORE + WINDOW)[at]
+    after, before = end - 1 + WINDOW - at, at - head
+    key = np.empty((len(at), KEY), np.uint8)
+    key[:, :WINDOW] = view[:, BEFORE:] * (np.arange(WINDOW) < after[:, None])
+    key[:, WINDOW:-2] = view[:, BEFORE - 1 :: -1] * (np.arange(BEFORE) < before[:, None])
+    key[:, -2], key[:, -1] = after + 1, before + 1
     row = np.searchsorted(offs, head, side="right") - 1
-    return k, u, row, (head - offs[row]).astype(np.uint32), (end - head).astype(np.uint32)
-
-
-def _out(e: Entries, parts: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of entries by range of k."""
-    e = e.take(np.argsort(e.c[0], kind="stable"))
-    part = (((e.c[0] >> U(32)) * U(parts)) >> U(32)).astype(np.int64)
-    cut = np.searchsorted(part, np.arange(parts + 1))
-    ids, rows = [], []
-    for p in np.flatnonzero(cut[1:] > cut[:-1]):
-        k, u, d, t, pos, ln = e.take(slice(cut[p], cut[p + 1])).c
-        docs, idx = np.unique(np.stack([d, t], 1), axis=0, return_inverse=True)
-        ids.append(int(p))
-        rows.append(pack(deltas(k), (u & U(0xFFFFFFFF)).astype(np.uint32), (u >> U(32)).astype(np.uint32), docs[:, 0].copy(), docs[:, 1].copy(), idx.reshape(-1).astype(np.uint32), pos, ln))
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(rows, pa.binary())], ["part", "block"])
+    return k, key, row, (head - offs[row]).astype(np.uint32)
+
+
+def _documents_of(d: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different documents, and the number of each entry's."""
+    order = np.lexsort((t, d))
+    head = np.ones(len(d), bool)
+    head[1:] = (d[order][1:] != d[order][:-1]) | (t[order][1:] != t[order][:-1])
+    number = np.empty(len(d), np.uint32)
+    number[order] = np.cumsum(head) - 1
+    return d[order][head], t[order][head], number
+
+
+def _out(k: np.ndarray, e: Entries, parts: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of a batch by range of k: kind 1 its sorted entries, kind 0 what repeats within the batch."""
+    part = (((k >> U(32)) * U(parts)) >> U(32)).astype(np.int32)
+    rows: list[tuple[int, int, bytes]] = []
+    order = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+        kept, found = scan(e.take(order[cut[p] : cut[p + 1]]))
+        key, d, t, pos = kept.c
+        body = key[:, :-2]
+        there = np.concatenate([np.arange(WINDOW) < key[:, -2:-1].astype(np.int64) - 1, np.arange(BEFORE) < key[:, -1:].astype(np.int64) - 1], axis=1)
+        rows.append((p, 1, pack(body[there], key[:, -2].copy(), key[:, -1].copy(), *_documents_of(d, t), pos, level=3)))
+        if len(found):
+            rows.append((p, 0, pack(*_documents_of(*found.c[1:3]), found.c[3], found.windows().astype(np.uint32))))
+    columns = list(zip(*rows, strict=True)) or [(), (), ()]
+    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], ["part", "kind", "block"])
 
 
 def _in(block: bytes) -> Entries:
-    k, u, u2, d, t, idx, pos, ln = unpack(block)
-    return Entries(undeltas(k), u.astype(np.uint64) | (u2.astype(np.uint64) << U(32)), d[idx], t[idx], pos, ln)
+    body, after, before, d, t, number, pos = unpack(block)
+    key = np.zeros((len(pos), KEY), np.uint8)
+    there = np.concatenate([np.arange(WINDOW) < after[:, None].astype(np.int64) - 1, np.arange(BEFORE) < before[:, None].astype(np.int64) - 1], axis=1)
+    key[:, :-2][there] = body
+    key[:, -2], key[:, -1] = after, before
+    return Entries(key, d[number], t[number], pos)
 
 
 def _doc_ids(column: pa.Array) -> np.ndarray:
@@ -161,73 +242,80 @@ def _doc_ids(column: pa.Array) -> np.ndarray:
 
 
 def anchor_batches(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, th, text) -> (part, block)"""
-    have, size = [], 0
+    """(doc_id, th, text) -> (part, kind, block)"""
+    have: list[tuple[np.ndarray, Entries]] = []
+    size = 0
     for batch in batches:
+        d, t = _doc_ids(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
         for a, b in pieces(batch.column(2)):
             data, offs = raw(batch.column(2).slice(a, b - a), lower=False, stop=None)
-            k, u, row, pos, ln = anchors(data, offs)
-            d, t = _doc_ids(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
-            have.append(Entries(k, u, d[a + row], t[a + row], pos, ln))
-            size += len(data)
-            if size >= BATCH_BYTES:
-                yield from _out(Entries.join(have), parts)
-                have, size = [], 0
+            step = PART if b - a == 1 else len(data) + 1
+            for at in range(0, len(data), step):  # a long text in parts, each with its windows whole
+                part = data[at : at + step + WINDOW - 1]
+                k, key, row, pos = anchors(part, offs if b - a > 1 else np.array([0, len(part)]))
+                have.append((k, Entries(key, d[a + row], t[a + row], (pos + np.uint32(at)).astype(np.uint32))))
+                size += min(step, len(data) - at)
+                if size >= BATCH_BYTES:
+                    yield from _out(np.concatenate([x for x, _ in have]), Entries.join([x for _, x in have]), parts)
+                    have, size = [], 0
     if have:
-        yield from _out(Entries.join(have), parts)
+        yield from _out(np.concatenate([x for x, _ in have]), Entries.join([x for _, x in have]), parts)
 
 
 class Spans:
-    """Spans of documents on their way: packed by bucket of the document."""
+    """Spans of documents on their way, as starts and lengths: packed by bucket of the document."""
 
     def __init__(self, buckets: int):
-        self.buckets, self.held, self.size = buckets, {0: [], 1: []}, 0
+        self.buckets, self.held, self.size = buckets, [], 0
 
-    def put(self, e: Entries, kind: int) -> Iterator[pa.RecordBatch]:
-        """kind 0: bytes that repeat; kind 1: windows to be looked at one by one."""
-        _, _, d, t, pos, ln = e.c
-        self.held[kind].append((d, t, pos, ln + np.uint32(WINDOW - 1) if kind == 0 else ln))
+    def put(self, d: np.ndarray, t: np.ndarray, pos: np.ndarray, windows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((d, t, pos.astype(np.uint32), (windows + (WINDOW - 1)).astype(np.uint32)))
         self.size += len(d)
         if self.size > HELD:
             yield self.sent()
 
     def sent(self) -> pa.RecordBatch:
         rows: list[tuple[int, int, bytes]] = []
-        for kind, parts in self.held.items():
-            if not parts:
-                continue
-            d, t, pos, ln = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if self.size:
+            d, t, pos, ln = (np.concatenate(x) for x in zip(*self.held, strict=True))
             bucket = np.mod(d ^ t, self.buckets)
             order = np.lexsort((pos, t, d, bucket))
             cut = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
             for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
                 at = order[cut[k] : cut[k + 1]]
-                rows.append((k, kind, pack(deltas(d[at]), deltas(t[at]), pos[at], ln[at])))
-        self.held, self.size = {0: [], 1: []}, 0
+                rows.append((k, 0, pack(deltas(d[at]), deltas(t[at]), pos[at], ln[at])))
+        self.held, self.size = [], 0
         columns = list(zip(*rows, strict=True)) or [(), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], ["bucket", "kind", "block"])
 
 
-def family_batches(batches: Iterator[pa.RecordBatch], probe: bool, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(part, block), sorted by part -> spans of documents."""
+def family_batches(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(part, kind, block), sorted by part -> spans of documents."""
     family, at, spans = Family(), None, Spans(buckets)
 
+    def put(e: Entries) -> Iterator[pa.RecordBatch]:
+        if len(e):
+            yield from spans.put(*e.c[1:], e.windows())
+
     def ended() -> Iterator[pa.RecordBatch]:
         left, found = family.close()
-        yield from spans.put(found, 0)
-        if probe:
-            k = left.c[0]
-            same = np.zeros(len(k) + 1, bool)
-            same[1:-1] = k[1:] == k[:-1]
-            yield from spans.put(left.take(same[1:] | same[:-1]), 1)
+        yield from put(found)
+        entry, first, number = shared_windows(left)
+        if len(entry):
+            _, d, t, pos = left.c
+            yield from spans.put(d[entry], t[entry], pos[entry] + first, number)
 
     for batch in batches:
-        for part, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for part, kind, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             if at is not None and part != at:
                 yield from ended()
                 family = Family()
             at = part
-            yield from spans.put(family.add(_in(block.as_py())), 0)
+            if kind:
+                yield from put(family.add(_in(block.as_py())))
+            else:
+                d, t, number, pos, windows = unpack(block.as_py())
+                yield from spans.put(d[number], t[number], pos, windows)
     yield from ended()
     yield spans.sent()
 
@@ -277,35 +365,12 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBat
                 found.add(blocks[r].as_py())
 
 
-def probe_batches(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """Windows that stand at anchors of several contexts, each as an entry of its own -> (part, block)"""
-    have, size = [], 0
-    for _, _, doc_id, th, text, spans in _documents(batches):
-        if spans is None or not text:
-            continue
-        data = np.frombuffer(text, np.uint8)
-        start, ln = spans
-        at = np.repeat(start - (np.cumsum(ln) - ln), ln) + np.arange(ln.sum())
-        k = ranges(prefix(data), at, at + WINDOW)
-        u = second(data, at, at + WINDOW) >> U(24)  # 40 bits besides the 64 of k, both of the whole window
-        have.append(Entries(k, u, np.full(len(at), doc_id if doc_id is not None else _LAST), np.full(len(at), th), at.astype(np.uint32), np.ones(len(at), np.uint32)))
-        size += len(at)
-        if size >= 300_000:
-            yield from _out(Entries.join(have), parts)
-            have, size = [], 0
-    if have:
-        yield from _out(Entries.join(have), parts)
-
-
-def removed(spans: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of the maximal removed runs."""
+def removed(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the maximal removed runs, from spans in the order of their starts."""
     start, ln = spans
-    change = np.zeros(n + 1, np.int32)
-    np.add.at(change, start, 1)
-    np.add.at(change, start + ln, -1)
-    gone = np.concatenate([[0], (np.cumsum(change[:-1]) > 0).astype(np.int8), [0]])
-    edge = np.diff(gone)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    end = np.maximum.accumulate(start + ln)
+    head = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+    return start[head], np.concatenate([end[head[1:] - 1], end[-1:]])
 
 
 def result_batches(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -316,7 +381,7 @@ def result_batches(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterat
     for _, _, doc_id, th, text, spans in _documents(batches):
         kept, runs, gone = text, [], 0
         if spans is not None:
-            start, end = removed(spans, len(text))
+            start, end = removed(spans)
             kept = b"".join(text[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(text)], strict=True))
             runs = [{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)]
             gone = len(text) - len(kept)
@@ -329,19 +394,14 @@ def result_batches(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def _found(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Repeated bytes of the documents (doc_id, th, text), as lists by document."""
+def _found(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, int]:
+    """Repeated bytes of the documents (doc_id, th, text), as lists by bucket of documents; the number of buckets."""
     scratch = Scratch(spark, "suffix_dedup")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def exchange(blocks: DataFrame, probe: bool) -> DataFrame:
-        met = blocks.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
-        return scratch.write(met.mapInArrow(lambda it: family_batches(it, probe, parts), COLUMNS))
-
-    found = exchange(docs.mapInArrow(lambda it: anchor_batches(it, parts), "part int, block binary"), True)
-    windows = _with_text(docs, found.where("kind = 1"), parts).mapInArrow(lambda it: probe_batches(it, parts), "part int, block binary")
-    more = exchange(windows, False)
-    return found.where("kind = 0").unionByName(more)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    blocks = docs.select("doc_id", "th", "text").mapInArrow(lambda it: anchor_batches(it, parts), "part int, kind int, block binary")
+    met = blocks.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
+    return scratch.write(met.mapInArrow(lambda it: family_batches(it, parts), COLUMNS)), parts
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, with_text: bool = True) -> DataFrame:
@@ -355,9 +415,9 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, with_text: bool = True) -
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    spans = _found(spark, docs)
+    spans, parts = _found(spark, docs)
     schema = "doc_id long, th long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string, kept binary"
-    return _with_text(docs, spans, int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(lambda it: result_batches(it, with_text), schema)
+    return _with_text(docs, spans, parts).mapInArrow(lambda it: result_batches(it, with_text), schema)
 
 
 def _kept_batches(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -374,7 +434,7 @@ def _kept_batches(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterat
                 yield sent()
             now, at, texts = batch, [], []
         if spans is not None:
-            start, end = removed(spans, len(whole))
+            start, end = removed(spans)
             whole = b"".join(whole[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(whole)], strict=True))
             if not whole.strip():
                 continue
@@ -394,11 +454,11 @@ def suffix_dedup_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # names are replaced by numbers inside, so that no column can clash with those of the work
     rest = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"), rest.alias("rest"))
-    spans = _found(spark, rows.select("doc_id", "th", "text"))
+    spans, parts = _found(spark, rows.select("doc_id", "th", "text"))
     kinds = dict(docs.dtypes)
     inner = [f"c{i}" for i in range(len(names))]
     schema = ", ".join(["text string", *(f"{c} {kinds[n]}" for c, n in zip(inner, names, strict=True))])
-    out = _with_text(rows, spans, int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(lambda it: _kept_batches(it, inner), schema)
+    out = _with_text(rows, spans, parts).mapInArrow(lambda it: _kept_batches(it, inner), schema)
     value = {n: F.col(c) for n, c in zip(names, inner, strict=True)} | {"text": F.col("text")}
     if "n_chars" in value:
         value["n_chars"] = F.length("text").cast(kinds["n_chars"])

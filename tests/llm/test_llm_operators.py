@@ -186,28 +186,76 @@ def test_suffix_dedup_tells_contexts_apart(spark):
     assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.suffix_dedup(spark, docs).collect()} == {1: 0, 2: 0, 3: 150}
 
 
+def entries(texts, d):
+    """An entry for each string of 100 bytes or more around an anchor in its middle."""
+    key = np.zeros((len(texts), suffix_dedup.KEY), np.uint8)
+    for k, (before, after) in enumerate(texts):
+        key[k, : len(after)] = list(after)
+        key[k, suffix_dedup.WINDOW : suffix_dedup.WINDOW + len(before)] = list(before[::-1])
+        key[k, -2:] = len(after) + 1, len(before) + 1
+    return suffix_dedup.Entries(key, np.array(d, np.int64), np.zeros(len(d), np.int64), np.zeros(len(d), np.uint32))
+
+
 def test_scan_compares_lengths():
-    one = np.ones(2, np.int64)
-    kept, again = suffix_dedup.scan(suffix_dedup.Entries(one.astype(np.uint64), one.astype(np.uint64), np.arange(2), one, np.zeros(2, np.uint32), np.array([3, 4], np.uint32)))
-    assert len(kept) == 2 and len(again) == 0
+    kept, again = suffix_dedup.scan(entries([(b"a" * 20, b"b" * 80), (b"a" * 20, b"b" * 80 + b"\0"), (b"a" * 20, b"b" * 80), (b"\0" + b"a" * 20, b"b" * 80)], [3, 2, 1, 0]))
+    assert sorted(kept.c[1].tolist()) == [0, 1, 2] and again.c[1].tolist() == [3]
+    assert kept.windows().tolist() == [1, 2, 2] or sorted(kept.windows().tolist()) == [1, 2, 2]
+
+
+def test_arrays_are_in_the_order_of_bytes():
+    rng = random.Random(3)
+    texts = [(bytes(rng.choices(b"ab", k=50)), bytes(rng.choices(b"ab\0", k=100))) for _ in range(200)]
+    family = suffix_dedup.Family()
+    for a in range(0, 200, 20):
+        family.add(entries(texts[a : a + 20], range(a, a + 20)))
+    left, _ = family.close()
+    assert [bytes(k[:100]) for k in left.c[0]] == sorted(t for _, t in texts)
 
 
 def test_index_family_keeps_the_earliest():
-    rng = np.random.default_rng(2)
+    rng = random.Random(2)
     family, out, everything = suffix_dedup.Family(), [], []
     for k in range(9):
-        n = 50
-        e = suffix_dedup.Entries(rng.integers(0, 60, n).astype(np.uint64), rng.integers(0, 2, n).astype(np.uint64), rng.permutation(1000)[:n].astype(np.int64) * 10 + k, np.zeros(n, np.int64), np.zeros(n, np.uint32), np.ones(n, np.uint32))
-        everything += list(zip(*(c.tolist() for c in e.c[:3]), strict=True))
-        out += family.add(e).c[2].tolist()
+        texts = [(bytes(50 - rng.randrange(3)), bytes(rng.choices(b"ab", k=3)) + bytes(97)) for _ in range(50)]
+        ids = [i * 10 + k for i in rng.sample(range(1000), 50)]
+        everything += list(zip(texts, ids, strict=True))
+        out += family.add(entries(texts, ids)).c[1].tolist()
         sizes = [len(x) for x in family.levels]
         assert sizes == sorted(sizes, reverse=True)
     left, more = family.close()
     first = {}
-    for a, b, d in everything:
-        first[a, b] = min(d, first.get((a, b), d))
-    assert sorted(left.c[2].tolist()) == sorted(first.values())
-    assert sorted(out + more.c[2].tolist()) == sorted(d for a, b, d in everything if d != first[a, b])
+    for t, d in everything:
+        first[t] = min(d, first.get(t, d))
+    assert sorted(left.c[1].tolist()) == sorted(first.values())
+    assert sorted(out + more.c[1].tolist()) == sorted(d for t, d in everything if d != first[t])
+
+
+def test_suffix_dedup_of_repetitive_texts(spark, monkeypatch):
+    """Few letters, zero bytes, overlapping repeats, and long texts in parts."""
+    monkeypatch.setattr(suffix_dedup, "PART", 400)
+    rng = random.Random(6)
+    texts = ["".join(rng.choices(["a", "b\0", "éa" * 30, "xyz" * 40], k=rng.randint(1, 20))) for _ in range(25)]
+    texts += [texts[3][:150] + "Q" + texts[3][150:], "".join(rng.choices("ab", k=900)), "\0" * 450, "ab" * 300]
+    rows = list(enumerate(texts))
+    want = {i: sum(g) for (i, _), g in removed(rows).items()}
+    monkeypatch.setattr(suffix_dedup, "pieces", lambda column, most=1: ((k, k + 1) for k in range(len(column))))
+    got = [r for batch in _family_result(rows) for r in batch]
+    assert dict(got) == want
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def _family_result(rows):
+    """The whole way without Spark, in one range and many batches."""
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([i]), pa.array([t])], ["doc_id", "th", "text"]) for i, t in rows]
+    blocks = [b for x in batches for b in suffix_dedup.anchor_batches(iter([x]), 1)]
+    found = suffix_dedup.Found()
+    for batch in suffix_dedup.family_batches(iter(blocks), 1):
+        for b in batch.column("block"):
+            found.add(b.as_py())
+    for i, t in rows:
+        spans = found.of(i, i)
+        start, end = suffix_dedup.removed(spans) if spans is not None else (np.zeros(0), np.zeros(0))
+        yield [(i, int((end - start).sum()))]
 
 
 def test_decontaminate(spark):
@@ -297,9 +345,16 @@ def test_lm_scores(spark, docs):
                 out += math.log(max(count(c), 0.5)) - math.log(max(1, size - len(w))) + math.log(0.4) * min(i, 2)
         return out
 
-    want = sorted((i is None, i or 0, len(w), round(score(w), 6)) for i, w in rows)
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, round(r.log_score, 6)) for r in lm_score.lm_scores(spark, docs).collect())
-    assert [x[:3] for x in got] == [x[:3] for x in want] and all(abs(a[3] - b[3]) < 1e-4 for a, b in zip(got, want, strict=True))
+    def corpus_score(w):
+        out = 0.0
+        for i, c in enumerate(w):
+            over = size if i == 0 else total[min(i, 2)][tuple(w[max(0, i - 2) : i])]
+            out += math.log(total[min(i, 2) + 1][tuple(w[max(0, i - 2) : i + 1])] / over)
+        return out
+
+    want = sorted((i is None, i or 0, len(w), score(w), score(w) / max(1, len(w)), corpus_score(w) / max(1, len(w))) for i, w in rows)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.total_log_score, r.log_score, r.corpus_log_score) for r in lm_score.lm_scores(spark, docs).collect())
+    assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3:] for x in got], [x[3:] for x in want], atol=1e-4)
 
 
 def test_lm_scores_of_equal_chunks(spark):
@@ -308,6 +363,17 @@ def test_lm_scores_of_equal_chunks(spark):
     assert len(got) == 4 and len({round(r.log_score, 9) for r in got if r.doc_id == 1}) == 1
 
 
+def test_lm_scores_tell_doubles_apart(spark):
+    """What occurs twice in the corpus scores higher than what occurs once."""
+    rng = random.Random(8)
+    vocabulary = [f"w{int(rng.paretovariate(0.7))}" for _ in range(3000)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(30, 200))) for _ in range(300)]
+    rows = list(enumerate(texts + texts[:40]))
+    got = {r.doc_id: r.log_score for r in lm_score.lm_scores(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    once = sorted(got[i] for i in range(40, 300))
+    assert sum(got[i] > once[247] for i in range(40)) >= 36  # nine of ten above 95 % of the others
+
+
 def test_mixing(spark, docs):
     rows = mixing.mix_sources(spark, docs).collect()
     again = mixing.mix_sources(spark, docs.repartition(5)).collect()
