@@ -132,13 +132,15 @@ def candidates(sh: np.ndarray, first: np.ndarray, index: Index) -> Iterator[tupl
     place[place == len(index.known)] = 0
     hit = index.known[place] == sh[at]
     at, place = at[hit], place[hit]
+    if not len(at):
+        return
     size = index.first[place + 1] - index.first[place]
     post = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(index.first[place], size)
     at = np.repeat(at, size)
     group, item, row = index.group_of[post], index.item_of[post], np.searchsorted(first, at, side="right") - 1
     order = np.lexsort((at, item, row, group))
     group, item, row, at = group[order], item[order], row[order], at[order]
-    cut = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (row[1:] != row[:-1])])) if len(at) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (row[1:] != row[:-1])]))
     for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(at)], strict=True):
         yield int(group[a]), int(row[a]), item[a:b], at[a:b]
 

@@ -1,9 +1,9 @@
 """Removal of repeated byte strings with a logarithmic family of sparse suffix arrays.
 
-The suffixes are sampled without loss: of every 100-byte window one anchor is taken, the leftmost place where a 50-byte string of
+The suffixes are sampled without loss: of every 100-byte window one anchor is taken, the leftmost place where a 20-byte string of
 least hash starts. Equal windows have equal anchors at equal offsets, so only suffixes at anchors need an index. An entry of a suffix
 array is the suffix at an anchor, as far as windows with this anchor reach, and what stands before it in them. A batch of texts
-is sorted into one array for each range of the hash of the first 50 bytes. The arrays of a range meet in one task, where the
+is sorted into one array for each range of the hash of the first 20 bytes. The arrays of a range meet in one task, where the
 family is kept: a new array is merged with levels of its size, geometrically, and in the order of bytes equal neighbours show.
 At the end common prefixes of neighbours give the windows that entries share though they differ elsewhere. All strings
 are compared by their bytes.
@@ -16,14 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import deltas, pack, undeltas, unpack
 from .shared import Scratch
 from .textkernel import PART, U, _RI, mix, pieces, powers, prefix, raw
 
-WINDOW, GRAM = 100, 50
+WINDOW, GRAM = 100, 20
 BEFORE = WINDOW - GRAM
 #: Bytes of a key: the suffix, the bytes before it from right to left, and the lengths of both plus one; what is too short ends in zeros.
 KEY = WINDOW + BEFORE + 2
@@ -163,7 +163,7 @@ def shared_windows(e: Entries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of the 50-byte string at, key, row and first window within the row, for each anchor."""
+    """Hash of the 20-byte string at, key, row and first window within the row, for each anchor."""
     n = len(data)
     if n < WINDOW:
         return np.zeros(0, np.uint64), EMPTY.c[0], np.zeros(0, np.int64), EMPTY.c[3]
@@ -394,6 +394,12 @@ def result_batches(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterat
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
+def text_hash(doc_id: Column | str, text: Column | str) -> Column:
+    """Tells rows of one doc_id apart: 32 bits, as every entry carries it, or 64 where the id is null."""
+    whole = F.xxhash64(text)
+    return F.when(F.isnull(doc_id), whole).otherwise(whole.bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
 def _found(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, int]:
     """Repeated bytes of the documents (doc_id, th, text), as lists by bucket of documents; the number of buckets."""
     scratch = Scratch(spark, "suffix_dedup")
@@ -407,14 +413,14 @@ def _found(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, int]:
 def suffix_dedup(spark: SparkSession, docs: DataFrame, with_text: bool = True) -> DataFrame:
     """Each row of ``docs`` (doc_id, text) without bytes that an earlier string of 100 bytes has.
 
-    Returns doc_id, th (xxhash64 of the text), n_bytes, n_removed, spans (start, end of the maximal removed runs),
+    Returns doc_id, th (a hash of the text), n_bytes, n_removed, spans (start, end of the maximal removed runs),
     kept_sha256 and kept (the bytes left; null without ``with_text``). Null and empty texts have 0 bytes. Earlier means a
     smaller doc_id, or an earlier start in the same document; null doc_ids come last; rows of one doc_id with other texts
     are ordered by the hash of their text, and rows equal in both are one document, each with the same result. Hot
     passages meet as one entry a batch: a batch keeps the earliest of equal entries and settles the rest at once.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    docs = docs.select("doc_id", text_hash("doc_id", "text").alias("th"), "text")
     spans, parts = _found(spark, docs)
     schema = "doc_id long, th long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_sha256 string, kept binary"
     return _with_text(docs, spans, parts).mapInArrow(lambda it: result_batches(it, with_text), schema)
@@ -453,7 +459,7 @@ def suffix_dedup_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # names are replaced by numbers inside, so that no column can clash with those of the work
     rest = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"), rest.alias("rest"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("doc_id").cast("long"), text).alias("th"), text.alias("text"), rest.alias("rest"))
     spans, parts = _found(spark, rows.select("doc_id", "th", "text"))
     kinds = dict(docs.dtypes)
     inner = [f"c{i}" for i in range(len(names))]
