@@ -9,8 +9,8 @@ from .shared import Scratch
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST_EPOCHS = 1.5, 2
-#: Ranges of the key within a source; only the range where the budget ends is sorted.
-RANGES = 4096
+#: Ranges of the key within a source, at least, and rows of one of the largest possible source; only the range where the budget ends is sorted.
+RANGES, RANGE_ROWS = 4096, 100_000
 #: Sources whose plan is small enough to be sent to every task.
 MOST_BROADCAST = 50_000
 
@@ -41,12 +41,13 @@ def targets(sources: DataFrame) -> DataFrame:
     return found.withColumn("target", F.coalesce(F.least(F.col("cap"), first * F.col("weight")), F.col("cap"))).select("skey", "source", "source_size", "target")
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def mix_sources(spark: SparkSession, docs: DataFrame, quality: Column | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row of ``docs`` (doc_id, text, source).
 
     A source whose target is a whole number of epochs and a part takes every document for each whole epoch, and then
     documents in the order of their exponential key -ln(u) / quality until the part's budget: the document at its end is
-    in if more than half of it fits. Quality is highest for six characters a word. Null texts have size 0; a null source is
+    in if more than half of it fits. ``quality`` is a positive column of ``docs``, such as the score of a classifier; without one, texts of
+    about six characters a word rank highest, a rule of thumb that SQL can follow. Null texts have size 0; a null source is
     a source of its own and comes last; equal keys are ordered by doc_id (null last), size and a hash of the text; repeated rows
     are documents of their own. A source of size 0 takes its rows as often as its whole epochs, 0 words each.
 
@@ -55,12 +56,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(spark, "mixing")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text.alias("text"))
-    rows = rows.select("doc_id", "source", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), F.length("text").alias("chars"), F.xxhash64("text").alias("th"))
-    quality = F.lit(1.0) / (F.lit(1.0) + F.abs(F.col("chars") / F.greatest(F.col("size"), F.lit(1)) - 6.0) / 6.0)
-    rows = rows.withColumn("key", -F.log(uniform(F.col("doc_id"))) / quality)
-    rows = rows.withColumn("range", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * RANGES), F.lit(RANGES - 1)).cast("int"))
-    rows = scratch.write(rows.withColumn("skey", F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))).drop("chars"))
+    given = (F.lit(None) if quality is None else quality).cast("double").alias("given")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text.alias("text"), given)
+    rows = rows.select("doc_id", "source", "given", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), F.length("text").alias("chars"), F.xxhash64("text").alias("th"))
+    by_length = F.lit(1.0) / (F.lit(1.0) + F.abs(F.col("chars") / F.greatest(F.col("size"), F.lit(1)) - 6.0) / 6.0)
+    rows = rows.withColumn("key", -F.log(uniform(F.col("doc_id"))) / F.when(F.col("given") > 0, F.col("given")).otherwise(by_length))
+    rows = scratch.write(rows.withColumn("skey", F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))).drop("chars", "given"))
+    number = max(RANGES, 1 << (rows.count() // RANGE_ROWS).bit_length())
+    rows = rows.withColumn("range", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * number), F.lit(number - 1)).cast("int"))
 
     ranges = scratch.write(rows.groupBy("skey", "range").agg(F.first("source").alias("source"), F.sum("size").alias("range_size")))
     plan = targets(ranges.groupBy("skey").agg(F.first("source").alias("source"), F.sum("range_size").alias("source_size")))
@@ -83,13 +86,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return done.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "th")
 
 
-def mixed_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with the number of the epoch in ``epoch``."""
-    plan = mix_sources(spark, docs).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"), "th", "copies")
-    plan = plan.groupBy("_key", F.col("th").alias("_th")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))).withColumn("_th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    met = keyed.join(plan.hint("merge"), ["_key", "_th"]).withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return met.select(*docs.columns, F.col("_epoch").alias("epoch"))
+def mixed_rows(spark: SparkSession, docs: DataFrame, quality: Column | None = None) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with the number of the epoch in ``epoch`` (in place of a column of that name)."""
+    one = [F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))]
+    plan = mix_sources(spark, docs, quality).select(one[0].alias("one"), one[1].alias("skey"), "th", "copies")
+    plan = plan.groupBy("one", "skey", "th").agg(F.max("copies").alias("copies")).where("copies > 0")
+    # the columns of docs go in a struct, so that none can clash with those of the work
+    keyed = docs.select(one[0].alias("one"), one[1].alias("skey"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th"), F.struct("*").alias("row"))
+    met = keyed.join(plan.hint("merge"), ["one", "skey", "th"]).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return met.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c != "epoch"), "epoch")
 
 
 ORACLE = r"""

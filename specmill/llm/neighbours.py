@@ -14,9 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import Scratch
+
 K, EVERY = 20, 20
-#: Query rows of a tile, candidate rows of a block, and candidate rows that one unit of work is meant to see.
+#: Query rows of a tile, candidate rows of a block, and candidate rows that one unit of work is meant to see at most.
 QUERY_TILE, BLOCK, UNIT = 16384, 4096, 131072
+#: Components whose int8 products add up exactly in float32, and the relative error allowed for rounding in the bounds.
+EXACT, ROUNDING = 1024, 1e-6
 #: Queries multiplied at once.
 STRIP = 512
 
@@ -49,14 +53,14 @@ class Tile:
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
         c, scale, norm, error = quantise(x)
         whole = np.linalg.norm(x, axis=1)
-        c = c.astype(np.float32).T
+        c = c.astype(np.float32 if x.shape[1] <= EXACT else np.float64).T
         order = np.argsort(ids)
         for a in range(0, len(self.ids), STRIP):
             b = min(a + STRIP, len(self.ids))
-            near = (self.q[a:b].astype(np.float32) @ c).astype(np.float64)
+            near = (self.q[a:b].astype(c.dtype) @ c).astype(np.float64)
             near *= self.scale[a:b, None]
             near *= scale
-            bound = self.norm[a:b, None] * error + self.error[a:b, None] * whole + 1e-9
+            bound = self.norm[a:b, None] * error + self.error[a:b, None] * whole + ROUNDING * (self.norm[a:b, None] + self.error[a:b, None]) * whole
             at = np.searchsorted(ids, self.ids[a:b], sorter=order)
             at[at == len(ids)] = 0
             own = np.flatnonzero(ids[order[at]] == self.ids[a:b])
@@ -138,11 +142,12 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = K, every: int = EV
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where("vec_id is not null and x is not null and size(x) > 0")
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     good = good.where(finite & F.exists("x", lambda v: v != 0))
-    good = good.distinct().withColumn("dim", F.size("x"))
+    good = Scratch(spark, "nearest").write(good.distinct().withColumn("dim", F.size("x")))
     good_queries = good.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("dim", F.size("x"))
     number = good.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
     tiles = max(1, -(-number.q // QUERY_TILE))
-    parts = max(1, -(-number.n // UNIT))
+    cores = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-number.n // UNIT), min(cores // tiles, -(-number.n // BLOCK)))
 
     def blocks(rows: DataFrame) -> DataFrame:
         return rows.mapInArrow(block_batches, "dim int, ids binary, rows binary")
@@ -152,7 +157,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = K, every: int = EV
     query_blocks = query_blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("kind", F.lit(0))
     candidates = blocks(good).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
     candidates = candidates.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumn("kind", F.lit(1))
-    both = query_blocks.unionByName(candidates).repartition("dim", "tile", "part").sortWithinPartitions("dim", "tile", "part", "kind")
+    both = query_blocks.unionByName(candidates).repartition(max(cores, tiles * parts), "dim", "tile", "part").sortWithinPartitions("dim", "tile", "part", "kind")
     found = both.mapInArrow(lambda it: product_batches(it, k, sort), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -11,23 +11,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for spark, path in _MADE:
+        try:
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, path)
+        except Exception:  # noqa: BLE001, S110 - the session has ended, and its shared folder is the cluster's
+            pass
+
+
 class Scratch:
     """Intermediate tables in the folder that the cluster names in ``spark.checkpoint.dir``.
 
     A written table cuts the lineage: if an executor is lost, later stages read the table again and nothing
-    upstream is recomputed. Only where the setting is missing (tests on one machine) is a local folder used.
+    upstream is recomputed. Where the setting is missing, a folder in the warehouse is used, which is shared as well; on one machine,
+    as in tests, a local one. Tables that a result still reads are deleted when the program ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            folder = tempfile.mkdtemp(prefix="specmill_")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-            base = f"file://{folder}"
+            if spark.sparkContext.master.startswith("local"):
+                folder = tempfile.mkdtemp(prefix="specmill_")
+                atexit.register(shutil.rmtree, folder, ignore_errors=True)
+                base = f"file://{folder}"
+            else:
+                base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/specmill_scratch"
             spark.conf.set("spark.checkpoint.dir", base)
         self.base = f"{base.rstrip('/')}/{name}_{uuid.uuid4().hex}"
         self.n = 0
+        _MADE.append((spark, self.base))
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.n}"
@@ -37,10 +61,8 @@ class Scratch:
 
     def drop(self, *numbers: int) -> None:
         """Deletes tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
         for k in numbers:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{k}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f"{self.base}/{k}")
 
 
 def connected_components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
