@@ -22,8 +22,16 @@ from .token_counts import token_counts
 from .toxicity import toxicity
 
 
+#: Bytes of a table that may lie in one row group of one file, which one task would read.
+SMALL = 64 << 20
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The whole table; a small one is dealt to all cores, since Spark does not split a row group."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    small = name in ("documents", "pages") and int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL
+    return rows.repartition(2 * cores) if small else rows
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

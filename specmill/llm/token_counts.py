@@ -1,16 +1,18 @@
 """Token counts of a byte-level BPE vocabulary, by finite-state transducers.
 
-Two machines. The outer one cuts a text into pretokens; it needs a character, its two neighbours and the two after an
-apostrophe, so that it is evaluated for all places of a piece at once. The inner one reads the bytes of a pretoken and
-emits tokens: a transition holds the change of the number of tokens, and states are made when first reached. A long
-text is cut into chunks. The state map of a chunk is kept in parts: what stands before its first place where a pretoken
-starts whatever came before, the count between, and what stands after the last one. Such maps compose associatively and are
+Two machines, compiled once on the driver and sent to the workers. The outer one cuts a text into pretokens; it needs a character, its
+two neighbours and the two after an apostrophe, so that it is evaluated for all places of a piece at once. The inner one reads
+the bytes of a pretoken and emits tokens: a transition holds the change of the number of tokens, and states are made when first
+reached. A long text is cut into chunks. A chunk's map takes the state before it to a count and the state after it. A state of
+both machines is given by the text since the last place where a pretoken starts whatever came before; so a map keeps what stands
+before its first such place, the count between, and what stands after the last one. Maps compose associatively and are
 folded by a prefix scan.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -61,22 +63,27 @@ class Transducer:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = [t["content"] for t in spec["added_tokens"] if t.get("special")]
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        if any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")) or spec.get("normalizer"):
+            raise ValueError("added tokens that take white space or whole words, and normalizers, are not supported")
         alphabet = byte_alphabet()
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         code = lambda s: bytes(alphabet[c] for c in s)
         self.rank = {(code(a), code(b)): i for i, (a, b) in enumerate(pairs)}
         tokens = {bytes([b]) for b in range(256)} | {a + b for a, b in self.rank}
-        self.trie: list[dict[int, int]] = [{}]
-        self.token: list[bytes | None] = [None]
+        #: node * 256 + byte -> node of the trie of tokens, whether a node has any further one, and its token
+        self.trie: dict[int, int] = {}
+        self.more, self.token = bytearray(1), [None]
         for t in tokens:
             at = 0
             for b in t:
-                if b not in self.trie[at]:
-                    self.trie[at][b] = len(self.trie)
-                    self.trie.append({})
+                to = self.trie.get(at << 8 | b)
+                if to is None:
+                    self.trie[at << 8 | b] = to = len(self.token)
+                    self.more[at] = 1
+                    self.more.append(0)
                     self.token.append(None)
-                at = self.trie[at][b]
+                at = to
             self.token[at] = t
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.clear()
@@ -107,13 +114,13 @@ class Transducer:
     def move(self, state: int, byte: int) -> tuple[int, int]:
         alive, last, change = [], None, 0
         for node, before, fewer in self.states[state]:
-            to = self.trie[node].get(byte)
+            to = self.trie.get(node << 8 | byte)
             if to is None:
                 continue
             token = self.token[to]
             if last is None and token is not None and self.stays(before, token):
                 last, change = token, fewer + 1
-            if self.trie[to]:
+            if self.more[to]:
                 alive.append((to, before, fewer))
         key = (*((n, b, f - change) for n, b, f in alive), (0, last, 0))
         if key not in self.ids:
@@ -135,12 +142,13 @@ class Transducer:
 
 
 class Counter:
-    """Both machines, and the counts of pretokens seen, by hash."""
+    """Both machines, and the counts of pretokens seen."""
 
     def __init__(self, path: str):
         self.inner = Transducer(path)
         self.classes = character_classes()
-        self.known, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known: dict[bytes, int] = {}
+        self.cut = re.compile("|".join(re.escape(t) for t in sorted(self.inner.special, key=len, reverse=True)) or "(?!)")
 
     def starts(self, chars: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """Whether a pretoken starts at each character; ``edges`` are places where texts start."""
@@ -168,23 +176,31 @@ class Counter:
             out[nxt[nxt < end]] = True
         return out
 
-    def lookup(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Counts of the pretokens of these hashes; unknown ones go through the inner machine once."""
-        each, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, each)
-        have = at < len(self.known)
-        have[have] = self.known[at[have]] == each[have]
-        out = np.zeros(len(each), np.int64)
-        out[have] = self.counts[at[have]]
-        new = np.flatnonzero(~have)
-        if len(new):
-            whole = data.tobytes()
-            out[new] = [self.inner.count(whole[start[i] : end[i]]) for i in first[new].tolist()]
-            if len(self.known) > MOST_KNOWN:
-                self.known, self.counts = each, out
-            else:
-                self.known, self.counts = np.insert(self.known, at[new], each[new]), np.insert(self.counts, at[new], out[new])
-        return out[back]
+    def lookup(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Counts of the pretokens; equal ones are looked up once, and new ones go through the inner machine."""
+        keys = ranges(prefix(data), start, end)
+        _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        alike = first[back]
+        # hashes only group: every byte is compared with that of the first of the group
+        same = (end - start) == (end - start)[alike]
+        place = np.arange(len(data)) + np.repeat(start[alike] - start, end - start)
+        differ = data != data[np.minimum(place, len(data) - 1)]
+        same &= ~np.logical_or.reduceat(differ, start)
+        whole, known = data.tobytes(), self.known
+        if len(known) > MOST_KNOWN:
+            known.clear()
+
+        def number(i: int) -> int:
+            pretoken = whole[start[i] : end[i]]
+            got = known.get(pretoken)
+            if got is None:
+                known[pretoken] = got = self.inner.count(pretoken)
+            return got
+
+        out = np.array([number(i) for i in first.tolist()], np.int64)[back]
+        for i in np.flatnonzero(~same).tolist():
+            out[i] = number(i)
+        return out
 
     def count(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Tokens of each text, without special tokens."""
@@ -195,7 +211,7 @@ class Counter:
         np.cumsum(1 + (chars >= 0x80).astype(np.int64) + (chars >= 0x800) + (chars >= 0x10000), out=place[1:])
         start = place[np.flatnonzero(self.starts(chars, np.searchsorted(place, offs)))]
         end = np.append(start[1:], len(data))
-        number = self.lookup(ranges(prefix(data), start, end), data, start, end)
+        number = self.lookup(data, start, end)
         total = np.concatenate([[0], np.cumsum(number)])
         cut = np.searchsorted(start, offs)
         return total[cut[1:]] - total[cut[:-1]]
@@ -235,7 +251,7 @@ class Counter:
         size = np.diff(offs)
         out = np.zeros(len(size), np.int64)
         whole = data.tobytes()
-        odd = size > 4 * CHUNK
+        odd = size > CHUNK
         for s in self.inner.special:
             mark, at = s.encode(), whole.find(s.encode())
             while at >= 0:
@@ -248,12 +264,8 @@ class Counter:
         plain = [b"" if odd[r] else whole[offs[r] : offs[r + 1]] for r in range(len(size))]
         out = self.count(np.frombuffer(b"".join(plain), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in plain])]))
         for r in np.flatnonzero(odd):
-            parts = [whole[offs[r] : offs[r + 1]].decode()]
-            for s in self.inner.special:
-                split = [p.split(s) for p in parts]
-                out[r] += sum(len(p) - 1 for p in split)
-                parts = [x for p in split for x in p]
-            out[r] += sum(self.long(p) for p in parts if p)
+            parts = self.cut.split(whole[offs[r] : offs[r + 1]].decode())  # at the leftmost, of those the longest
+            out[r] = len(parts) - 1 + sum(self.long(p) for p in parts if p)
         return size, out
 
 
@@ -264,13 +276,7 @@ class StateMap:
     tail: str
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
-def _count_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    if path not in _COUNTERS:  # a worker serves many tasks
-        _COUNTERS[path] = Counter(path)
-    counter = _COUNTERS[path]
+def _count_batches(batches: Iterator[pa.RecordBatch], counter: Counter) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in pieces(batch.column(1), 1 << 20):
             part = batch.slice(a, b - a)
@@ -285,5 +291,6 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     texts have 0 of both; doc_id may be null or repeated; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = rows.mapInArrow(lambda it: _count_batches(it, path), "doc_id long, n_bytes long, n_tokens long")
+    machines = docs.sparkSession.sparkContext.broadcast(Counter(path))  # a few MB for a vocabulary; a worker unpacks it once and serves many tasks
+    counted = rows.mapInArrow(lambda it: _count_batches(it, machines.value), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
