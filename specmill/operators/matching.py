@@ -19,19 +19,23 @@ def in_scope(lines: DataFrame, scope: DataFrame) -> DataFrame:
 
 
 def exact_matches(lines: DataFrame, scope: DataFrame, products: DataFrame) -> DataFrame:
-    """JN-1, JN-2: (line_id, product_id) where the description is a product's name, or else its part number, without regard to case. The smallest id wins."""
+    """JN-1, JN-2: (line_id, product_id) where the description is a product's name, or else its part number, without regard to case. The smallest id wins.
+
+    Of the products of one supplier under one name only the smallest id is joined, so that a name which many carry meets a line once a supplier.
+    """
     keys = products.select("product_id", "supplier_id", F.upper("name").alias("k"), F.lit(0).alias("kind")).unionByName(
         products.where("mpn is not null").select("product_id", "supplier_id", F.upper("mpn").alias("k"), F.lit(1).alias("kind"))
     )
+    keys = keys.where("k is not null").groupBy("k", "supplier_id", "kind").agg(F.min("product_id").alias("product_id"))
     wanted = lines.where("description is not null").select("line_id", "tender_id", F.upper("description").alias("k"))
-    hits = wanted.join(keys, "k").join(scope.select("tender_id", "supplier_id").distinct(), ["tender_id", "supplier_id"], "left_semi")
+    hits = wanted.join(keys, "k").join(scope.select("tender_id", "supplier_id"), ["tender_id", "supplier_id"], "left_semi")
     return hits.groupBy("line_id").agg(F.min(F.struct("kind", "product_id")).alias("first")).select("line_id", F.col("first.product_id").alias("product_id"))
 
 
 def class_rules(definitions: DataFrame) -> DataFrame:
-    """JN-5: per class a map from attribute to its comparison; one small row a class."""
+    """JN-5: per class a map from attribute to its comparison; one small row a class. Of several definitions of one attribute the smallest counts."""
     rule = F.struct(F.col("datatype"), F.col("match_op"))
-    return definitions.groupBy("class_id").agg(F.map_from_entries(F.collect_list(F.struct("name", rule))).alias("rules"))
+    return definitions.groupBy("class_id", "name").agg(F.min(rule).alias("rule")).groupBy("class_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "rule"))).alias("rules"))
 
 
 def comparison(rule: Column) -> Column:
@@ -123,7 +127,7 @@ def _compiled(lines: DataFrame, products: DataFrame, definitions: DataFrame, nam
     return wanted, offered, [F.coalesce(complies(F.col(f"r.a{i}"), F.col(f"o.a{i}")), F.lit(False)) for i in range(len(names))]
 
 
-def candidate_pairs(lines: DataFrame, scope: DataFrame, products: DataFrame, definitions: DataFrame, crawler_stale: bool = True, how: str = "inner", names: list[str] | None = None) -> DataFrame:
+def candidate_pairs(lines: DataFrame, scope: DataFrame, products: DataFrame, definitions: DataFrame, crawler_stale: bool = True, names: list[str] | None = None) -> DataFrame:
     """JN-4, FLT-1: lines with the products of their class whose supplier is in scope and that are not stale, with their score.
 
     The join is on supplier and class together: lines meet only suppliers in scope, and no class is one hot key. Values are
@@ -134,7 +138,7 @@ def candidate_pairs(lines: DataFrame, scope: DataFrame, products: DataFrame, def
     if not crawler_stale:
         fresh = fresh.where("not coalesce(crawler_stale, false)")
     names = names or attribute_names(definitions)
-    suppliers = scope.select("tender_id", "supplier_id").distinct()
+    suppliers = scope.select("tender_id", "supplier_id").repartition("tender_id").distinct()  # one shuffle, which the join below uses again
     if not names:
         wanted, offered = requirements(lines, definitions).drop("required_bag"), offers(fresh, definitions).drop("offered_bag")
         points = score(F.col("required"), F.col("offered"))
@@ -146,8 +150,10 @@ def candidate_pairs(lines: DataFrame, scope: DataFrame, products: DataFrame, def
             total = total + flag.cast("int")
         points = F.when(F.col("n_required") > 0, F.floor(total * 100 / F.col("n_required"))).otherwise(0).cast("int")
         hits = F.array(*flags)
-    pairs = wanted.join(suppliers, "tender_id", how).join(offered, ["supplier_id", "class_id"], how)
-    return pairs.select("line_id", "tender_id", "class_id", "product_id", F.when(F.col("product_id").isNotNull(), points).alias("score"), hits.alias("hits"))
+    # suppliers that have nothing fresh are left out before they meet a line
+    suppliers = suppliers.join(fresh.select("supplier_id").distinct(), "supplier_id", "left_semi")
+    pairs = wanted.join(suppliers, "tender_id").join(offered, ["supplier_id", "class_id"])
+    return pairs.select("line_id", "tender_id", "class_id", "product_id", points.alias("score"), hits.alias("hits"))
 
 
 def ranked(pairs: DataFrame, most: int = MOST_ALTERNATIVES) -> DataFrame:
@@ -156,34 +162,37 @@ def ranked(pairs: DataFrame, most: int = MOST_ALTERNATIVES) -> DataFrame:
     return pairs.withColumn("place", place).where(F.col("place") <= most + 1)
 
 
-def match_lines(lines: DataFrame, scope: DataFrame, products: DataFrame, definitions: DataFrame) -> DataFrame:
+def match_lines(lines: DataFrame, scope: DataFrame, products: DataFrame, definitions: DataFrame, spelled: bool = True) -> DataFrame:
     """DML-1: one row a line: line_id, tender_id, product_id, match_type, score, status, verdicts, alternatives (product ids with scores).
 
     Exact hits are settled first and never reach the candidates. A line without a class is not_found with no type; with a
     class but no candidate of positive score not_found of type spec; a best score below 40 is not_found with its product.
-    Verdicts are spelled out for the ranked candidates only.
+    Verdicts are spelled out for the ranked candidates only, and not at all without ``spelled`` (the arrays are then empty).
     """
     none = "array<struct<attr:string,required:string,offered:string,verdict:string>>"
     others = f"array<struct<product_id:bigint,score:int,verdicts:{none}>>"
     exact = exact_matches(lines, scope, products).withColumnRenamed("product_id", "exact_id")
     settled = lines.join(exact, "line_id", "left")
-    closed = settled.where("exact_id is not null or class_id is null").select(
-        "line_id", "tender_id", F.col("exact_id").alias("product_id"), F.when(F.col("exact_id").isNotNull(), "exact").alias("match_type"), F.when(F.col("exact_id").isNotNull(), 100).otherwise(0).alias("score"),
-        F.array().cast(none).alias("verdicts"), F.array().cast(others).alias("alternatives"),
-    )
-    wanted = settled.where("exact_id is null")
-    # the ranking sees ids and scores alone; bags are joined again to the few rows that it keeps
-    slim = candidate_pairs(wanted, scope, products, definitions, how="left").select("line_id", "tender_id", "product_id", "score")
-    top = ranked(slim).join(requirements(wanted, definitions).select("line_id", "required", "required_bag"), "line_id").join(offers(products, definitions).select("product_id", "offered", "offered_bag"), "product_id", "left")
-    good = (F.col("score") > 0) & ((F.col("place") == 1) | (F.col("score") >= LEAST_ALTERNATIVE))
-    entry = F.when(good, F.struct("place", "product_id", "score", verdicts(F.col("required"), F.col("offered"), F.col("required_bag"), F.col("offered_bag")).alias("verdicts")))
-    found = top.groupBy("line_id", "tender_id").agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    best = F.get("all", F.lit(0))
-    by_spec = found.select(
-        "line_id", "tender_id", best["product_id"].alias("product_id"), F.lit("spec").alias("match_type"), F.coalesce(best["score"], F.lit(0)).alias("score"), F.coalesce(best["verdicts"], F.array().cast(none)).alias("verdicts"),
-        F.transform(F.slice("all", 2, MOST_ALTERNATIVES), lambda r: F.struct(r["product_id"], r["score"], r["verdicts"])).cast(others).alias("alternatives"),
+    # the ranking sees ids and scores alone; bags join the few candidates that it keeps
+    top = ranked(candidate_pairs(settled.where("exact_id is null"), scope, products, definitions).select("line_id", "product_id", "score"))
+    top = top.where((F.col("score") > 0) & ((F.col("place") == 1) | (F.col("score") >= LEAST_ALTERNATIVE)))
+    entry = ["place", "product_id", "score"]
+    if spelled:
+        top = top.join(offers(products, definitions).select("product_id", "offered", "offered_bag"), "product_id")
+        entry += ["offered", "offered_bag"]
+    found = top.groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct(*entry)), lambda a, b: a["place"] - b["place"]).alias("ranked"))
+    rows = settled.join(found, "line_id", "left")
+    if spelled:
+        rows = rows.join(class_rules(definitions), "class_id", "left").withColumn("required", typed_requirements(F.col("attributes"), F.col("rules")))
+    words = (lambda r: verdicts(F.col("required"), r["offered"], F.col("attributes"), r["offered_bag"])) if spelled else (lambda _: F.array().cast(none))
+    best, is_exact, is_open = F.get("ranked", F.lit(0)), F.col("exact_id").isNotNull(), F.col("class_id").isNotNull()
+    rows = rows.select(
+        "line_id", "tender_id", F.coalesce("exact_id", best["product_id"]).alias("product_id"), F.when(is_exact, "exact").when(is_open, "spec").alias("match_type"),
+        F.when(is_exact, 100).otherwise(F.coalesce(best["score"], F.lit(0))).alias("score"),
+        F.coalesce(F.when(best.isNotNull(), words(best)), F.array().cast(none)).alias("verdicts"),
+        F.coalesce(F.transform(F.slice("ranked", 2, MOST_ALTERNATIVES), lambda r: F.struct(r["product_id"], r["score"], words(r))).cast(others), F.array().cast(others)).alias("alternatives"),
     )
-    return by_spec.unionByName(closed).withColumn("status", match_status(F.col("score")))
+    return rows.withColumn("status", match_status(F.col("score")))
 
 
 def enriched_alternatives(matches: DataFrame, products: DataFrame, prices: DataFrame, suppliers: DataFrame) -> DataFrame:
