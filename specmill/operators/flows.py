@@ -20,20 +20,24 @@ def class_maps(definitions: DataFrame, aliases: DataFrame | None = None) -> Data
     pairs = lambda c: F.map_from_entries(F.collect_list(c))
     empty = F.create_map().cast("map<string,map<string,string>>")
     values = F.col("value_aliases") if "value_aliases" in definitions.columns else F.lit(None).cast("map<string,string>")
-    out = definitions.withColumn("_values", values).groupBy("class_id").agg(
+    # a map may hold a key once only: of several definitions of a name, or aliases of one spelling, one counts
+    once = definitions.withColumn("_values", values).groupBy("class_id", "name").agg(F.min("canonical_unit").alias("canonical_unit"), F.max_by("_values", F.to_json("_values")).alias("_values"))
+    out = once.groupBy("class_id").agg(
         pairs(F.when(F.col("canonical_unit").isNotNull(), F.struct("name", "canonical_unit"))).alias("units"), F.coalesce(pairs(F.when(F.col("_values").isNotNull(), F.struct("name", "_values"))), empty).alias("value_maps")
     )
     if aliases is None:
         return out.withColumn("key_map", F.create_map().cast("map<string,string>"))
-    keys = aliases.groupBy("class_id").agg(pairs(F.struct("alias", "canonical_name")).alias("key_map"))
+    keys = aliases.groupBy("class_id", "alias").agg(F.min("canonical_name").alias("canonical_name")).groupBy("class_id").agg(pairs(F.struct("alias", "canonical_name")).alias("key_map"))
     return out.join(keys, "class_id", "left").withColumn("key_map", F.coalesce("key_map", F.create_map().cast("map<string,string>")))
 
 
 def canonical_rows(rows: DataFrame, maps: DataFrame) -> DataFrame:
     """SCA-9 and SCA-6 on rows (class_id, attributes); rows of classes without definitions keep their bag."""
     out = rows.join(maps, "class_id", "left")
-    bag = normalize_units(canonicalize(F.col("attributes"), F.col("key_map"), F.col("value_maps")), F.col("units"))
-    return out.withColumn("attributes", F.when(F.col("units").isNotNull(), bag).otherwise(F.col("attributes"))).drop("units", "value_maps", "key_map")
+    # in two steps: functions of functions nested so deep are beyond the analyzer
+    out = out.withColumn("_bag", canonicalize(F.col("attributes"), F.col("key_map"), F.col("value_maps")))
+    out = out.withColumn("attributes", F.when(F.col("units").isNotNull(), normalize_units(F.col("_bag"), F.col("units"))).otherwise(F.col("attributes")))
+    return out.drop("units", "value_maps", "key_map", "_bag")
 
 
 def upload(docs: DataFrame, answers: DataFrame, classes: DataFrame, maps: DataFrame, supplier_id: int) -> DataFrame:

@@ -17,8 +17,9 @@ MOST_CHUNKS, FATAL_STREAK = 150, 3
 
 
 def chunk_documents(docs: DataFrame, most: int = MAX_CHUNK, keep: int = MOST_CHUNKS) -> DataFrame:
-    """SCA-38, SRT-10: (doc_id, chunk_no, chunk); at most ``keep`` chunks a document."""
-    return docs.select("doc_id", F.posexplode(F.slice(chunks(F.col("text"), most), 1, keep)).alias("chunk_no", "chunk"))
+    """SCA-38, SRT-10: (doc_id, capped, chunk_no, chunk); at most ``keep`` chunks a document, which is ``capped`` if it has more: its products that were not seen are then not stale."""
+    cut = docs.select("doc_id", chunks(F.col("text"), most).alias("chunks"))
+    return cut.select("doc_id", (F.size("chunks") > keep).alias("capped"), F.posexplode(F.slice("chunks", 1, keep)).alias("chunk_no", "chunk"))
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, version: str, model: str) -> tuple[DataFrame, DataFrame]:
@@ -249,14 +250,15 @@ def merge_until_stable(products: DataFrame, definitions: DataFrame, groups: Data
 
 
 def allowed_spellings(proposed: DataFrame) -> DataFrame:
-    """SCA-12, SCA-13: proposed (variant, canonical) pairs that may merge, chains followed to their end; chains that do not end are dropped."""
-    ok = proposed.where(may_merge(F.col("variant"), F.col("canonical")) & (F.lower("variant") != F.lower("canonical"))).dropDuplicates(["class_id", "spec", "variant"])
-    out = ok
-    for _ in range(6):  # each round doubles the length of the chains followed; 40 values at most make a chain
-        nxt = out.select("class_id", "spec", F.col("variant").alias("canonical"), F.col("canonical").alias("further"))
-        out = out.join(nxt, ["class_id", "spec", "canonical"], "left").select("class_id", "spec", "variant", F.coalesce("further", "canonical").alias("canonical"))
-    ends = ok.select("class_id", "spec", F.col("variant").alias("canonical"))
-    return out.join(ends, ["class_id", "spec", "canonical"], "left_anti").where(may_merge(F.col("variant"), F.col("canonical")))
+    """SCA-12, SCA-13: proposed (variant, canonical) pairs that may merge, chains followed to their end; chains that do not end are dropped.
+
+    The pairs of a key are one map of a model's answer (MOST_SPELLINGS values at most go into its question), in which chains of any length are followed.
+    """
+    ok = proposed.where(may_merge(F.col("variant"), F.col("canonical")) & (F.lower("variant") != F.lower("canonical"))).groupBy("class_id", "spec", "variant").agg(F.min("canonical").alias("canonical"))
+    chains = ok.groupBy("class_id", "spec").agg(F.map_from_entries(F.collect_list(F.struct("variant", "canonical"))).alias("next"))
+    follow = F.aggregate(F.sequence(F.lit(1), F.size("next")), F.col("variant"), lambda at, _: F.coalesce(F.element_at("next", at), at))
+    ends = chains.select("class_id", "spec", "next", F.explode(F.map_keys("next")).alias("variant")).withColumn("canonical", follow)
+    return ends.where(~F.map_contains_key("next", F.col("canonical")) & may_merge(F.col("variant"), F.col("canonical"))).select("class_id", "spec", "variant", "canonical")
 
 
 def repaired_definitions(definitions: DataFrame, inferred: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """All queries outside the llm subpackage."""
 
-from . import catalog, crawls, flows, matching, proposals, scalars  # noqa: F401
+from . import answers, catalog, crawls, flows, matching, proposals, scalars  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

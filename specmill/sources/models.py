@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ from ..functions.attrs import is_identifier
 from ..functions.identity import DEFAULT_CURRENCY, blank_to_null, upload_price
 
 ANSWER = "task string, prompt_key string, response string, truncated boolean, error string"
-MOST_TEXT, MOST_LINES_TEXT, MOST_CALLS = 100_000, 12_000, 8
+MOST_CALLS = 8
 MATCH_OPS = ["eq", "gte", "lte"]
 PAGE_TYPES = ["PRODUCT", "LISTING", "CATEGORY", "API", "OTHER", "UNKNOWN"]
 PRODUCTS = "array<struct<class_name:string,name:string,mpn:string,price:string,currency:string,description:string,attributes:map<string,string>>>"
@@ -190,3 +191,134 @@ def product_urls(answers: DataFrame, most: int = 30) -> DataFrame:
     """FN-13: addresses of an answer, none for a bad one."""
     urls = F.coalesce(F.from_json("response", "urls array<string>")["urls"], F.array().cast("array<string>"))
     return answers.select("prompt_key", F.posexplode(F.slice(F.filter(urls, lambda u: u.rlike("^https?://")), 1, most)).alias("pos", "url"))
+
+
+# Bounds of an answer to a crawled page, and its version.
+CRAWL_VERSION, MOST_CRAWL_PRODUCTS, MOST_CRAWL_ATTRIBUTES, MOST_CRAWL_DEPTH, MOST_CRAWL_TEXT, MOST_CANDIDATE = "1.0", 100, 64, 6, 4096, 12_000
+CRAWL_TEXTS = ["identityHint", "name", "mpn", "className", "currency", "priceSourceUrl", "sourceUrl"]
+CRAWL_PRODUCT = "pos int, identity_hint string, name string, mpn string, class_name string, attributes string, price string, currency string, price_source_url string, source_url string, confidence int"
+
+
+class BadAnswer(ValueError):
+    """An answer that cannot be used as a whole."""
+
+
+def _bounded(value: object) -> int:
+    """Number of the attributes in a value; raises where a bound is passed."""
+    todo, number = [(value, 0)], 0
+    while todo:
+        node, depth = todo.pop()
+        if depth > MOST_CRAWL_DEPTH or isinstance(node, str) and len(node) > MOST_CRAWL_TEXT:
+            raise BadAnswer("attributes are too deep or too long")
+        if isinstance(node, dict):
+            number += len(node)
+            if number > MOST_CRAWL_ATTRIBUTES or any(len(k) > MOST_CRAWL_TEXT for k in node):
+                raise BadAnswer("too many attributes")
+            todo += [(v, depth + 1) for v in node.values()]
+        elif isinstance(node, list):
+            todo += [(v, depth + 1) for v in node]
+    return number
+
+
+def _crawl_product(pos: int, p: object) -> tuple:
+    if not isinstance(p, dict) or not isinstance(p.get("attributes"), dict):
+        raise BadAnswer("a product needs attributes")
+    _bounded(p["attributes"])
+    texts = [p.get(f) for f in CRAWL_TEXTS]
+    if any(t is not None and (not isinstance(t, str) or len(t) > MOST_CRAWL_TEXT) for t in texts):
+        raise BadAnswer("a text is none or too long")
+    price = p.get("price")
+    if isinstance(price, bool) or price is not None and not isinstance(price, int | float | str):
+        raise BadAnswer("a price is none")
+    if price is not None and not Decimal(str(price)).is_finite():
+        raise BadAnswer("a price is none")
+    confidence = p.get("confidence")
+    confidence = confidence if isinstance(confidence, int) and not isinstance(confidence, bool) and abs(confidence) < 1 << 31 else None
+    hint, name, mpn, class_name, currency, price_source, source = texts
+    return pos, hint, name, mpn, class_name, json.dumps(p["attributes"], sort_keys=True, ensure_ascii=False), None if price is None else str(price), currency, price_source, source, confidence
+
+
+def crawl_products_of(response: str | None) -> list[tuple]:
+    """FN-3 on one answer: strict JSON of the known version with a bounded list; products that are invalid are dropped, an answer of only such is bad."""
+    try:
+        value = json.loads(response or "")
+    except ValueError as e:
+        raise BadAnswer("no JSON") from e
+    if not isinstance(value, dict) or value.get("schemaVersion") != CRAWL_VERSION:
+        raise BadAnswer("unknown version")
+    products = value.get("products")
+    if not isinstance(products, list) or len(products) > MOST_CRAWL_PRODUCTS:
+        raise BadAnswer("no list of products, or too many")
+    out = []
+    for pos, p in enumerate(products):
+        try:
+            out.append(_crawl_product(pos, p))
+        except (BadAnswer, ArithmeticError):
+            continue
+    if products and not out:
+        raise BadAnswer("no valid product")
+    return out
+
+
+def _crawl_frame(rows: list[tuple]) -> pd.DataFrame:
+    names = [c.split()[0] for c in CRAWL_PRODUCT.split(", ")]
+    frame = pd.DataFrame(rows, columns=["prompt_key", *names, "error"], dtype=object)
+    return frame
+
+
+def crawl_products(answers: DataFrame) -> DataFrame:
+    """FN-3: products of answers to crawled candidates, one a row; a bad answer is one row with its ``error`` and nothing else."""
+    nothing = (None,) * len(CRAWL_PRODUCT.split(", "))
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for key, response in zip(frame["prompt_key"], frame["response"], strict=True):
+                try:
+                    rows += [(key, *p, None) for p in crawl_products_of(response)]
+                except BadAnswer as e:
+                    rows.append((key, *nothing, str(e)))
+            yield _crawl_frame(rows)
+
+    return answers.select("prompt_key", "response").mapInPandas(batches, f"prompt_key string, {CRAWL_PRODUCT}, error string")
+
+
+def halved(text: str) -> list[str]:
+    """SCA-40 on one text: as the column function ``halves``."""
+    middle = len(text) // 2
+    at = next((i for i in range(middle, len(text)) if text[i].isspace()), None)
+    return [text] if at is None else [text[:at].strip(), text[at:].strip()]
+
+
+def extract_by_halves(requests: DataFrame, client: Client, most: int = 2) -> DataFrame:
+    """FN-5: (prompt_key, prompt) as products like ``crawl_products``; where an answer is bad its candidate is halved and asked again, ``most`` calls a candidate in all.
+
+    A candidate that cannot be halved any further, or runs out of calls, is one row with its ``error``: nothing that other halves gave is kept.
+    """
+    nothing = (None,) * len(CRAWL_PRODUCT.split(", "))
+
+    def products(candidate: str, left: list[int]) -> list[tuple]:
+        if not left[0]:
+            raise BadAnswer("no call left")
+        left[0] -= 1
+        try:
+            if len(candidate) > MOST_CANDIDATE:
+                raise BadAnswer("the candidate is too long")
+            return crawl_products_of(client("crawl", candidate)[0])
+        except BadAnswer as e:
+            parts = halved(candidate)
+            if not left[0] or parts == [candidate]:
+                raise BadAnswer("no call left" if not left[0] else str(e)) from e
+            return [p for part in parts for p in products(part, left)]
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for key, prompt in zip(frame["prompt_key"], frame["prompt"], strict=True):
+                try:
+                    rows += [(key, pos, *p[1:], None) for pos, p in enumerate(products(prompt or "", [most]))]
+                except Exception as e:  # noqa: BLE001 - a client's failure is the error of its candidate
+                    rows.append((key, *nothing, f"{e}"[:300]))
+            yield _crawl_frame(rows)
+
+    return requests.select("prompt_key", "prompt").dropDuplicates(["prompt_key"]).mapInPandas(batches, f"prompt_key string, {CRAWL_PRODUCT}, error string")
