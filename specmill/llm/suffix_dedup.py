@@ -221,7 +221,7 @@ def _out(k: np.ndarray, e: Entries, parts: int) -> Iterator[pa.RecordBatch]:
         key, d, t, pos = kept.c
         body = key[:, :-2]
         there = np.concatenate([np.arange(WINDOW) < key[:, -2:-1].astype(np.int64) - 1, np.arange(BEFORE) < key[:, -1:].astype(np.int64) - 1], axis=1)
-        rows.append((p, 1, pack(body[there], key[:, -2].copy(), key[:, -1].copy(), *_documents_of(d, t), pos, level=3)))
+        rows.append((p, 1, pack(body[there], key[:, -2].copy(), key[:, -1].copy(), *_documents_of(d, t), pos, level=5)))
         if len(found):
             rows.append((p, 0, pack(*_documents_of(*found.c[1:3]), found.c[3], found.windows().astype(np.uint32))))
     columns = list(zip(*rows, strict=True)) or [(), (), ()]
