@@ -1,6 +1,7 @@
 """From raw documents to a training mix, in five stages.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Columns beyond
+doc_id, text and source are carried as they are. No stage fails on null ids, null, empty or very long texts, repeated rows or empty tables.
 """
 
 from __future__ import annotations
@@ -17,31 +18,31 @@ from specmill.plans.ship import ship
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine scores below 0.7."""
+    """Documents that the factorization machine scores below 0.7. Null and empty texts are scored as texts without terms; repeated rows go or stay together."""
     ship(spark)
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates: that of the smallest doc_id, null last. Repeated rows are near-duplicates; texts without words all stay."""
     ship(spark)
     return one_of_each(spark, docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of 100-byte strings that stand earlier."""
+    """Texts without the bytes of 100-byte strings that stand earlier. A text of which only white space is left goes; null texts become empty ones."""
     ship(spark)
     return suffix_dedup_rows(spark, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Documents in which no benchmark item is found. Null and empty texts hold none; repeated rows go or stay together."""
     ship(spark)
     return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, each time with its epoch."""
+    """Documents as often as the mix takes them, each time with its epoch. Null texts have size 0; a null source is one of its own."""
     ship(spark)
     return mixed_rows(spark, docs)
 
