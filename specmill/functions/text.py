@@ -9,6 +9,7 @@ from .numbers import strip
 
 ARABIC = r"[؀-ۿ]"
 MAX_CHUNK = 12_000
+# What product numbers and paths of pages look like to the crawl.
 PRODUCT_ID = r"(?i)\b(?:mpn|sku|model|product)[:#\s-]*[a-z0-9][a-z0-9._/-]*|\b[a-z]{2,}[.-]?\d{2,}[a-z0-9.-]*\b"
 NON_CATALOG, API = r"/(account|login|signin|register|cart|checkout)(/|$)", r"/(api|graphql)(/|$)"
 CATALOG, PRODUCT = r"/(catalog|products?|categories?|shop)(/|$)", r"/(products?|items?|models?)/"

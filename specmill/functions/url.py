@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 
 #: Query parameters that only track visitors.
 TRACKING_PREFIX, TRACKING = "utm_", ["gclid", "fbclid"]
+#: Addresses that are no destinations of a crawl. Of version 6 only 2000::/3 is in use.
+NOT_PUBLIC = (
+    "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.88.99.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/3 "
+    "2001::/32 2001:2::/48 2001:10::/28 2001:20::/28 2001:db8::/32 2002::/16 3fff::/20"
+).split()
+#: Suffixes of two labels below which names are registered. A stand-in for the public list, which callers may give whole.
+SUFFIXES = "co.uk org.uk ac.uk com.jo net.jo org.jo gov.jo edu.jo com.au com.br com.cn com.eg com.sa com.tr co.jp co.kr co.in co.za".split()
 LABEL = r"[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?"
 HOST = rf"^(?=.{{1,253}}$){LABEL}(\.{LABEL})*$"
 
@@ -124,12 +131,61 @@ def host_allowed(host: Column, own: Column, allowed: Column) -> Column:
     return below(F.lower(own)) | F.coalesce(F.exists(allowed, lambda a: below(F.lower(a))), F.lit(False))
 
 
-def public_address(host: str | None) -> bool:
-    """FLT-9: whether a literal address is one of the public internet."""
-    try:
-        return ipaddress.ip_address((host or "").strip("[]")).is_global
-    except ValueError:
-        return False
+def address_hex(address: Column) -> Column:
+    """Digits of an address, 8 of version 4 and 32 of version 6, which sort as the addresses do; null if it is none."""
+    a = F.regexp_replace(F.lower(F.btrim(address, F.lit("[]"))), r"^::ffff:(?=\d+\.\d+\.\d+\.\d+$)", "")
+    octets = F.transform(F.split(a, r"\."), lambda x: x.try_cast("int"))
+    short = F.array_join(F.transform(octets, lambda x: F.lpad(F.hex(x), 2, "0")), "")
+    four = F.when(a.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & F.forall(octets, lambda x: x <= 255), F.lower(short))
+    groups = lambda c: F.filter(F.split(c, ":"), lambda x: x != "")
+    left = groups(F.substring_index(a, "::", 1))
+    right = F.when(a.contains("::"), groups(F.substring_index(a, "::", -1))).otherwise(F.array().cast("array<string>"))
+    left_out = F.when(a.contains("::"), 8 - F.size(left) - F.size(right)).otherwise(0)
+    whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(left_out, F.lit(0))), right)
+    good = a.contains(":") & ~a.rlike("::.*::|:::|^:[^:]|[^:]:$") & (~a.contains("::") | (left_out > 0)) & (F.size(whole) == 8) & F.forall(whole, lambda x: x.rlike("^[0-9a-f]{1,4}$"))
+    return F.coalesce(four, F.when(good, F.array_join(F.transform(whole, lambda x: F.lpad(x, 4, "0")), "")))
+
+
+def public_address(address: Column) -> Column:
+    """FLT-9: whether an address is one of the public internet; neither are tunnels of version 4 in version 6. False for what is no address."""
+    digits = address_hex(address)
+    within = F.lit(False)
+    for n in map(ipaddress.ip_network, NOT_PUBLIC):
+        within = within | ((F.length(digits) == 2 * len(n[0].packed)) & digits.between(n[0].packed.hex(), n[-1].packed.hex()))
+    used = (F.length(digits) == 8) | (digits.substr(1, 1).isin("2", "3") & ~digits.substr(17, 8).isin("00005efe", "02005efe"))
+    return F.coalesce(used & ~within, F.lit(False))
+
+
+def registrable_domain(host: Column, suffixes: list[str] = SUFFIXES) -> Column:
+    """The last two labels, or three below a suffix of two; null for addresses, single labels and suffixes themselves. As exact as ``suffixes`` are complete."""
+    two, three = F.substring_index(host, ".", -2), F.substring_index(host, ".", -3)
+    return F.when(host.contains(".") & ~host.contains(":") & ~host.rlike(r"^\d+\.\d+\.\d+\.\d+$"), F.when(~two.isin(*suffixes), two).when(three != two, three))
+
+
+def fetch_refusal(url: Column, supplier_host: Column, explicit_hosts: Column, addresses: Column, suffixes: list[str] = SUFFIXES) -> Column:
+    """FLT-9: why an address may not be fetched, or null if it may: the first reason that holds.
+
+    The supplier's registrable domain and hosts below it are allowed, others only if named exactly in ``explicit_hosts``. ``addresses`` are
+    those that the host resolves to; all of them must be public.
+    """
+    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    pattern = r"^(\[[0-9A-Fa-f:.]+\]|[^:\[\]]*)(?::(\d*))?$"
+    port = F.nullif(F.regexp_extract(authority, pattern, 2), F.lit(""))
+    tidy = lambda h: F.rtrim(F.lower(F.trim(h)), F.lit("."))
+    host, own = tidy(F.regexp_extract(authority, pattern, 1)), tidy(supplier_host)
+    is_host = lambda h: F.coalesce(h.rlike(HOST) | (h.startswith("[") & address_hex(h).isNotNull()), F.lit(False))
+    domain = registrable_domain(own, suffixes)
+    near = F.when(domain.isNull(), host == own).otherwise((host == domain) | host.endswith(F.concat(F.lit("."), domain)))
+    named = F.coalesce(F.exists(explicit_hosts, lambda h: tidy(h) == host), F.lit(False))
+    bad_port = port.isNotNull() & ~F.coalesce(port.try_cast("int").between(1, 65535), F.lit(False))
+    return (
+        F.when(~F.coalesce(scheme.isin("http", "https"), F.lit(False)), "UNSUPPORTED_SCHEME")
+        .when(authority.contains("@") | bad_port | ~is_host(host) | ~is_host(own), "INVALID_HOST")
+        .when(~(near | named), "HOST_NOT_ALLOWED")
+        .when(F.coalesce(F.size(addresses), F.lit(0)) <= 0, "DNS_RESOLUTION_FAILED")
+        .when(~F.forall(addresses, public_address), "NON_PUBLIC_ADDRESS")
+    )
 
 
 def api_evidence(page_url: Column, urls: Column) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +56,63 @@ def upload(docs: DataFrame, answers: DataFrame, classes: DataFrame, maps: DataFr
     return made.select("supplier_id", "pos", "class_id", "name", "mpn", F.element_at("attributes", "item_no").alias("item_no"), "attributes", "price", "currency")
 
 
+#: Fixed value: failures after which every further call fails too.
+FATAL = r"LLM API error (400|401|403)\b"
+OUTCOME = "doc_id long, chunk_no int, prompt_key string, response string, truncated boolean, error string, status string"
+
+
+def ask_in_waves(chunks: DataFrame, client: models.Client, parallelism: int = 4, limit: int = ingest.FATAL_STREAK) -> DataFrame:
+    """DML-6, WIN-7: (doc_id, chunk_no, chunk) as outcomes: ok, incomplete, failed or stopped, one row a chunk.
+
+    Chunks of a document are asked in waves of ``parallelism`` and settled in their order. A fatal failure, or ``limit`` failures in a row, stops
+    the document: what follows is not asked, or dropped if its wave was, and stands as ``stopped``. Documents do not affect each other.
+    A task holds the chunks of one document, of which ``chunk_documents`` keeps a bounded number.
+    """
+
+    def one(chunk: str) -> tuple[str | None, bool, str | None]:
+        try:
+            response, truncated = client("products", chunk)
+            return response, truncated, None
+        except Exception as e:  # a failed call is the outcome of its chunk
+            return None, False, f"{type(e).__name__}: {e}"[:300]
+
+    def document(frame: pd.DataFrame) -> pd.DataFrame:
+        asked = frame.sort_values("chunk_no")
+        rows, streak, stopped = [], 0, False
+        with ThreadPoolExecutor(parallelism) as pool:
+            for start in range(0, len(asked), parallelism):
+                wave = asked.iloc[start : start + parallelism]
+                said = [(None, False, None)] * len(wave) if stopped else pool.map(one, wave["chunk"])
+                for (doc_id, chunk_no, key), (response, truncated, error) in zip(wave[["doc_id", "chunk_no", "prompt_key"]].itertuples(index=False), said, strict=True):
+                    if stopped:
+                        rows.append((doc_id, chunk_no, key, None, False, None, "stopped"))
+                        continue
+                    rows.append((doc_id, chunk_no, key, response, truncated, error, "failed" if error else "incomplete" if truncated else "ok"))
+                    streak = streak + 1 if error else 0
+                    stopped = streak >= limit or bool(error and re.search(FATAL, error))
+        return pd.DataFrame(rows, columns=["doc_id", "chunk_no", "prompt_key", "response", "truncated", "error", "status"])
+
+    keyed = chunks.select("doc_id", "chunk_no", "chunk", F.sha2("chunk", 256).alias("prompt_key"))
+    return keyed.groupBy("doc_id").applyInPandas(document, OUTCOME)
+
+
+def upload_status(docs: DataFrame, chunks: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """DML-6, DML-5: (doc_id, status, n_ok, n_incomplete, n_failed, n_stopped, marks_stale) of each document.
+
+    FAILED if it has no text, was stopped, or every chunk failed. Products that were not seen become stale only after a whole reading:
+    not capped, nothing failed, stopped or cut off.
+    """
+    n = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s}")
+    counted = outcomes.groupBy("doc_id").agg(n("ok"), n("incomplete"), n("failed"), n("stopped"))
+    capped = chunks.groupBy("doc_id").agg(F.bool_or("capped").alias("capped"))
+    out = docs.select("doc_id").distinct().join(capped, "doc_id", "left").join(counted, "doc_id", "left").na.fill(0, ["n_ok", "n_incomplete", "n_failed", "n_stopped"])
+    failed = (F.col("n_stopped") > 0) | (F.col("n_ok") + F.col("n_incomplete") == 0)
+    return out.select(
+        "doc_id", F.when(failed, "FAILED").otherwise("DONE").alias("status"), "n_ok", "n_incomplete", "n_failed", "n_stopped",
+        (~failed & ~F.coalesce("capped", F.lit(True)) & (F.col("n_incomplete") + F.col("n_failed") == 0)).alias("marks_stale"),
+    )
+
+
 def run_log(docs: DataFrame, answers: DataFrame) -> DataFrame:
     """SNK-6, AGG-19: one row a chunk: answered, cut off or failed, with the error's text."""
     chunks = ingest.chunk_documents(docs).withColumn("prompt_key", F.sha2("chunk", 256))

@@ -126,19 +126,21 @@ def tender_summary(tenders: DataFrame, lines: DataFrame, proposals: DataFrame, s
 
 
 def export_rows(lines: DataFrame, matches: DataFrame, products: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
-    """PRJ-2, JN-16, SNK-2: rows of a report, with stand-ins for what is missing; ``chosen`` replaces the product by a proposal's."""
-    out = lines.join(matches.select("line_id", "product_id", "score", "status"), "line_id", "left")
+    """PRJ-2, JN-16, SNK-2: rows of a report, with stand-ins for what is missing. With ``chosen`` the product is the proposal's, none where that has none."""
+    out = lines.join(matches.select("line_id", "product_id", "match_type", "score", "status"), "line_id", "left")
     if chosen is not None:
-        out = out.join(chosen.select("line_id", F.col("product_id").alias("chosen_id")), "line_id", "left").withColumn("product_id", F.coalesce("chosen_id", "product_id"))
-    out = out.join(products.select("product_id", F.col("name").alias("product")), "product_id", "left")
+        out = out.drop("product_id").join(chosen.select("line_id", "product_id"), "line_id", "left")
+    out = out.join(products.select("product_id", F.col("name").alias("product"), F.col("mpn").alias("mpn")), "product_id", "left")
+    said = [F.col(c) for c in ("description", "raw_text") if c in lines.columns]
     number = F.row_number().over(Window.partitionBy("tender_id").orderBy("line_id"))
     return out.select(
-        "tender_id", "line_id", F.coalesce("line_no", number.cast("string")).alias("line_no"), F.coalesce("description", F.lit("")).alias("description"), F.coalesce("qty", F.lit(0.0)).alias("qty"),
-        F.coalesce("product", F.lit("")).alias("product"), F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("status", F.lit("not_found")).alias("status"), F.lit("JOD").alias("currency"),
+        "tender_id", "line_id", F.coalesce("line_no", number.cast("string")).alias("line_no"), F.coalesce(*said, F.lit("")).alias("description"), F.coalesce("qty", F.lit(0.0)).alias("qty"),
+        F.coalesce("product", F.lit("")).alias("product"), F.coalesce("mpn", F.lit("")).alias("mpn"), F.coalesce("match_type", F.lit("")).alias("match_type"), F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("status", F.lit("not_found")).alias("status"), F.lit("JOD").alias("currency"),
     )
 
 
 def text_report(rows: DataFrame) -> DataFrame:
     """SNK-3: a fixed-width line of text a row."""
-    line = F.concat_ws(" | ", F.rpad(F.left("description", F.lit(40)), 40, " "), F.rpad(F.left("product", F.lit(30)), 30, " "), F.concat(F.col("score").cast("string"), F.lit("/100")), F.col("status"))
+    product = F.coalesce(F.nullif("product", F.lit("")), F.lit("NOT FOUND"))
+    line = F.concat_ws(" | ", F.rpad(F.left("description", F.lit(40)), 40, " "), F.rpad(F.left(product, F.lit(30)), 30, " "), F.concat(F.col("score").cast("string"), F.lit("/100")), F.col("status"))
     return rows.select("tender_id", "line_id", line.alias("value"))

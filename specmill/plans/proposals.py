@@ -103,7 +103,7 @@ def tender_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "report_export_rows",
-    f"""{A.ALL} select l.tender_id, l.line_id, l.ln::varchar as line_no, l.description, l.qty, coalesce(p.name, '') as product, m.score::int as score,
+    f"""{A.ALL} select l.tender_id, l.line_id, l.ln::varchar as line_no, l.description, l.qty, coalesce(p.name, '') as product, coalesce(p.mpn, '') as mpn, coalesce(m.match_type, '') as match_type, m.score::int as score,
     case when m.score = 100 then 'matched' when m.score >= 40 then 'partial' else 'not_found' end as status, 'JOD' as currency from lines_v l join match_v m using (line_id) left join products_v p on p.product_id = m.product_id""",
 )
 def report_export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +112,7 @@ def report_export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "report_text",
-    f"""{A.ALL} select l.tender_id, l.line_id, rpad(substr(l.description, 1, 40), 40, ' ') || ' | ' || rpad(substr(coalesce(p.name, ''), 1, 30), 30, ' ') || ' | ' || m.score || '/100 | ' ||
+    f"""{A.ALL} select l.tender_id, l.line_id, rpad(substr(l.description, 1, 40), 40, ' ') || ' | ' || rpad(substr(coalesce(p.name, 'NOT FOUND'), 1, 30), 30, ' ') || ' | ' || m.score || '/100 | ' ||
     case when m.score = 100 then 'matched' when m.score >= 40 then 'partial' else 'not_found' end as value from lines_v l join match_v m using (line_id) left join products_v p on p.product_id = m.product_id""",
 )
 def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:

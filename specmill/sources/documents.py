@@ -19,6 +19,8 @@ from ..functions.text import agreed_kind
 MOST_BYTES, MOST_PAGES = 10 << 20, 200
 SCHEMA = "path string, kind string, page int, sheet string, section string, text string, error string"
 _W, _S = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}", "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+MOST_COLUMNS = 16_384
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 Fragment = tuple[int | None, str | None, str | None, str]
 
@@ -61,6 +63,14 @@ def read_docx(content: bytes) -> list[Fragment]:
     return [(None, None, title, "\n".join(lines)) for title, lines in out if lines or title]
 
 
+def _column(reference: str) -> int:
+    """Number of a cell's column from 0; -1 if the cell has no reference."""
+    n = 0
+    for letter in reference.rstrip("0123456789"):
+        n = 26 * n + ord(letter) - 64
+    return n - 1
+
+
 def read_xlsx(content: bytes) -> list[Fragment]:
     """SRC-2d: one fragment a sheet; cells joined by tabs, rows by line breaks, blank rows dropped; stored values of formulas."""
     out = []
@@ -68,12 +78,16 @@ def read_xlsx(content: bytes) -> list[Fragment]:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in s.iter(f"{_S}t")) for s in _xml(_entry(z, "xl/sharedStrings.xml")).iter(f"{_S}si")]
-        names = [s.get("name") for s in _xml(_entry(z, "xl/workbook.xml")).iter(f"{_S}sheet")]
-        for k, name in enumerate(names):
+        targets = {r.get("Id"): r.get("Target", "") for r in _xml(_entry(z, "xl/_rels/workbook.xml.rels"))} if "xl/_rels/workbook.xml.rels" in z.namelist() else {}
+        sheets = [(s.get("name"), targets.get(s.get(_ID))) for s in _xml(_entry(z, "xl/workbook.xml")).iter(f"{_S}sheet")]
+        for k, (name, target) in enumerate(sheets):
             rows = []
-            for row in _xml(_entry(z, f"xl/worksheets/sheet{k + 1}.xml")).iter(f"{_S}row"):
-                cells = []
+            entry = f"xl/worksheets/sheet{k + 1}.xml" if not target else target[1:] if target.startswith("/") else f"xl/{target}"
+            for row in _xml(_entry(z, entry)).iter(f"{_S}row"):
+                cells: list[str] = []
                 for c in row.iter(f"{_S}c"):
+                    # files leave empty cells out: the reference tells the column
+                    cells += [""] * min(_column(c.get("r", "")) - len(cells), MOST_COLUMNS)
                     v, inline = c.find(f"{_S}v"), c.find(f"{_S}is")
                     text = "".join(t.text or "" for t in inline.iter(f"{_S}t")) if inline is not None else (v.text or "") if v is not None else ""
                     cells.append(shared[int(text)] if c.get("t") == "s" and text else text)

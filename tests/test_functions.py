@@ -1,3 +1,5 @@
+import ipaddress
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,7 +97,35 @@ def test_url_of_reference():
     assert url.resolve_one("https://ex.com/a", "#x") is None
     assert url.resolve_one("https://ex.com/a", "mailto:x@y") is None
     assert url.resolve_one("https://[2001:db8:0::1]/", "x") == "https://[2001:db8::1]/x"
-    assert not url.public_address("10.0.0.1") and url.public_address("8.8.8.8")
+
+
+def test_public_addresses(spark):
+    refused = [ipaddress.ip_network(n) for n in url.NOT_PUBLIC]
+    edges = [str(a) for n in refused for a in (n[0], n[-1])] + [str(a) for n in refused for a in (n[0] - 1 if int(n[0]) else n[0], n[-1] + 1 if n[-1] != n[-1].__class__(2**n.max_prefixlen - 1) else n[-1])]
+    given = edges + ["8.8.8.8", "[2606:4700::1111]", "2606:4700:0:0:0:0:0:1111", "::", "::1", "fe80::1", "2606:4700::5efe:1.2.3.4", "2606:4700::200:5efe:102:304", "64:ff9b::1", "::ffff:8.8.8.8", "::ffff:10.0.0.1"]
+    wrong = ["", None, "a.example.com", "1.2.3", "1.2.3.256", "1.2.3.4.5", "1:2", "1::2::3", ":::", "12345::", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::8", "g::1"]
+
+    def public(a):
+        try:
+            ip = ipaddress.ip_address(a.strip("[]"))
+        except (ValueError, AttributeError):
+            return False
+        ip = getattr(ip, "ipv4_mapped", None) or ip
+        if any(ip.version == n.version and ip in n for n in refused):
+            return False
+        return ip.version == 4 or (ip.packed[0] >> 5 == 1 and ip.packed[8:12] not in (b"\0\0\x5e\xfe", b"\2\0\x5e\xfe"))
+
+    got = spark.createDataFrame([(a,) for a in given + wrong], "a string").select("a", url.public_address(F.col("a")).alias("p")).collect()
+    # version 6 that ends in version 4 notation is not read, and what a group of 8 leaves out must be something
+    assert [(r.a, r.p) for r in got] == [(a, public(a) and a not in ("2606:4700::5efe:1.2.3.4", "1:2:3:4:5:6:7::8")) for a in given + wrong]
+    assert spark.createDataFrame([], "a string").where(url.public_address(F.col("a"))).count() == 0
+
+
+def test_registrable_domain(value):
+    assert value(url.registrable_domain(s("a.b.example.com"))) == "example.com"
+    assert value(url.registrable_domain(s("a.example.co.uk"))) == "example.co.uk"
+    for host in ("co.uk", "localhost", "10.0.0.1", "[2001:db8::1]", None):
+        assert value(url.registrable_domain(s(host))) is None
 
 
 def test_chunks(value):

@@ -6,7 +6,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from specmill.operators import flows, ingest, matching, proposals
-from specmill.sources import documents, models, pages, sitemaps
+from specmill.sources import documents, models, pages, reports, sitemaps
 from specmill.streaming import misses
 
 RULES = [("c", "max_voltage", "numeric", "gte"), ("c", "has_trms", "bool", "eq"), ("c", "width", "numeric", "lte"), ("c", "insulation_class", "text", "gte")]
@@ -209,3 +209,59 @@ def test_matching_with_many_attributes_gives_the_same(spark, monkeypatch):
     compiled = told()
     monkeypatch.setattr(matching, "attribute_names", lambda definitions: None)
     assert told() == compiled
+
+
+def _report(spark, n, **more):
+    row = {"tender_id": 1, "line_no": "1", "description": "a <b> & \x01(c)\\", "qty": 2.5, "product": "", "mpn": "m", "match_type": "", "score": 0, "status": "not_found", "currency": "JOD"} | more
+    return spark.createDataFrame([{**row, "line_id": k} for k in range(n)])
+
+
+def test_report_workbooks(spark):
+    files = reports.xlsx_files(_report(spark, 5), most=2).orderBy("part").collect()
+    assert [f.part for f in files] == [0, 1, 2]
+    sheets = [documents.read_xlsx(bytes(f.content))[0] for f in files]
+    assert {s[1] for s in sheets} == {"Report"} and [s[3].count("\n") for s in sheets] == [2, 2, 1]
+    assert sheets[0][3].split("\n")[1] == "1\ta <b> & (c)\\\t2.5\t\tm\t\t0\tnot_found\t\tJOD"
+    assert reports.xlsx_files(_report(spark, 1).limit(0)).count() == 0
+
+
+def test_report_pdfs(spark):
+    lines = proposals.text_report(_report(spark, 90))
+    file = reports.pdf_files(lines).collect()[0]
+    pages_of = documents.read_pdf(bytes(file.content))
+    assert [len(p[3].split("\n")) for p in pages_of] == [38, 39, 14]
+    assert pages_of[0][3].startswith("Matching report #1\na <b> &  (c)\\")
+    assert "NOT FOUND" in pages_of[2][3]
+
+
+def test_cells_that_a_workbook_leaves_out():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{reports._MAIN}" xmlns:r="{reports._OFFICE}"><sheets><sheet name="S" r:id="x"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{reports._PACKAGE}/relationships"><Relationship Id="x" Target="worksheets/other.xml"/></Relationships>')
+        z.writestr("xl/worksheets/other.xml", f'<worksheet xmlns="{reports._MAIN}"><sheetData><row><c r="B1"><v>1</v></c><c r="AB1"><v>2</v></c></row></sheetData></worksheet>')
+    assert documents.read_xlsx(out.getvalue()) == [(None, "S", None, "\t1" + "\t" * 26 + "2")]
+
+
+def test_chosen_products_of_a_proposal(spark):
+    lines = spark.createDataFrame([(1, 1, None, None, "raw", None), (2, 1, "7", "d", "raw", 3.0)], "line_id long, tender_id long, line_no string, description string, raw_text string, qty double")
+    matches = spark.createDataFrame([(1, 5, "exact", 100, "matched"), (2, 5, "spec", 50, "partial")], "line_id long, product_id long, match_type string, score int, status string")
+    products = spark.createDataFrame([(5, "five", "M5"), (6, "six", None)], "product_id long, name string, mpn string")
+    chosen = spark.createDataFrame([(1, 6), (2, None)], "line_id long, product_id long")
+    got = proposals.export_rows(lines, matches, products, chosen).orderBy("line_id").collect()
+    assert [(r.line_no, r.description, r.qty, r["product"], r.mpn, r.score) for r in got] == [("1", "raw", 0.0, "six", "", 100), ("7", "d", 3.0, "", "", 50)]
+    assert [r["product"] for r in proposals.export_rows(lines, matches, products).collect()] == ["five", "five"]
+
+
+def test_uploads_stop_by_document(spark):
+    chunks = spark.createDataFrame([(1, 0, "bad"), (1, 1, "bad"), (1, 2, "ok"), (1, 3, "bad"), (1, 4, "bad"), (1, 5, "bad"), (1, 6, "ok"), (2, 0, "ok")], "doc_id long, chunk_no int, chunk string")
+
+    def client(task, chunk):
+        if chunk == "bad":
+            raise RuntimeError("no answer")
+        return "{}", False
+
+    for parallelism in (1, 3, 8):
+        got = flows.ask_in_waves(chunks, client, parallelism).orderBy("doc_id", "chunk_no").collect()
+        assert [r.status for r in got] == ["failed", "failed", "ok", "failed", "failed", "failed", "stopped", "ok"]
+        assert got[6].error is None and got[6].response is None
