@@ -21,14 +21,16 @@ def in_scope(lines: DataFrame, scope: DataFrame) -> DataFrame:
 def exact_matches(lines: DataFrame, scope: DataFrame, products: DataFrame) -> DataFrame:
     """JN-1, JN-2: (line_id, product_id) where the description is a product's name, or else its part number, without regard to case. The smallest id wins.
 
-    Of the products of one supplier under one name only the smallest id is joined, so that a name which many carry meets a line once a supplier.
+    Of the products of one supplier under one name only the smallest id is joined. Lines whose description is nobody's meet nothing; the
+    others meet the suppliers of their tender, and each of these one product a kind: a name that many suppliers carry costs no more than a rare one.
     """
     keys = products.select("product_id", "supplier_id", F.upper("name").alias("k"), F.lit(0).alias("kind")).unionByName(
         products.where("mpn is not null").select("product_id", "supplier_id", F.upper("mpn").alias("k"), F.lit(1).alias("kind"))
     )
     keys = keys.where("k is not null").groupBy("k", "supplier_id", "kind").agg(F.min("product_id").alias("product_id"))
     wanted = lines.where("description is not null").select("line_id", "tender_id", F.upper("description").alias("k"))
-    hits = wanted.join(keys, "k").join(scope.select("tender_id", "supplier_id"), ["tender_id", "supplier_id"], "left_semi")
+    known = wanted.join(keys.select("k").distinct(), "k", "left_semi")
+    hits = known.join(scope.select("tender_id", "supplier_id"), "tender_id").join(keys, ["supplier_id", "k"])
     return hits.groupBy("line_id").agg(F.min(F.struct("kind", "product_id")).alias("first")).select("line_id", F.col("first.product_id").alias("product_id"))
 
 
