@@ -9,8 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .divergence import ORACLE as DIVERGENCE_SQL
+from .divergence import source_divergence
+from .fill_middle import ORACLE as FILL_MIDDLE_SQL
+from .fill_middle import fill_middle, restored
 from .html_text import html_text
 from .lm_score import lm_scores
+from .minhash_dedup import ORACLE as MINHASH_SQL
+from .minhash_dedup import minhash_dedup
 from .mixing import ORACLE as MIXING_SQL
 from .mixing import mix_sources
 from .neighbours import ORACLE as NEAREST_SQL
@@ -79,9 +85,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(spark, _table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_middle(_table(spark, sf_dir, "documents"))
+    back = restored(F.col("output"), F.col("form"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup(spark, _table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_html_text, op2_lm_scores, op3_ngram_join, op4_decontaminate, op5_mix_sources, op6_suffix_dedup, op7_quality, op8_token_counts, op9_nearest, op10_toxicity)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_html_text, op2_lm_scores, op3_ngram_join, op4_decontaminate, op5_mix_sources, op6_suffix_dedup, op7_quality, op8_token_counts, op9_nearest, op10_toxicity, op11_divergence, op12_fill_middle, op13_minhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": MIXING_SQL, "op9_nearest": NEAREST_SQL}
+    return {"op5_mix_sources": MIXING_SQL, "op9_nearest": NEAREST_SQL, "op11_divergence": DIVERGENCE_SQL, "op12_fill_middle": FILL_MIDDLE_SQL, "op13_minhash_dedup": MINHASH_SQL}
