@@ -179,9 +179,12 @@ def removable_users(users: DataFrame, tenders: DataFrame) -> DataFrame:
 
 
 def fused(rankings: DataFrame, k: int = 60, most: int = 50) -> DataFrame:
-    """Reciprocal rank fusion of (query_id, ranking, item_id, rank): the sum of 1 / (k + rank), best first."""
-    total = rankings.groupBy("query_id", "item_id").agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("score"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "item_id"))
+    """Reciprocal rank fusion of (query_id, ranking, item_id, rank): the sum of 1 / (k + rank), best first.
+
+    Each part is a whole number of billionths of a thousandth, so that the sum, and with it a tie, does not depend on the order of the rankings.
+    """
+    total = rankings.groupBy("query_id", "item_id").agg(F.sum(F.call_function("div", F.lit(1_000_000_000_000), F.lit(k) + F.col("rank"))).alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
     return total.withColumn("place", place).where(F.col("place") <= most)
 
 

@@ -45,21 +45,6 @@ def supplier_typeahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.typeahead(s, s.where("supplier_id % 5 = 0"), "1")
 
 
-@register(
-    "rank_fusion",
-    """with r as (select user_id as query_id, event_type as item_id, row_number() over (partition by user_id order by max(value) desc, event_type) as a, row_number() over (partition by user_id order by count(*) desc, event_type) as b from events group by user_id, event_type),
-    s as (select query_id, item_id, 1.0::double / (60 + a) + 1.0::double / (60 + b) as score from r)
-    select query_id, item_id, score, row_number() over (partition by query_id order by round(score, 12) desc, item_id)::int as place from s""",
-)
-def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    each = A.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("query_id"), F.col("event_type").alias("item_id")).agg(F.max("value").alias("v"), F.count("*").alias("n"))
-    rank = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(c), "item_id"))
-    both = each.select("query_id", "item_id", rank("v").alias("a"), rank("n").alias("b")).select("query_id", "item_id", F.explode(F.array("a", "b")).alias("rank"))
-    return W.fused(both).select("query_id", "item_id", "score", "place")
-
-
 @register("catalogue_diff", "select p_partkey as product_id, case when p_partkey % 7 = 0 then 'removed' when p_partkey % 7 = 1 then 'added' else 'changed' end as change from part where p_partkey % 7 in (0, 1, 2)")
 def catalogue_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_retailprice")).alias("price"))
