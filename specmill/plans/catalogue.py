@@ -1,6 +1,6 @@
 """All queries outside the llm subpackage."""
 
-from . import answers, catalog, crawls, files, flows, matching, proposals, retrieval, scalars  # noqa: F401
+from . import answers, catalog, crawls, files, flows, matching, proposals, retrieval, scalars, values  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
