@@ -84,8 +84,11 @@ def verdict(name: Column, datatype: Column, op: Column, required: Column, offere
     """SCA-3: COMPLIANT, DEVIATION or UNVERIFIABLE. A missing definition, requirement or offer cannot be verified.
 
     ``eq`` on numbers has a tolerance; on booleans the texts are compared without regard to case, untrimmed; on other text
-    trimmed. ``gte`` and ``lte`` take numbers or ranks of an ordered scale, and are inclusive.
+    trimmed. ``gte`` and ``lte`` take numbers or ranks of an ordered scale, and are inclusive. ``range_contains`` asks that the offered
+    interval holds the required number, ``superset`` that the offered list (by commas) holds every required member.
     """
+    from .values import POINT, interval, let  # which builds on this module
+
     r, o = spec_number(required), spec_number(offered)
     rank_r, rank_o = F.coalesce(r, scale_rank(name, required)), F.coalesce(o, scale_rank(name, offered))
     text = lambda c: F.lower(c.cast("string"))
@@ -96,11 +99,15 @@ def verdict(name: Column, datatype: Column, op: Column, required: Column, offere
         .otherwise(judged(strip(text(required)) == strip(text(offered))))
     )
     unknown = rank_r.isNull() | rank_o.isNull()
+    within = let(interval(offered, F.lit(POINT)), lambda i: F.when(r.isNull() | i.isNull(), UNVERIFIABLE).otherwise(judged((F.coalesce(i["lo"], r) <= r) & (r <= F.coalesce(i["hi"], r)))))
+    members = lambda c: F.filter(F.split(text(c), r"\s*,\s*"), lambda m: m != "")
     return (
         F.when(op.isNull() | required.isNull() | offered.isNull(), UNVERIFIABLE)
         .when(op == "eq", equal)
         .when(op == "gte", F.when(unknown, UNVERIFIABLE).otherwise(judged(rank_o >= rank_r)))
         .when(op == "lte", F.when(unknown, UNVERIFIABLE).otherwise(judged(rank_o <= rank_r)))
+        .when(op == "range_contains", within)
+        .when(op == "superset", judged(F.size(F.array_except(members(strip(required)), members(strip(offered)))) == 0))
         .otherwise(UNVERIFIABLE)
     )
 
