@@ -44,16 +44,17 @@ def canonical_rows(rows: DataFrame, maps: DataFrame) -> DataFrame:
 
 
 def upload(docs: DataFrame, answers: DataFrame, classes: DataFrame, maps: DataFrame, supplier_id: int) -> DataFrame:
-    """DML-6: documents to parsed products in the order of their chunks: (supplier_id, pos, class_id, name, mpn, item_no, attributes, price, currency).
+    """DML-6: documents to parsed products in the order of their chunks: (supplier_id, pos, class_id, name, mpn, item_no, attributes, price, currency, capped).
 
-    ``answers`` are those to the chunks, by chunk key; a chunk whose answer failed gives no product and is counted by ``run_log``.
+    ``answers`` are those to the chunks, by chunk key; a chunk whose answer failed gives no product and is counted by ``run_log``. ``capped`` tells
+    that the document goes on behind its last chunk.
     """
     chunks = ingest.chunk_documents(docs).withColumn("prompt_key", F.sha2("chunk", 256))
     parsed = chunks.join(models.parsed_products(answers), "prompt_key").withColumn("supplier_id", F.lit(supplier_id).cast("long"))
     known = models.classified_lines(parsed, classes).withColumn("attributes", F.coalesce("attributes", F.create_map().cast("map<string,string>")))
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_no", "pos"))
     made = canonical_rows(known.withColumn("pos", order), maps)
-    return made.select("supplier_id", "pos", "class_id", "name", "mpn", F.element_at("attributes", "item_no").alias("item_no"), "attributes", "price", "currency")
+    return made.select("supplier_id", "pos", "class_id", "name", "mpn", F.element_at("attributes", "item_no").alias("item_no"), "attributes", "price", "currency", "capped")
 
 
 #: Fixed value: failures after which every further call fails too.

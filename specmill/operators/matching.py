@@ -134,24 +134,27 @@ def candidate_pairs(lines: DataFrame, scope: DataFrame, products: DataFrame, def
 
     The join is on supplier and class together: lines meet only suppliers in scope, and no class is one hot key. Values are
     read before the join, once a line and once a product, so that a pair costs comparisons alone. Up to MOST_COMPILED attribute
-    names, each is a field of its own and ``hits`` has a flag for each of ``names``; beyond that arrays and maps are compared.
+    names, each is a field of its own; beyond that arrays and maps are compared. ``hits`` has a flag for each of ``names`` in both
+    cases, and for each name of the definitions, in order, where no names are given and they are few enough.
     """
     fresh = products.where("not is_stale and class_id is not null")
     if not crawler_stale:
         fresh = fresh.where("not coalesce(crawler_stale, false)")
-    names = names or attribute_names(definitions)
+    known = attribute_names(definitions)
     suppliers = scope.select("tender_id", "supplier_id").repartition("tender_id").distinct()  # one shuffle, which the join below uses again
-    if not names:
+    if not known:
         wanted, offered = requirements(lines, definitions).drop("required_bag"), offers(fresh, definitions).drop("offered_bag")
         points = score(F.col("required"), F.col("offered"))
-        hits = F.array().cast("array<boolean>")
+        flag = lambda name: F.exists("required", lambda r: (r["attr"] == name) & F.coalesce(complies(r, F.element_at("offered", r["attr"])), F.lit(False)))
+        hits = F.array(*map(flag, names or [])).cast("array<boolean>")
     else:
-        wanted, offered, flags = _compiled(lines, fresh, definitions, names)
+        wanted, offered, flags = _compiled(lines, fresh, definitions, known)
         total = flags[0].cast("int")
         for flag in flags[1:]:
             total = total + flag.cast("int")
         points = F.when(F.col("n_required") > 0, F.floor(total * 100 / F.col("n_required"))).otherwise(0).cast("int")
-        hits = F.array(*flags)
+        of_name = dict(zip(known, flags, strict=True))
+        hits = F.array(*(of_name.get(name, F.lit(False)) for name in names or known))
     # suppliers that have nothing fresh are left out before they meet a line
     suppliers = suppliers.join(fresh.select("supplier_id").distinct(), "supplier_id", "left_semi")
     pairs = wanted.join(suppliers, "tender_id").join(offered, ["supplier_id", "class_id"])

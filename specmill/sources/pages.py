@@ -97,11 +97,11 @@ def _text(value: object) -> str | None:
 
 def product_nodes(roots: list[object]) -> tuple[list[dict], dict[str, dict]]:
     """SCA-43, JN-20, AGG-20: nodes of type Product, and the definitions of ``@id``, of which the fullest stands."""
-    found, named, todo = [], {}, list(roots)
+    found, named, todo = [], {}, list(reversed(roots))
     while todo:
-        node = todo.pop(0)
+        node = todo.pop()
         if isinstance(node, list):
-            todo = node + todo
+            todo.extend(reversed(node))
         elif isinstance(node, dict):
             kinds = node.get("@type")
             key = node.get("@id")
@@ -111,7 +111,7 @@ def product_nodes(roots: list[object]) -> tuple[list[dict], dict[str, dict]]:
                     named[key] = node
             if "Product" in (kinds if isinstance(kinds, list) else [kinds]):
                 found.append(node)
-            todo = [v for v in node.values() if isinstance(v, list | dict)] + todo
+            todo.extend(v for v in reversed(node.values()) if isinstance(v, list | dict))
     return found, named
 
 
@@ -134,13 +134,13 @@ def product_like(value: object) -> list[dict]:
     """SCA-42: objects anywhere in JSON that have a name and an identifier."""
     out, todo = [], [value]
     while todo:
-        node = todo.pop(0)
+        node = todo.pop()
         if isinstance(node, list):
-            todo = node + todo
+            todo.extend(reversed(node))
         elif isinstance(node, dict):
             if any(_text(node.get(k)) for k in ("name", "title", "productName")) and any(_text(node.get(k)) for k in ("mpn", "model", "productId", "sku")):
                 out.append(node)
-            todo = [v for v in node.values() if isinstance(v, list | dict)] + todo
+            todo.extend(v for v in reversed(node.values()) if isinstance(v, list | dict))
     return out
 
 

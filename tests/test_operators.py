@@ -1,5 +1,6 @@
 import io
 import json
+import time
 import zipfile
 import zlib
 
@@ -265,3 +266,33 @@ def test_uploads_stop_by_document(spark):
         got = flows.ask_in_waves(chunks, client, parallelism).orderBy("doc_id", "chunk_no").collect()
         assert [r.status for r in got] == ["failed", "failed", "ok", "failed", "failed", "failed", "stopped", "ok"]
         assert got[6].error is None and got[6].response is None
+
+
+def test_hits_have_a_flag_for_each_name_however_many_names_there_are(spark):
+    many = [f"a{i:02}" for i in range(matching.MOST_COMPILED + 3)]
+    lines = spark.createDataFrame([(1, 1, "x", "c", {"a00": "5", "a01": "red", "a33": "9"})], "line_id long, tender_id long, description string, class_id string, attributes map<string,string>")
+    products = spark.createDataFrame([(7, 1, "c", "p", None, False, {"a00": "6", "a01": "blue", "a33": "9"})], "product_id long, supplier_id long, class_id string, name string, mpn string, is_stale boolean, attributes map<string,string>")
+    scope = spark.createDataFrame([(1, 1)], "tender_id long, supplier_id long")
+    for names in (many, ["a00", "a01", "a33"]):
+        rules = spark.createDataFrame([("c", n, "text" if n == "a01" else "numeric", "gte" if n == "a00" else "eq") for n in names], "class_id string, name string, datatype string, match_op string")
+        got = matching.candidate_pairs(lines, scope, products, rules, names=["a33", "a01", "a00"]).first()
+        assert got.hits == [True, False, True] and got.score == 66
+
+
+def test_walks_through_json_take_linear_time_and_keep_the_order():
+    wide = [{"@type": "Product", "@id": f"#{i}", "name": f"n{i}", "sku": str(i), "inner": [{"name": "x", "model": f"m{i}"}]} for i in range(100_000)]
+    began = time.time()
+    found, named = pages.product_nodes([{"@graph": wide}])
+    assert [n["@id"] for n in found] == [f"#{i}" for i in range(100_000)] and len(named) == 100_000
+    assert [n.get("sku") or n["model"] for n in pages.product_like(wide)][:4] == ["0", "m0", "1", "m1"]
+    assert time.time() - began < 20
+
+
+def test_an_upload_tells_whether_it_was_cut(spark):
+    docs = spark.createDataFrame([(1, "short text"), (2, "a line of words\n" * 200_000)], "doc_id long, text string")
+    chunks = ingest.chunk_documents(docs).withColumn("prompt_key", F.sha2("chunk", 256))
+    answers = chunks.where("chunk_no = 0").select("prompt_key", F.lit('{"products": [{"name": "Meter", "class_name": "c"}]}').alias("response"), F.lit(False).alias("truncated"), F.lit(None).cast("string").alias("error"))
+    classes = spark.createDataFrame([("c", "c")], "class_id string, name string")
+    maps = flows.class_maps(spark.createDataFrame([("c", "volts", None)], "class_id string, name string, canonical_unit string"))
+    got = {r.capped for r in flows.upload(docs, answers.dropDuplicates(["prompt_key"]), classes, maps, 5).collect()}
+    assert got == {True, False}
