@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch
 
-#: A run of letters A-Z, a-z and characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: A term is a run of letters A-Z, a-z and characters beyond ASCII; this is what stands between two of them.
+TERM, BETWEEN = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Documents of a language that hold a kept term, at least; whole shares; terms that are reported of a group.
 LEAST_DOCS, SCALE, MOST_TERMS = 10, 1_000_000_000, 10
 #: Characters of a text whose terms are taken together, and a piece of a longer one: it ends where a term does.
-PIECE = 1 << 18
+PIECE = 1 << 20
+#: Parts of a language's vocabulary.
+SALTS = 64
 _PIECES = r"(?s).{1," + str(PIECE) + r"}[^\x00-\x40\x5B-\x60\x7B-\x7F]*+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    """All matches of TERM. Found by splitting at what is between: a matcher that returns each match copies the whole text for it."""
+    return F.array_remove(F.split(text, BETWEEN), "")
 
 
 def text_pieces(text: Column) -> Column:
@@ -27,15 +30,18 @@ def text_pieces(text: Column) -> Column:
 
 
 def group_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, count): occurrences of each term in each group."""
-    pieces = docs.select("lang", "source", F.explode("pieces").alias("piece"))
-    return pieces.select("lang", "source", F.explode(terms(F.col("piece"))).alias("term")).groupBy("lang", "source", "term").agg(F.count("*").alias("count"))
+    """(lang, source, term, count, in_docs): occurrences of each term in each group, and the rows that hold it, in one aggregate.
 
-
-def vocabulary(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
-    """(lang, term) of terms that ``least`` rows of the language hold. Of a long text the distinct terms of its pieces are put together."""
+    A text's terms go out twice, as they stand and once each. Of a long text they stand by pieces, and the distinct terms of its pieces are put together.
+    """
+    short = docs.where(F.length("text") <= PIECE).select("lang", "source", terms(F.col("text")).alias("t"))
+    lists = F.array(F.struct(F.lit(0).alias("once"), F.col("t").alias("t")), F.struct(F.lit(1).alias("once"), F.array_distinct("t").alias("t")))
+    short = short.select("lang", "source", F.explode(lists).alias("x")).select("lang", "source", "x.once", F.explode("x.t").alias("term"))
+    long = docs.where(F.length("text") > PIECE).select("lang", "source", text_pieces(F.col("text")).alias("pieces"))
+    stand = long.select("lang", "source", F.explode("pieces").alias("piece")).select("lang", "source", F.lit(0).alias("once"), F.explode(terms(F.col("piece"))).alias("term"))
     distinct = F.array_distinct(F.flatten(F.transform("pieces", lambda p: F.array_distinct(terms(p)))))
-    return docs.select("lang", F.explode(distinct).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("in_docs")).where(F.col("in_docs") >= least).select("lang", "term")
+    each = short.unionByName(stand).unionByName(long.select("lang", "source", F.lit(1).alias("once"), F.explode(distinct).alias("term")))
+    return each.groupBy("lang", "source", "term").agg(F.count_if(F.col("once") == 0).alias("count"), F.count_if(F.col("once") == 1).alias("in_docs"))
 
 
 def share(count: Column, total: Column, kept: Column, scale: int = SCALE) -> Column:
@@ -63,21 +69,20 @@ def source_divergence(spark: SparkSession, docs: DataFrame, least: int = LEAST_D
     """
     scratch = Scratch(spark, "divergence")
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.select(plain("lang").alias("lang"), plain("source").alias("source"), text_pieces(F.translate(plain("text"), _UPPER, _LOWER)).alias("pieces"))
+    rows = docs.select(plain("lang").alias("lang"), plain("source").alias("source"), F.translate(plain("text"), _UPPER, _LOWER).alias("text"))
     groups = scratch.write(rows.select("lang", "source").distinct())
-    kept = scratch.write(vocabulary(rows, least))
-    counts = group_counts(rows).join(kept, ["lang", "term"], "left_semi")
-    counts = scratch.write(counts)
-
-    sizes = kept.groupBy("lang").agg(F.count("*").alias("v"))
-    by_group = counts.groupBy("lang", "source").agg(F.sum("count").alias("n"))
-    by_group = groups.join(by_group, ["lang", "source"], "left").join(sizes, "lang").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), "v")
-    by_lang = counts.groupBy("lang", "term").agg(F.sum("count").alias("lang_count"))
-    totals = counts.groupBy("lang").agg(F.sum("count").alias("lang_n")).join(sizes, "lang")
-    of_lang = by_lang.join(totals, "lang").select("lang", "term", share(F.col("lang_count"), F.col("lang_n"), F.col("v")).alias("q"))
-
-    dense = by_group.join(kept, "lang").join(counts, ["lang", "source", "term"], "left")
-    dense = scratch.write(dense.select("lang", "source", "term", F.coalesce("count", F.lit(0)).alias("count"), share(F.coalesce("count", F.lit(0)), F.col("n"), F.col("v")).alias("p")))
+    counts = scratch.write(group_counts(rows))
+    kept = counts.groupBy("lang", "term").agg(F.sum("in_docs").alias("docs"), F.sum("count").alias("lang_count")).where(F.col("docs") >= least)
+    kept = scratch.write(kept.select("lang", "term", "lang_count", F.pmod(F.xxhash64("term"), F.lit(SALTS)).alias("salt")))
+    counts = scratch.write(counts.select("lang", "source", "term", "count").join(kept.select("lang", "term"), ["lang", "term"], "left_semi"))
+
+    # what is known of a language and a group goes to each of its parts of the vocabulary, so that no language is one key
+    of_lang = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_count").alias("lang_n"))
+    known = groups.join(counts.groupBy("lang", "source").agg(F.sum("count").alias("n")), ["lang", "source"], "left").join(of_lang, "lang")
+    known = known.select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), "v", "lang_n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    dense = known.join(kept, ["lang", "salt"]).join(counts, ["lang", "source", "term"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    p, q = share(F.col("count"), F.col("n"), F.col("v")), share(F.col("lang_count"), F.col("lang_n"), F.col("v"))
+    dense = scratch.write(dense.select("lang", "source", "term", "count", p.alias("p"), q.alias("q")))
 
     one, other = dense.select("lang", "term", "source", "p"), dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
     once = one.join(other, ["lang", "term"]).where("source < item").groupBy("lang", "source", "item").agg(F.sum(divergence(F.col("p"), F.col("q"))).alias("value"))
@@ -86,8 +91,7 @@ def source_divergence(spark: SparkSession, docs: DataFrame, least: int = LEAST_D
     pairs = groups.join(groups.select("lang", F.col("source").alias("item")), "lang").where("source <> item")
     pairs = pairs.join(both, ["lang", "source", "item"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value"))
 
-    marked = dense.where("count > 0").join(of_lang, ["lang", "term"]).where("p > q")
-    marked = marked.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value"))
+    marked = dense.where("count > 0 and p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value"))
 
     place = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")).cast("int")
     return pairs.withColumn("rank", place).unionByName(marked.withColumn("rank", place).where(F.col("rank") <= most_terms))

@@ -76,13 +76,13 @@ def test_divergence_is_that_of_plain_counting(spark, monkeypatch):
 
 
 def test_divergence_of_a_hot_group_and_long_texts(spark):
-    long = "é" * 300_000 + " word " + "ab " * 200_000
+    long = "é" * 1_200_000 + " word " + "ab " * 400_000
     rows = spoken(5) + [(i, "common words of one source " * 3, "en", "hot", 0) for i in range(400)] + [(9000 + i, long, "en", "long", 0) for i in range(10)]
     assert {tuple(r) for r in divergence.source_divergence(spark, frame(spark, rows)).collect()} == audit(rows)
 
 
 def test_pieces_of_a_text_cut_no_term(spark):
-    text = ("x" * 100 + "1 ") * 9000 + "y" * 600_000 + " z"
+    text = ("x" * 100 + "1 ") * 30_000 + "y" * 600_000 + " z"
     row = spark.createDataFrame([(text,)], "text string").select(divergence.text_pieces(F.col("text")).alias("p")).first()
     assert "".join(row.p) == text and len(row.p) > 2
     found = re.compile(divergence.TERM).findall
