@@ -34,10 +34,11 @@ def group_counts(docs: DataFrame) -> DataFrame:
 
     A text's terms go out twice, as they stand and once each. Of a long text they stand by pieces, and the distinct terms of its pieces are put together.
     """
-    short = docs.where(F.length("text") <= PIECE).select("lang", "source", terms(F.col("text")).alias("t"))
+    lower = F.translate("text", _UPPER, _LOWER)
+    short = docs.where(F.length("text") <= PIECE).select("lang", "source", terms(lower).alias("t"))
     lists = F.array(F.struct(F.lit(0).alias("once"), F.col("t").alias("t")), F.struct(F.lit(1).alias("once"), F.array_distinct("t").alias("t")))
     short = short.select("lang", "source", F.explode(lists).alias("x")).select("lang", "source", "x.once", F.explode("x.t").alias("term"))
-    long = docs.where(F.length("text") > PIECE).select("lang", "source", text_pieces(F.col("text")).alias("pieces"))
+    long = docs.where(F.length("text") > PIECE).select("lang", "source", text_pieces(lower).alias("pieces"))
     stand = long.select("lang", "source", F.explode("pieces").alias("piece")).select("lang", "source", F.lit(0).alias("once"), F.explode(terms(F.col("piece"))).alias("term"))
     distinct = F.array_distinct(F.flatten(F.transform("pieces", lambda p: F.array_distinct(terms(p)))))
     each = short.unionByName(stand).unionByName(long.select("lang", "source", F.lit(1).alias("once"), F.explode(distinct).alias("term")))
@@ -69,7 +70,7 @@ def source_divergence(spark: SparkSession, docs: DataFrame, least: int = LEAST_D
     """
     scratch = Scratch(spark, "divergence")
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.select(plain("lang").alias("lang"), plain("source").alias("source"), F.translate(plain("text"), _UPPER, _LOWER).alias("text"))
+    rows = docs.select(plain("lang").alias("lang"), plain("source").alias("source"), plain("text").alias("text"))
     groups = scratch.write(rows.select("lang", "source").distinct())
     counts = scratch.write(group_counts(rows))
     kept = counts.groupBy("lang", "term").agg(F.sum("in_docs").alias("docs"), F.sum("count").alias("lang_count")).where(F.col("docs") >= least)
