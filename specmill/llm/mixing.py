@@ -9,8 +9,11 @@ from .shared import Scratch
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST_EPOCHS = 1.5, 2
-#: Ranges of the key within a source, at least, and rows of one of the largest possible source; only the range where the budget ends is sorted.
-RANGES, RANGE_ROWS = 4096, 100_000
+#: Ranges of the key within a source are cut by its logarithm: RANGE_WIDTH / number each, so that one of them holds RANGE_WIDTH / e of the source by number at
+#: most. The number is RANGES, or more by RANGE_ROWS; only the range where the budget ends is sorted.
+RANGES, RANGE_ROWS, RANGE_WIDTH = 4096, 100_000, 4.0
+#: Below every range.
+NO_RANGE = -(1 << 62)
 #: Sources whose plan is small enough to be sent to every task.
 MOST_BROADCAST = 50_000
 
@@ -46,7 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, quality: Column | None = N
 
     A source whose target is a whole number of epochs and a part takes every document for each whole epoch, and then
     documents in the order of their exponential key -ln(u) / quality until the part's budget: the document at its end is
-    in if more than half of it fits. ``quality`` is a positive column of ``docs``, such as the score of a classifier; without one, texts of
+    in if more than half of it fits. ``quality`` is a positive column of ``docs``, such as the score of a classifier; without one, or where it is null, not positive or not finite, texts of
     about six characters a word rank highest, a rule of thumb that SQL can follow. Null texts have size 0; a null source is
     a source of its own and comes last; equal keys are ordered by doc_id (null last), size and a hash of the text; repeated rows
     are documents of their own. A source of size 0 takes its rows as often as its whole epochs, 0 words each.
@@ -60,10 +63,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, quality: Column | None = N
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text.alias("text"), given)
     rows = rows.select("doc_id", "source", "given", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), F.length("text").alias("chars"), F.xxhash64("text").alias("th"))
     by_length = F.lit(1.0) / (F.lit(1.0) + F.abs(F.col("chars") / F.greatest(F.col("size"), F.lit(1)) - 6.0) / 6.0)
-    rows = rows.withColumn("key", -F.log(uniform(F.col("doc_id"))) / F.when(F.col("given") > 0, F.col("given")).otherwise(by_length))
+    rows = rows.withColumn("key", -F.log(uniform(F.col("doc_id"))) / F.when((F.col("given") > 0) & (F.col("given") < float("inf")), F.col("given")).otherwise(by_length))
     rows = scratch.write(rows.withColumn("skey", F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))).drop("chars", "given"))
     number = max(RANGES, 1 << (rows.count() // RANGE_ROWS).bit_length())
-    rows = rows.withColumn("range", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * number), F.lit(number - 1)).cast("int"))
+    # of documents of one quality exp(-1) at most have their key within a factor e, so ranges of the logarithm are small whatever the quality is
+    within_double = F.greatest(F.least(F.col("key"), F.lit(1e300)), F.lit(1e-300))
+    rows = rows.withColumn("range", F.floor(F.log(within_double) * (number / RANGE_WIDTH)))
 
     ranges = scratch.write(rows.groupBy("skey", "range").agg(F.first("source").alias("source"), F.sum("size").alias("range_size")))
     plan = targets(ranges.groupBy("skey").agg(F.first("source").alias("source"), F.sum("range_size").alias("source_size")))
@@ -77,7 +82,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, quality: Column | None = N
     if plan.count() <= MOST_BROADCAST:  # one row a source; beyond that a join on the source, which Spark splits where it is skewed
         plan = F.broadcast(plan)
 
-    rows = rows.join(plan, "skey").withColumn("end_range", F.coalesce("end_range", F.lit(-1)))
+    rows = rows.join(plan, "skey").withColumn("end_range", F.coalesce("end_range", F.lit(NO_RANGE)))
     within = Window.partitionBy("skey", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", "th").rowsBetween(Window.unboundedPreceding, -1)
     at_end = rows.where("range = end_range").withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("end_before"))
     at_end = at_end.withColumn("more", (F.col("before") + F.col("size") / 2 < F.col("part")).cast("int")).drop("before")

@@ -51,20 +51,22 @@ class Tile:
         self.least = np.full(len(ids), -np.inf)
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
-        c, scale, norm, error = quantise(x)
+        rounded, scale, norm, error = quantise(x)
         whole = np.linalg.norm(x, axis=1)
-        c = c.astype(np.float32 if x.shape[1] <= EXACT else np.float64).T
+        tile = rounded.astype(np.float32 if x.shape[1] <= EXACT else np.float64).T
         order = np.argsort(ids)
         for a in range(0, len(self.ids), STRIP):
             b = min(a + STRIP, len(self.ids))
-            near = (self.q[a:b].astype(c.dtype) @ c).astype(np.float64)
+            near = (self.q[a:b].astype(tile.dtype) @ tile).astype(np.float64)
             near *= self.scale[a:b, None]
             near *= scale
             bound = self.norm[a:b, None] * error + self.error[a:b, None] * whole + ROUNDING * (self.norm[a:b, None] + self.error[a:b, None]) * whole
-            at = np.searchsorted(ids, self.ids[a:b], sorter=order)
-            at[at == len(ids)] = 0
-            own = np.flatnonzero(ids[order[at]] == self.ids[a:b])
-            near[own, order[at[own]]] = -np.inf
+            # rows of the query's id; the one of its very vector is the query itself, any other is a candidate
+            first, last = (np.searchsorted(ids, self.ids[a:b], side=side, sorter=order) for side in ("left", "right"))
+            q = np.repeat(np.arange(b - a), last - first)
+            c = order[np.arange(len(q)) - np.repeat(np.cumsum(last - first) - last, last - first)]
+            own = (self.x[a + q] == x[c]).all(1)
+            near[q[own], c[own]] = -np.inf
             low = near - bound
             least = self.least[a:b]
             if low.shape[1] >= self.k:
@@ -131,8 +133,8 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = K, every: int = EV
     ``k`` others of largest inner product, ties to the smaller id; fewer where there are fewer.
 
     Vectors that are null, empty, all zero or hold null or non-finite components take no part, nor do rows of null id. Rows
-    equal in id and vector count once; of an id with several vectors each is a candidate, and the smallest in array order is
-    the query. Vectors of other lengths are not compared.
+    equal in id and vector count once; of an id with several vectors the smallest in array order is the query, and each is a
+    candidate, of that query only those with another vector than its own. Vectors of other lengths are not compared.
     Queries come in tiles and candidates in blocks; every (tile, part of the candidates) is one unit of work, so neither
     side has to fit anywhere.
     """
@@ -173,12 +175,12 @@ def _tiled_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 ORACLE = """
 with v as (
-  select vec_id, embedding::double[] as x from embeddings
+  select distinct vec_id, embedding::double[] as x from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
     and len(list_filter(embedding, lambda e: e is null or isnan(e) or isinf(e))) = 0 and len(list_filter(embedding, lambda e: e <> 0)) > 0),
 p as (
   select q.vec_id as query_id, c.vec_id, list_inner_product(q.x, c.x) as score
-  from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+  from (select vec_id, min(x) as x from v where vec_id % 20 = 0 group by vec_id) q join v c on len(q.x) = len(c.x) and not (q.vec_id = c.vec_id and q.x = c.x)),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 20
 """

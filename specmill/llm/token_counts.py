@@ -66,6 +66,12 @@ class Transducer:
         self.special = [t["content"] for t in spec["added_tokens"]]
         if any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")) or spec.get("normalizer"):
             raise ValueError("added tokens that take white space or whole words, and normalizers, are not supported")
+        cutter = spec.get("pre_tokenizer") or {}
+        if cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True):
+            raise ValueError(f"only pretokens of the byte-level pattern without a leading space are supported, not {cutter}")
+        model = spec["model"]
+        if model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            raise ValueError("only plain byte pair merges are supported")
         alphabet = byte_alphabet()
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         code = lambda s: bytes(alphabet[c] for c in s)

@@ -395,6 +395,22 @@ def test_mixing(spark, docs):
     assert mixed.count() == sum(r.copies for r in rows)
 
 
+@pytest.mark.parametrize("quality", [0.003, 1.0, 400.0])
+def test_ranges_of_the_mix_stay_small(spark, quality):
+    number = F.floor(F.log(-F.log(mixing.uniform(F.col("id"))) / quality) * (mixing.RANGES / mixing.RANGE_WIDTH))
+    sizes = sorted(r["count"] for r in spark.range(200_000).groupBy(number.alias("range")).count().collect())
+    assert sizes[-1] <= 10 * sizes[len(sizes) // 2]
+    assert sizes[-1] <= 2 * 200_000 * mixing.RANGE_WIDTH / math.e / mixing.RANGES
+
+
+def test_mixing_by_odd_qualities(spark):
+    given = [None, 0.0, -1.0, float("nan"), float("inf"), 1e-320, 1e300, 0.5]
+    docs = spark.createDataFrame([(i, "a b c", "s", given[i % 8]) for i in range(80)], "doc_id long, text string, source string, q double")
+    rows = mixing.mix_sources(spark, docs, F.col("q")).collect()
+    assert len(rows) == 80 and abs(sum(r.taken for r in rows) - 1.5 * 240) <= 1.5
+    assert all(r.copies == 2 for r in rows if r.doc_id % 8 == 6) and all(r.copies == 1 for r in rows if r.doc_id % 8 == 5)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(300, 16)).astype(np.float32)
@@ -416,6 +432,14 @@ def test_neighbours_under_repeated_ids(spark):
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(20, 1, 3, 0.9), (20, 2, 4, 0.7), (20, 3, 3, 0.5)]
 
 
+@pytest.mark.parametrize("block", [1, 2, 4096])
+def test_neighbours_leave_out_the_row_of_the_query_only(spark, monkeypatch, block):
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    rows = [(20, [1.0, 0.0]), (20, [10.4, 0.0]), (20, [1.0, 5.0]), (3, [0.5, 0.0]), (20, [1.0, 0.0]), (40, [2.0])]
+    got = neighbours.nearest(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(20, 1, 20, 10.4), (20, 2, 20, 1.0), (20, 3, 3, 0.5)]
+
+
 def test_neighbours_by_tiles(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(400)]
