@@ -54,8 +54,20 @@ _ARTICLE = frozenset("article articlebody content contents post entry story main
 #: A name that begins or ends so tells the state of a page ("has-sidebar", "comments-open"), not what the element is.
 _STATE_FIRST = frozenset("has with no without is show hide category tag cat type status format theme layout template".split())
 _STATE_LAST = frozenset("open closed enabled disabled on off active visible hidden allowed true false".split())
+#: What may stand beside those words in the name of a part of a page ("share-buttons"). Beside another word they qualify an ordinary noun ("share-price"), and count as weak.
+_STRUCTURE = frozenset(
+    "list box item items wrapper wrap container holder area block bar bars button buttons btn link links section inner outer form row col column cell group panel strip slot unit content contents text body title heading head header "
+    "footer foot main top bottom left right center middle side inline small large big primary secondary site page pages global sticky fixed float floating icon icons label region zone card cards tray stack counter thread tree post posts article "
+    "articles story stories news email mail message messages entry feed grid wall first last new view element component module div id js css".split()
+)
 STRONG, WEAK = 7.0, 2.0
 _BOILER_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
+#: Headings of reader comments; without a heading element, only with a number.
+_REMARKS = r"(?:comments?|responses|kommentare?|leserkommentare|commentaires?|comentarios?|coment[áa]rios?|commenti|reacties|kommentarer|komentarze|комментари(?:и|ев)|コメント|评论|評論|댓글)"
+_REMARKS_HEAD = re.compile(rf"^(?:\d+\s*)?(?:(?:reader|user|recent|leser)\s+)?{_REMARKS}(?:\s*[(\[]?\d+[)\]]?)?\s*:?$", re.I)
+_REMARKS_COUNT = re.compile(rf"^(?:\d+\s*{_REMARKS}|{_REMARKS}\s*[(\[]?\d+[)\]]?)\s*:?$", re.I)
+#: Lines that stand in each of a list of remarks: a time of the day, a time that has passed, or an answer asked for.
+_REMARK_LINE = re.compile(r"\b\d{1,2}:\d{2}\b|\b\d+\s*(?:s|sec|min|mins|h|hrs?|d|seconds?|minutes?|hours?|days?|weeks?|months?|years?)\s+ago\b|\b(?:vor|il y a|hace|há)\s+\d+\b|^(?:reply|antworten|répondre|responder|rispondi|report)$", re.I)
 _SHORT = re.compile(
     r"^(?:advertisement|sponsored|anzeige|werbung|publicit[ée]|publicidad|read more|weiterlesen|share(?: this)?|subscribe|sign (?:in|up)|log ?in|menu|skip to .*|accept(?: all)?(?: cookies)?|"
     r"©.*|\(c\) .*|copyright .*|all rights reserved.*|comments?(?: \(\d+\))?|reply|report|related (?:articles|posts|stories))\W*$",
@@ -88,6 +100,7 @@ class Block:
     words: int = 0
     mark: float = 0.0
     core: bool = False
+    remark: bool = False
 
 
 @dataclass
@@ -96,6 +109,8 @@ class Page:
     blocks: list[Block]
     #: number of controls by the block element that holds them
     controls: Counter = field(default_factory=Counter)
+    #: headers outside an article that are not right under the body
+    headers: list[int] = field(default_factory=list)
 
 
 def named(label: str) -> tuple[float, bool]:
@@ -107,7 +122,8 @@ def named(label: str) -> tuple[float, bool]:
             continue
         is_article = any(w in _ARTICLE for w in words)
         if any(w in _STRONG for w in words):
-            weight = max(weight, STRONG)
+            parts = all(w in _STRONG or w in _WEAK or w in _STRUCTURE or w.isdigit() or len(w) < 2 for w in words)
+            weight = max(weight, STRONG if parts else WEAK)
         elif any(w in _WEAK for w in words):
             if not (is_article and words[-1] == "header"):  # the head of an article is a part of it
                 weight = max(weight, WEAK)
@@ -228,7 +244,10 @@ def parse(page: str) -> Page:
         if tag in ("article", "main"):
             e.article = 2
         elif tag == "header" and not (where.get("article") or where.get("main")):
-            e.never = True
+            if elements[stack[block_at[-1]]].tag in ("body", "html", ""):
+                e.never = True
+            else:
+                out.headers.append(len(elements))
         elif tag == "form":
             e.mark = STRONG
         if attrs and tag not in ("html", "body"):
@@ -249,8 +268,9 @@ def parse(page: str) -> Page:
         if tag in ("td", "th"):
             say(" ")
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
+            k = page.find(">", close.end()) if close else -1
+            at = end if k < 0 else k + 1
             if tag in BLOCK:
                 current = None
             continue
@@ -271,6 +291,56 @@ def parse(page: str) -> Page:
     return out
 
 
+def extents(page: Page) -> tuple[list[int], list[int]]:
+    """Numbers of the first and last block in each element; the first is above the last where there is none."""
+    elements, n = page.elements, len(page.blocks)
+    first, last = [n] * len(elements), [-1] * len(elements)
+    for k, b in enumerate(page.blocks):
+        first[b.element], last[b.element] = min(first[b.element], k), max(last[b.element], k)
+    for e in range(len(elements) - 1, 0, -1):
+        p = elements[e].parent
+        first[p], last[p] = min(first[p], first[e]), max(last[p], last[e])
+    return first, last
+
+
+def has_above(elements: list[Element], e: int, above: int) -> bool:
+    while e > above:
+        e = elements[e].parent
+    return e == above
+
+
+def remarks(page: Page, first: list[int], last: list[int]) -> list[tuple[int, int]]:
+    """Ranges of blocks that readers wrote: what follows a heading of comments under the same parent, up to a heading of its level
+    or above; and siblings of one tag of which each has several blocks, the first of them short, and a line of a time or an answer."""
+    elements, blocks, out = page.elements, page.blocks, []
+    done = 0
+    for k, b in enumerate(blocks):
+        if k < done or len(b.text) > 60 or not (_REMARKS_HEAD if b.heading else _REMARKS_COUNT).match(b.text):
+            continue
+        e = b.container
+        level = int(elements[e].tag[1]) if elements[e].tag in HEADINGS else 6
+        if level == 1 or k == 0:
+            continue
+        while e and last[e] == k:  # alone in what is around it
+            e = elements[e].parent
+        stop = next((j for j in range(k + 1, last[e] + 1) if blocks[j].heading and elements[blocks[j].container].tag in HEADINGS and int(elements[blocks[j].container].tag[1]) <= level), last[e] + 1)
+        out.append((k, stop))
+        done = stop
+    signs = [0]
+    for b in blocks:
+        signs.append(signs[-1] + (len(b.text) <= 80 and b.words <= 12 and _REMARK_LINE.search(b.text) is not None))
+    if not signs[-1]:
+        return out
+    siblings: dict[tuple[int, str], list[int]] = {}
+    for e in range(1, len(elements)):
+        if last[e] > first[e] and elements[e].tag in ("li", "div", "article", "section", "dd"):
+            siblings.setdefault((elements[e].parent, elements[e].tag), []).append(e)
+    for items in siblings.values():
+        if len(items) > 1 and all(signs[last[e] + 1] > signs[first[e]] and blocks[first[e]].words <= 12 and not blocks[first[e]].heading for e in items):
+            out += [(first[e], last[e] + 1) for e in items]
+    return out
+
+
 def weigh(page: Page) -> float:
     """Sets ``mark`` and ``core`` of the blocks; returns how surely what is outside the core is no article, 0 to 1.
 
@@ -309,7 +379,18 @@ def weigh(page: Page) -> float:
         best = max(found, key=lambda e: (mass[e], -e))
         return max((e for e in found if mass[e] >= 0.6 * mass[best]), key=lambda e: (elements[e].depth, mass[e], -e))
 
+    first, last = extents(page)
     core = core_of(2) or core_of(1)
+    for e in page.headers:  # a header is the article's if it is short, holds the first h1, unlinked, and stands in the core, or without one in what holds most of the page
+        own_h1 = first[e] <= last[e] and h1 > 0 and any(b.container == h1 and not b.linked for b in blocks[first[e] : min(last[e], first[e] + 7) + 1])
+        within = has_above(elements, e, core) if core else 2 * (mass[elements[e].parent] - mass[e]) >= mass[0] - mass[e] > 0
+        if not (own_h1 and within and last[e] - first[e] < 8):
+            elements[e].mark = STRONG
+    done = 0
+    for a, b in sorted(remarks(page, first, last)):  # ranges may lie in one another
+        for k in range(max(a, done), b):
+            blocks[k].remark = True
+        done = max(done, b)
     around: set[int] = set()
     if core:
         k = core
@@ -330,7 +411,7 @@ def weigh(page: Page) -> float:
         inside[e] = inside[p] or e == core
         sees[e] = max(sees[p], 0.0 if e in around else elements[e].mark)
     for b in blocks:
-        b.mark, b.core = sees[b.element], inside[b.element]
+        b.mark, b.core = STRONG + 2.0 if b.remark else sees[b.element], inside[b.element]
     if not core:
         return 0.0
     held = sum(own[e] for e in range(n) if inside[e] and sees[e] < STRONG)

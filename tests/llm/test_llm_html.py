@@ -74,6 +74,18 @@ def test_article_in_a_page(around, noise):
         (f"<p>{P1}</p><nav>menu", [P1]),
         ("<p>今日は新しい橋について町の議会で長い話し合いがあった。</p><p>来年の春に始まる。</p>", ["今日は新しい橋について町の議会で長い話し合いがあった。", "来年の春に始まる。"]),
         (f"<div class='post'><a href=1>Teaser of another story</a></div><div><h1>New bridge</h1><p>{P1}</p><p>{P1} Again.</p></div>", ["New bridge", P1, f"{P1} Again."]),
+        *((f"<article><p>{P1}</p><{tag}>{P2[:40]} again.</{tag.split()[0]}><p>{P3}</p></article>", [P1, f"{P2[:40]} again.", P3]) for tag in ("p class=share-note", "p class='subscription-model'", "p class=share-price", "p id=menu-prices", "p class=paywall-debate")),
+        *((f"<article><p>{P1}</p><{tag}><p>{P2[:40]} again.</p></{tag.split()[0]}><p>{P3}</p></article>", [P1, f"{P2[:40]} again.", P3]) for tag in ("section id=follow-up", "section class=social-policy", "div class=survey-results")),
+        (f"<main><h1>New bridge</h1><p>{P1}</p><section class=kommentare><h3>Kommentare</h3><div><p>Anna</p><p>{REMARK}</p></div><div><p>Bert</p><p>{REMARK}</p></div></section></main>", ["New bridge", P1]),
+        (f"<article><h1>New bridge</h1><p>{P1}</p><ol class=thread><li><p>Anna, 12:30</p><p>{REMARK}</p><li><p>Bert, 13:05</p><p>{REMARK}</p></ol></article>", ["New bridge", P1]),
+        (f"<article><h1>New bridge</h1><p>{P1}</p><h3>3 Comments</h3><div><p>Anna</p><p>{REMARK}</p></div></article>", ["New bridge", P1]),
+        (f"<article><h1>New bridge</h1><p>{P1}</p><div>3 Comments</div><div><p>{REMARK}</p></div></article>", ["New bridge", P1]),
+        (f"<article><h2>Comments</h2><p>{P1}</p></article>", ["Comments", P1]),
+        (f"<article><p>{P1}</p><ol><li><p>12 May</p><p>{P2[:40]} began.</p><li><p>13 June</p><p>{P2[:40]} ended.</p></ol></article>", [P1, "12 May", f"{P2[:40]} began.", "13 June", f"{P2[:40]} ended."]),
+        (f"<div class=article><header><h1>New bridge</h1></header><p>{P1}</p><p>{P1} Again.</p></div>", ["New bridge", P1, f"{P1} Again."]),
+        (f"<div><header><h1>New bridge</h1></header><p>{P1}</p><p>{P1} Again.</p></div>", ["New bridge", P1, f"{P1} Again."]),
+        (f"<div><header><h1><a href=/>The Daily Paper</a></h1><p>Every day of the year.</p></header><p>{P1}</p><p>{P1} Again.</p></div>", [P1, f"{P1} Again."]),
+        (f"<div id=page><header><h1>The Daily Paper</h1></header><article><p>{P1}</p><p>{P1} Again.</p></article></div>", [P1, f"{P1} Again."]),
     ],
 )
 def test_parts_of_pages(body, want):
@@ -117,12 +129,13 @@ def test_generated_pages(spark):
         assert html_text.main_text(r.html) == "\n\n".join(t for t in (" ".join(b.split()) for b in plain.blocks) if t), r.page_id
 
 
-@pytest.mark.parametrize("unit", ["<" + "a" * 50, "<div>x", "<p>x</b></i>", "<b><p>x</p>", "<li><b>x", "</div>", "<a \"", "<a x='", "<!--", "<![CDATA[", "<td><p>x", "<h1>x<h2>", "&amp;<", "\x00<￿>", "<div class='ad post'>x</div>", "<script>", "<table><tr><td>x", "<div><span>x</div>"])
+@pytest.mark.parametrize("unit", ["<" + "a" * 50, "<div>x", "<p>x</b></i>", "<b><p>x</p>", "<li><b>x", "</div>", "<a \"", "<a x='", "<!--", "<![CDATA[", "<td><p>x", "<h1>x<h2>", "&amp;<", "\x00<￿>", "<div class='ad post'>x</div>", "<script>", "</script ", "<li><p>x 10:00<p>y", "<h2>Comments</h2>", "<div><div>10:00<p>x</div>", "<div><header><h1>x", "<table><tr><td>x", "<div><span>x</div>"])
 def test_a_megabyte_of_anything_takes_linear_time(unit):
     text = unit * (1_000_000 // len(unit))
     began = time.process_time()
     html_text.main_text(text)
-    assert time.process_time() - began < 8
+    html_text.main_text("<script>" + text)
+    assert time.process_time() - began < 12
     began = time.process_time()
     html_text.main_text(text[:250_000])
     assert time.process_time() - began < 2
