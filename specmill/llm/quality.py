@@ -7,6 +7,7 @@ the rules kept are compiled into one Spark column expression over the statistics
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .labelled import labelled_sample, remainder
-from .textkernel import Words, at_least, prefix, ranges, raw, word_parts
+from .textkernel import _R, _RI, U, Words, at_least, mix, powers, prefix, raw, word_parts
 
 SAMPLE = 20_000
 STATS = ["n_bytes", "n_words", "word_len", "upper", "digit", "bang", "symbol", "mark", "pipe", "high", "line_words", "line_again", "word_again", "gram_again", "longest", "lines", "comma", "stop_end"]
@@ -26,11 +27,22 @@ for _n, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!",
         _KIND[_c] = _n + 1
 
 
+_STOPS = list(b".!?")
+
+
+class OpenLine(NamedTuple):
+    """What a part of a long row leaves to the next one: the sum and length of the line that is cut, and the byte before the cut."""
+
+    total: np.ndarray = np.zeros(1, np.uint64)
+    length: int = 0
+    byte: int = 10
+
+
 class Measures:
     """Counts of some rows, or of one part of a long row, from which their statistics follow; parts add up."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, words: Words):
-        """``data``, ``offs``: the bytes as they stand, without stops."""
+    def __init__(self, data: np.ndarray, offs: np.ndarray, words: Words, opened: OpenLine = OpenLine(), last: bool = True):
+        """``data``, ``offs``: the bytes as they stand, without stops. ``opened``: the line that the part before left; the end of a part that is not the last closes no line."""
         n = len(offs) - 1
         kind = _KIND[data]
         self.size, self.count = np.diff(offs), words.counts()
@@ -42,29 +54,41 @@ class Measures:
             total = np.concatenate([[0], np.cumsum(kind == k)])
             self.kinds[:, k] = total[offs[1:]] - total[offs[:-1]]
         line_end = np.flatnonzero(data == 10)
-        stops = np.isin(data[np.maximum(line_end - 1, 0)], list(b".!?")) & (line_end > offs[np.searchsorted(offs, line_end, side="right") - 1])
+        stops = np.isin(data[np.maximum(line_end - 1, 0)], _STOPS) & (line_end > offs[np.searchsorted(offs, line_end, side="right") - 1])
+        if len(line_end) and line_end[0] == 0:
+            stops[0] = opened.byte in _STOPS
         closed, per_line = np.concatenate([[0], np.cumsum(stops)]), np.searchsorted(line_end, offs)
         self.closed = closed[per_line[1:]] - closed[per_line[:-1]]
         cuts = np.unique(np.concatenate([line_end + 1, offs]))
         start, end = cuts[:-1], cuts[1:]
         owner = np.searchsorted(offs, start, side="right") - 1
-        trimmed = np.where(data[end - 1] <= 32, end - 1, end) if len(data) else end
-        filled = trimmed - start >= 10
+        trimmed = np.where(data[end - 1] <= 32, end - 1, end) if len(data) else end.copy()
+        self.opened, done = OpenLine(), np.ones(len(start), bool)
+        if not last and data[-1] != 10:
+            done[-1], trimmed[-1] = False, end[-1]
+        h = prefix(data)
+        total, line = (h[trimmed] - h[start]) * powers(_RI, len(h))[start], trimmed - start
+        if opened.length:
+            total[:1] = opened.total + total[:1] * np.array([pow(_R, opened.length, 2**64)], U)
+            line[0] += opened.length
+        if not last:
+            self.opened = OpenLine(byte=int(data[-1])) if done[-1] else OpenLine(total[-1:], int(line[-1]), int(data[-1]))
+        filled = done & (line >= 10)
         self.open = np.zeros(n, np.int64)  # rows that do not end with a line feed have one line more
         full = self.size > 0
         self.open[full] = data[offs[1:][full] - 1] != 10
         sh, sh_first = words.shingles(3)
         self.hashes = [
-            (ranges(prefix(data), start[filled], trimmed[filled]), owner[filled]),
+            (mix(total[filled]), owner[filled]),
             (words.hash, np.repeat(np.arange(n), self.count)),
             (sh, np.repeat(np.arange(n), np.diff(sh_first))),
         ]
 
     def add(self, more: Measures) -> None:
-        """The next part of the same row. A line that is cut counts as two for the share of repeated lines."""
+        """The next part of the same row."""
         for name in ("size", "count", "length", "kinds", "closed"):
             setattr(self, name, getattr(self, name) + getattr(more, name))
-        self.longest, self.open = np.maximum(self.longest, more.longest), more.open
+        self.longest, self.open, self.opened = np.maximum(self.longest, more.longest), np.where(more.size > 0, more.open, self.open), more.opened
         self.hashes = [tuple(np.concatenate(x) for x in zip(a, b, strict=True)) for a, b in zip(self.hashes, more.hashes, strict=True)]
 
     def statistics(self) -> np.ndarray:
@@ -94,9 +118,11 @@ def statistics(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
         if words.head and words.tail:
             yield a, b, Measures(data, offs, words).statistics()
             continue
-        # lowering may change the length of a text by a little: its parts as they stand are cut in the same proportion
-        end = len(data) if words.tail else min(len(data), at + len(words.data))
-        more = Measures(data[at:end], np.array([0, end - at]), words)
+        # lowering keeps the number of characters: the part as it stands ends after as many as the part in lower case has
+        n = int(np.count_nonzero(words.data & 0xC0 != 0x80))
+        heads = np.flatnonzero(data[at : at + 4 * n + 1] & 0xC0 != 0x80)
+        end = len(data) if words.tail or len(heads) <= n else at + int(heads[n])
+        more = Measures(data[at:end], np.array([0, end - at]), words, whole.opened if whole else OpenLine(), last=end == len(data))
         at = end
         if whole is None:
             whole = more

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from specmill.llm import blocks, decontaminate, html_text, lm_score, mixing, neighbours, ngram_join, quality, shared, suffix_dedup, token_counts, toxicity
+from specmill.llm import blocks, decontaminate, html_text, lm_score, mixing, neighbours, ngram_join, quality, shared, suffix_dedup, textkernel, token_counts, toxicity
 from specmill.llm.queries import oracle_sql, queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -580,3 +580,17 @@ def test_sql(spark, sf, name):
     from compare import connection, same
 
     same(queries()[name](spark, sf).toPandas(), connection(sf).sql(oracle_sql()[name]).df())
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_quality_statistics_by_parts_equal_those_of_the_whole(monkeypatch, seed):
+    rng = np.random.default_rng(seed)
+    bits = ["a line that comes again and again.\n", "\n", "Wort ", "\u0130STANBUL \u023a ", "x" * 40 + "!\n", "end. ", "\u4e2d\u6587\u3002", "one | two, 3\r\n", "no stop\n", "q" * 300 + " "]
+    text = "".join(bits[i] for i in rng.integers(0, len(bits), 600))
+    column = pa.array([text, text + "tail without a line feed", text + "\n", "short"])
+    whole = [x for part in column for _, _, x in quality.statistics(pa.array([part.as_py()]))]
+    for size in (700, 1500, 4000):
+        monkeypatch.setattr(textkernel, "PART", size)
+        monkeypatch.setattr(textkernel, "LONGEST", 400)
+        cut = [x for part in column for _, _, x in quality.statistics(pa.array([part.as_py()]))]
+        assert np.allclose(np.concatenate(cut), np.concatenate(whole), rtol=0, atol=1e-12)
