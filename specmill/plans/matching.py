@@ -37,13 +37,10 @@ def alternatives_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def attribute_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of all candidate pairs, counted by line and attribute."""
-    lines, scope, products = A.lines(spark, sf_dir), A.scope(spark, sf_dir), A.products(spark, sf_dir)
-    open_lines = lines.join(M.exact_matches(lines, scope, products).select("line_id"), "line_id", "left_anti")
-    definitions = A.definitions(spark, sf_dir)
     names = ["size", "brand", "insulation_class"]
-    pairs = M.candidate_pairs(open_lines, scope, products, definitions, names=names)
-    ok = lambda name: F.count_if(F.col("hits")[names.index(name)])
-    return pairs.groupBy("line_id").agg(ok("size").alias("n_size"), ok("brand").alias("n_brand"), ok("insulation_class").alias("n_class"), F.count("*").alias("n_pairs"), F.max("score").alias("best"))
+    counts = M.verdict_counts(A.lines(spark, sf_dir), A.scope(spark, sf_dir), A.products(spark, sf_dir), A.definitions(spark, sf_dir), names)
+    hits = [F.get("hits", F.lit(i)).alias(n) for i, n in enumerate(("n_size", "n_brand", "n_class"))]
+    return counts.select("line_id", *hits, "n_pairs", "best")
 
 
 @register(
