@@ -284,10 +284,10 @@ def crawl_products(answers: DataFrame) -> DataFrame:
 
 
 def halved(text: str) -> list[str]:
-    """SCA-40 on one text: as the column function ``halves``."""
+    """SCA-40 on one text: cut at the first white space from its middle on, or in the middle if there is none; a text of one character stays whole."""
     middle = len(text) // 2
-    at = next((i for i in range(middle, len(text)) if text[i].isspace()), None)
-    return [text] if at is None else [text[:at].strip(), text[at:].strip()]
+    at = next((i for i in range(middle, len(text)) if text[i].isspace()), middle)
+    return [p for p in (text[:at].strip(), text[at:].strip()) if p] or [text]
 
 
 def extract_by_halves(requests: DataFrame, client: Client, most: int = 2) -> DataFrame:
