@@ -57,7 +57,9 @@ def history(observations: DataFrame) -> DataFrame:
     exactly if no stronger one was seen before, which one running minimum tells; runs are never replayed. Intervals
     that only repeat value and source are joined. A cell's runs are one window.
     """
-    each = settled(observations, "product_id", "field", "run")
+    # a cell's observations come together once, and its runs are settled and put in turn where they are
+    placed = observations.select("product_id", "field", "value", "provenance", "run").repartition("product_id", "field")
+    each = settled(placed, "product_id", "field", "run")
     in_turn = Window.partitionBy("product_id", "field").orderBy("run")
     applied = each.withColumn("least", F.min("strength").over(in_turn.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("strength = least")
     before = F.lag(F.struct("value", "provenance")).over(in_turn)
