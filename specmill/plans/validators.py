@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import validators as V
@@ -56,7 +56,7 @@ def inherited_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that inherit from the line before them: in some orders from none that exists, in some in a ring."""
     lines = A.lines(spark, sf_dir)
     ln, size = F.col("line_no").cast("long"), F.element_at("attributes", "size")
-    lines = lines.join(lines.groupBy("tender_id").agg(F.count("*").alias("n")), "tender_id")
+    lines = lines.withColumn("n", F.count("*").over(Window.partitionBy("tender_id")))
     up = F.when((ln == 1) & (F.col("tender_id") % 50 == 0), F.col("line_id") - 1 + F.col("n")).when((ln == 2) & (F.col("tender_id") % 41 == 0), F.lit(-1)).when((ln > 1) & ((F.col("tender_id") + ln) % 5 != 0), F.col("line_id") - 1)
     bag = F.create_map(F.lit("brand"), F.when(ln % 2 == 0, F.element_at("attributes", "brand")), F.lit("size"), F.when(ln % 3 != 2, size), F.lit("letter"), F.when(ln == 1, F.element_at("attributes", "insulation_class")))
     done = V.inherited(Steps(spark, "inherited"), lines.select("line_id", up.alias("inherit_from"), bag.alias("attributes")))
