@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.attrs import canonicalize, normalize_units, replace_values, split_accessories
 from ..sources import models
@@ -67,7 +69,7 @@ def ask_in_waves(chunks: DataFrame, client: models.Client, parallelism: int = 4,
 
     Chunks of a document are asked in waves of ``parallelism`` and settled in their order. A fatal failure, or ``limit`` failures in a row, stops
     the document: what follows is not asked, or dropped if its wave was, and stands as ``stopped``. Documents do not affect each other.
-    A task holds the chunks of one document, of which ``chunk_documents`` keeps a bounded number.
+    Documents follow each other in a task, which holds the chunks of one wave; its threads serve all of them.
     """
 
     def one(chunk: str) -> tuple[str | None, bool, str | None]:
@@ -77,24 +79,39 @@ def ask_in_waves(chunks: DataFrame, client: models.Client, parallelism: int = 4,
         except Exception as e:  # a failed call is the outcome of its chunk
             return None, False, f"{type(e).__name__}: {e}"[:300]
 
-    def document(frame: pd.DataFrame) -> pd.DataFrame:
-        asked = frame.sort_values("chunk_no")
-        rows, streak, stopped = [], 0, False
+    def settle(pool: ThreadPoolExecutor, wave: list[tuple], state: list) -> list[tuple]:
+        """Outcomes of a wave; ``state``: failures in a row, and whether the document is stopped."""
+        said = [(None, False, None)] * len(wave) if state[1] else map(one, [wave[0][3]]) if len(wave) == 1 else pool.map(one, [w[3] for w in wave])
+        rows = []
+        for (doc_id, chunk_no, key, _), (response, truncated, error) in zip(wave, said, strict=True):
+            if state[1]:
+                rows.append((doc_id, chunk_no, key, None, False, None, "stopped"))
+                continue
+            rows.append((doc_id, chunk_no, key, response, truncated, error, "failed" if error else "incomplete" if truncated else "ok"))
+            state[0] = state[0] + 1 if error else 0
+            state[1] = state[0] >= limit or bool(error and re.search(FATAL, error))
+        return rows
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wave, state, doc = [], [0, False], None
         with ThreadPoolExecutor(parallelism) as pool:
-            for start in range(0, len(asked), parallelism):
-                wave = asked.iloc[start : start + parallelism]
-                said = [(None, False, None)] * len(wave) if stopped else pool.map(one, wave["chunk"])
-                for (doc_id, chunk_no, key), (response, truncated, error) in zip(wave[["doc_id", "chunk_no", "prompt_key"]].itertuples(index=False), said, strict=True):
-                    if stopped:
-                        rows.append((doc_id, chunk_no, key, None, False, None, "stopped"))
-                        continue
-                    rows.append((doc_id, chunk_no, key, response, truncated, error, "failed" if error else "incomplete" if truncated else "ok"))
-                    streak = streak + 1 if error else 0
-                    stopped = streak >= limit or bool(error and re.search(FATAL, error))
-        return pd.DataFrame(rows, columns=["doc_id", "chunk_no", "prompt_key", "response", "truncated", "error", "status"])
-
-    keyed = chunks.select("doc_id", "chunk_no", "chunk", F.sha2("chunk", 256).alias("prompt_key"))
-    return keyed.groupBy("doc_id").applyInPandas(document, OUTCOME)
+            for batch in batches:
+                rows = []
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if wave and (row[0] != doc or len(wave) == parallelism):
+                        rows += settle(pool, wave, state)
+                        wave = []
+                    if row[0] != doc:
+                        doc, state = row[0], [0, False]
+                    wave.append(row)
+                yield outcomes(rows)
+            yield outcomes(settle(pool, wave, state) if wave else [])
+
+    keyed = chunks.select("doc_id", "chunk_no", F.sha2("chunk", 256).alias("prompt_key"), "chunk")
+    schema = StructType.fromDDL(OUTCOME)
+    arrow = to_arrow_schema(schema)
+    outcomes = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)], schema=arrow)
+    return keyed.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_no").mapInArrow(documents, schema)
 
 
 def upload_status(docs: DataFrame, chunks: DataFrame, outcomes: DataFrame) -> DataFrame:

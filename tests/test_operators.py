@@ -296,3 +296,18 @@ def test_an_upload_tells_whether_it_was_cut(spark):
     maps = flows.class_maps(spark.createDataFrame([("c", "volts", None)], "class_id string, name string, canonical_unit string"))
     got = {r.capped for r in flows.upload(docs, answers.dropDuplicates(["prompt_key"]), classes, maps, 5).collect()}
     assert got == {True, False}
+
+
+def test_documents_of_one_task_are_asked_apart(spark):
+    """Waves and failures in a row are a document's own, also where many documents follow each other in one task."""
+    chunks = spark.range(500).select("id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("n")).select(F.col("id").alias("doc_id"), F.col("n").cast("int").alias("chunk_no"), F.when((F.col("id") % 2 == 0) & (F.col("n") < 3), "bad").otherwise("ok").alias("chunk"))
+
+    def client(task, chunk):
+        if chunk == "bad":
+            raise RuntimeError("no answer")
+        return "{}", False
+
+    plan = flows.ask_in_waves(chunks.coalesce(1), client, 2)
+    assert "FlatMapGroupsIn" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    got = plan.groupBy(F.col("doc_id") % 2, "status").count().collect()
+    assert sorted(tuple(r) for r in got) == [(0, "failed", 750), (0, "stopped", 500), (1, "ok", 1250 + 0)]
