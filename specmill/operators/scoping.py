@@ -15,7 +15,7 @@ from .retrieval import tokens
 
 #: Whole parts of 1 that components are rounded to: sums and products stay exact.
 GRID = 1 << 20
-#: Aliases, and numbers of centroids, that are sent to every task at once; more go in several passes.
+#: Aliases, and numbers of centroids, that are sent to every task at once; more aliases are joined, more numbers go in several passes.
 MOST_ALIASES, MOST_NUMBERS = 100_000, 4_000_000
 
 
@@ -103,24 +103,38 @@ def _longest(batches: Iterator[pa.RecordBatch], words: tuple[str, ...]) -> Itera
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(found, pa.string()), pa.array(starts, pa.int64())], ["id", "alias", "start"])
 
 
+def _looked_up(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``alias_lookup`` by a join of runs of tokens with the table of aliases. An id is one text."""
+    sizes = known.select((F.size(F.split("alias", " ")) - 2).alias("size")).distinct().agg(F.collect_set("size").alias("sizes"))
+    said = rows.select("id", tokens(F.col("text")).alias("w")).where("size(w) > 0").crossJoin(F.broadcast(sizes))
+    starts = said.select("id", "w", F.explode(F.filter("sizes", lambda n: n <= F.size("w"))).alias("size"))
+    runs = starts.select("id", "w", "size", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1)).alias("at"))
+    runs = runs.select("id", "at", F.concat(F.lit(" "), F.array_join(F.slice("w", F.col("at"), F.col("size")), " "), F.lit(" ")).alias("alias"))
+    hits = runs.join(known.hint("merge"), "alias")
+    best = F.min(F.struct((-F.length("alias")).alias("minus"), "at", "alias", "target", "n_targets")).alias("b")
+    first = hits.groupBy("id").agg(best).select("id", "b.alias", "b.target", "b.n_targets")
+    # an alias begins where it is first found, since both stand between blanks
+    placed = rows.select("id", spoken(F.col("text")).alias("text")).join(first.hint("merge"), "id")
+    start = (F.expr("locate(alias, text)") - 1).cast("long")
+    return placed.select("id", F.trim("alias").alias("alias"), start.alias("start"), "target", "n_targets").where("start >= 0")
+
+
 def alias_lookup(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """(id, alias, start, target, n_targets) of rows (id, text) that hold an alias of (alias, target) as whole tokens: the longest, the first of these, and its smallest target.
 
-    One automaton over all aliases reads a text once, whatever their number; it is built once a worker, from at most MOST_ALIASES aliases, and more of
-    them take several passes. n_targets above 1 tells of an alias that is claimed twice.
+    Up to MOST_ALIASES aliases are one automaton, which is built once a worker and reads a text once. More are a table: the runs of tokens of a text that are as long as some alias
+    are joined with it, so that no alias goes through the driver and the work grows with the texts and the distinct lengths of aliases. n_targets above 1 tells of an alias that is claimed twice.
     """
     known = aliases.select(spoken(F.col("alias")).alias("alias"), "target").where("length(alias) > 2")
     known = known.groupBy("alias").agg(F.min("target").alias("target"), F.countDistinct("target").alias("n_targets"))
-    parts = max(1, -(-known.count() // MOST_ALIASES))
-    numbered = known.select("alias", (F.pmod(F.xxhash64("alias"), F.lit(parts))).alias("part"))
     kind = rows.schema["id"].dataType.simpleString()
-    said = rows.select("id", spoken(F.col("text")).alias("text"))
+    words = tuple(sorted(r.alias for r in known.select("alias").limit(MOST_ALIASES + 1).collect()))
+    if len(words) > MOST_ALIASES:
+        return _looked_up(rows, known)
     found = None
-    for part in range(parts):
-        words = tuple(sorted(r.alias for r in numbered.where(F.col("part") == part).collect()))
-        if words:
-            hits = said.mapInArrow(lambda it, w=words: _longest(it, w), f"id {kind}, alias string, start long")
-            found = hits if found is None else found.unionByName(hits)
+    if words:
+        said = rows.select("id", spoken(F.col("text")).alias("text"))
+        found = said.mapInArrow(lambda it: _longest(it, words), f"id {kind}, alias string, start long")
     if found is None:
         return rows.select("id", F.lit(None).cast("string").alias("alias"), F.lit(0).cast("long").alias("start")).where("false").join(known, "alias")
     best = F.min(F.struct((-F.length("alias")).alias("minus"), "start", "alias")).alias("b")
