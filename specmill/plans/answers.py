@@ -55,8 +55,10 @@ def verdict_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         price=_pick("p_partkey", "99.5", "101", "on request"), rpm=_pick("p_partkey", "1500.0", "1500", "1501", "fast"), ip=_pick("p_partkey", "true", "false", "True", "TRUE", None), weight=F.lit("3"),
         colour=_pick("p_partkey", "red ", "blue"), insulation_class=_pick("p_partkey", "Class H", "B", "unknown"),
     )
-    offered = F.coalesce(matching.typed_offers(have, rules), F.create_map().cast("map<string,struct<num:double,txt:string>>"))
-    found = A.table(spark, sf_dir, "part").select("p_partkey", matching.verdicts(matching.typed_requirements(need, rules), offered, need, have).alias("v"))
+    offered = F.coalesce(matching.typed_offers(F.col("have"), rules), F.create_map().cast("map<string,struct<num:double,txt:string>>"))
+    # values are read once a row: what is a column of its own is not put into each of its places again
+    read = A.table(spark, sf_dir, "part").select("p_partkey", have.alias("have")).withColumns({"offered": offered, "required": matching.typed_requirements(need, rules)})
+    found = read.select("p_partkey", matching.verdicts(F.col("required"), F.col("offered"), need, F.col("have")).alias("v"))
     named = {"price": "at_most", "rpm": "equal_number", "ip": "equal_bool", "weight": "no_rule", "colour": "equal_text", "insulation_class": "ordered"}
     of = lambda n: F.get(F.filter("v", lambda x: x["attr"] == n), F.lit(0))["verdict"]
     return found.select("p_partkey", *(of(n).alias(c) for n, c in named.items()))
