@@ -105,7 +105,7 @@ def _judged(specs: DataFrame, products: DataFrame, keys: DataFrame, unverifiable
     if unverifiable:  # products that lack what the look-up is by
         path = path.unionByName(path.where(F.col("kind") != ALL).select("spec", "class_id", "attr", F.lit(MISSING).alias("kind"), F.lit("").alias("key")).distinct())
     met = path.join(keys, ["class_id", "attr", "kind", "key"]).select("spec", "class_id", "product_id")
-    met = met.join(products.select("product_id", "has"), "product_id").join(specs.select("spec", "class_id", "active"), ["spec", "class_id"])
+    met = met.join(products.select("product_id", "has").hint("merge"), "product_id").join(specs.select("spec", "class_id", "active"), ["spec", "class_id"])
     verdicts = F.transform("active", lambda n: holds(n, F.element_at("has", n["attr"])))
     open_ = F.size(F.filter("v", lambda v: v.isNull()))
     fits = met.select("spec", "product_id", verdicts.alias("v")).where(~F.exists("v", lambda v: F.coalesce(~v, F.lit(False)))).select("spec", "product_id", (open_ == 0).alias("sure"))
