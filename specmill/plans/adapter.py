@@ -59,8 +59,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines of all orders: the first asks for a name, the second for a part number, the others by specification."""
     item, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    rows = item.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity").withColumn("ln", F.row_number().over(order))
-    rows = rows.join(part.hint("merge"), rows.l_partkey == part.p_partkey)  # a compressed table is much larger on the driver than its file
+    rows = item.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
+    # a compressed table is much larger on the driver than its file; numbered last, lines stay with their tender, whose scope they meet next
+    rows = rows.join(part.select("p_partkey", "p_name", "p_brand", "p_type").hint("merge"), rows.l_partkey == part.p_partkey, "left")
+    rows = rows.withColumn("ln", F.row_number().over(order)).where("p_partkey is not null")
     mpn = F.concat("p_brand", F.lit("-"), F.col("p_partkey").cast("string"))
     letter = F.element_at(F.array(*map(F.lit, "abfhn")), (F.col("p_partkey") % 5 + 1).cast("int"))
     return rows.select(
