@@ -10,8 +10,9 @@ from . import adapter as A
 from .registry import register
 
 
-def matched(spark: SparkSession, sf_dir: str, spelled: bool = False) -> DataFrame:
-    return M.match_lines(A.lines(spark, sf_dir), A.scope(spark, sf_dir), A.products(spark, sf_dir), A.definitions(spark, sf_dir), spelled)
+def matched(spark: SparkSession, sf_dir: str, spelled: bool = False, lines: DataFrame | None = None, **more) -> DataFrame:
+    lines = A.lines(spark, sf_dir) if lines is None else lines
+    return M.match_lines(lines, A.scope(spark, sf_dir), A.products(spark, sf_dir), A.definitions(spark, sf_dir), spelled, **more)
 
 
 @register("match_lines", f"{A.ALL} select line_id, product_id, match_type, score::int as score, case when score = 100 then 'matched' when score >= 40 then 'partial' else 'not_found' end as status from match_v")
