@@ -156,19 +156,28 @@ def class_definitions(answers: DataFrame) -> DataFrame:
     return good.withColumn("match_op", F.when(F.col("match_op").isin(*MATCH_OPS), F.col("match_op")).otherwise("eq"))
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` by ``keys`` in as many tasks as the session names. Names repeat and compress to little, so that a shuffle of them looks small and would be put into few tasks, which hold them unpacked.
+
+    For the same reason what is known of all classes is not broadcast: its file says little of its size.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def attribute_labels(answers: DataFrame, requested: DataFrame) -> DataFrame:
     """FN-8: labels and comparisons of requested names only."""
     schema = "attributes array<struct<name:string,label:string,match_op:string>>"
     each = answers.where("error is null").select("class_id", F.explode(F.from_json("response", schema)["attributes"]).alias("d")).select("class_id", "d.*")
-    return each.join(requested.select("class_id", "name"), ["class_id", "name"], "left_semi").withColumn("match_op", F.when(F.col("match_op").isin(*MATCH_OPS), F.col("match_op")).otherwise("eq"))
+    known = _spread(requested.select("class_id", "name"), "class_id", "name").hint("merge")
+    return _spread(each, "class_id", "name").join(known, ["class_id", "name"], "left_semi").withColumn("match_op", F.when(F.col("match_op").isin(*MATCH_OPS), F.col("match_op")).otherwise("eq"))
 
 
 def duplicate_groups(answers: DataFrame, known: DataFrame) -> DataFrame:
     """FN-9: groups of known keys: a known canonical one and at least one known alias."""
     schema = "groups array<struct<canonical:string,aliases:array<string>,value_map:map<string,string>>>"
     each = answers.where("error is null").select("class_id", F.explode(F.from_json("response", schema)["groups"]).alias("g")).select("class_id", "g.*")
-    names = known.groupBy("class_id").agg(F.collect_set("name").alias("names"))
-    kept = each.join(names, "class_id").where(F.array_contains("names", F.col("canonical")))
+    names = _spread(known.select("class_id", "name"), "class_id").groupBy("class_id").agg(F.collect_set("name").alias("names"))
+    kept = _spread(each.where("canonical is not null and size(aliases) > 0"), "class_id").join(names.hint("merge"), "class_id").where(F.array_contains("names", F.col("canonical")))
     return kept.withColumn("aliases", F.array_remove(F.array_intersect("aliases", "names"), F.col("canonical"))).where(F.size("aliases") > 0).drop("names")
 
 
@@ -177,8 +186,11 @@ def value_synonyms(answers: DataFrame, values: DataFrame) -> DataFrame:
     schema = "synonyms array<struct<spec:string,variant:string,canonical:string>>"
     each = answers.where("error is null").select("class_id", F.explode(F.from_json("response", schema)["synonyms"]).alias("s")).select("class_id", "s.*")
     seen = values.select("class_id", F.col("key").alias("spec"), "value").distinct()
-    one = each.join(seen.withColumnRenamed("value", "variant"), ["class_id", "spec", "variant"], "left_semi")
-    return one.join(seen.withColumnRenamed("value", "canonical"), ["class_id", "spec", "canonical"], "left_semi").where("variant <> canonical")
+    each = each.where("variant <> canonical")
+    for end in ("variant", "canonical"):
+        keys = ["class_id", "spec", end]
+        each = _spread(each, *keys).join(_spread(seen.withColumnRenamed("value", end), *keys).hint("merge"), keys, "left_semi")
+    return each.select("class_id", "spec", "canonical", "variant")
 
 
 def acceptance(answers: DataFrame) -> DataFrame:
