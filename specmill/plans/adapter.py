@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.matching import Scope, scope_of
+from ..sources.scratch import Steps
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +47,7 @@ def buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scope(spark: SparkSession, sf_dir: str) -> Scope:
     """Suppliers of the customer's nation: tenders and suppliers have their nation, and no tender is written out with each of its suppliers."""
-    return scope_of(buyers(spark, sf_dir), suppliers(spark, sf_dir).select(F.col("s_nationkey").alias("g"), "supplier_id"))
+    return scope_of(buyers(spark, sf_dir), suppliers(spark, sf_dir).select(F.col("s_nationkey").alias("g"), "supplier_id"), Steps(spark, "scope"))
 
 
 def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,24 +56,29 @@ def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_type").alias("class_id")).distinct().select("class_id", each.alias("d")).select("class_id", "d.*")
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lines of all orders: the first asks for a name, the second for a part number, the others by specification."""
+def lines(spark: SparkSession, sf_dir: str, scope: Scope | None = None) -> DataFrame:
+    """All lines of all orders: the first asks for a name, the second for a part number, the others by specification. With ``scope`` they bring their scope_id along, which they
+    meet where they lie by tender to be numbered."""
     item, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
     rows = item.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
-    # a compressed table is much larger on the driver than its file; numbered last, lines stay with their tender, whose scope they meet next
-    rows = rows.join(part.select("p_partkey", "p_name", "p_brand", "p_type").hint("merge"), rows.l_partkey == part.p_partkey, "left")
-    rows = rows.withColumn("ln", F.row_number().over(order)).where("p_partkey is not null")
+    rows = rows.withColumn("ln", F.row_number().over(order)).select(F.col("l_orderkey").alias("tender_id"), "ln", "l_partkey", "l_quantity")
+    own = []
+    if scope is not None:
+        rows, own = rows.join(scope.tenders.hint("merge"), "tender_id", "left"), ["scope_id"]
+    # a compressed table is much larger on the driver than its file; numbered first, lines meet their part with few and short columns
+    rows = rows.join(part.select("p_partkey", "p_name", "p_brand", "p_type").hint("merge"), rows.l_partkey == part.p_partkey)
     mpn = F.concat("p_brand", F.lit("-"), F.col("p_partkey").cast("string"))
     letter = F.element_at(F.array(*map(F.lit, "abfhn")), (F.col("p_partkey") % 5 + 1).cast("int"))
     return rows.select(
-        (F.col("l_orderkey") * 1000 + F.col("ln")).alias("line_id"),
-        F.col("l_orderkey").alias("tender_id"),
+        (F.col("tender_id") * 1000 + F.col("ln")).alias("line_id"),
+        "tender_id",
         F.col("ln").cast("string").alias("line_no"),
         F.when(F.col("ln") == 1, F.col("p_name")).when(F.col("ln") == 2, mpn).otherwise(F.concat(F.lit("spec "), F.col("l_partkey").cast("string"))).alias("description"),
         F.col("l_quantity").alias("qty"),
         F.when(F.col("l_partkey") % 17 != 0, F.col("p_type")).alias("class_id"),
         F.create_map(F.lit("size"), F.col("l_quantity").cast("string"), F.lit("brand"), F.col("p_brand"), F.lit("insulation_class"), letter).alias("attributes"),
+        *own,
     )
 
 

@@ -10,14 +10,15 @@ from . import adapter as A
 from .registry import register
 
 
-def matched(spark: SparkSession, sf_dir: str, spelled: bool = False, lines: DataFrame | None = None, **more) -> DataFrame:
-    lines = A.lines(spark, sf_dir) if lines is None else lines
-    return M.match_lines(lines, A.scope(spark, sf_dir), A.products(spark, sf_dir), A.definitions(spark, sf_dir), spelled, **more)
+def matched(spark: SparkSession, sf_dir: str, spelled: bool = False, lines: DataFrame | None = None, scope: M.Scope | None = None, **more) -> DataFrame:
+    scope = A.scope(spark, sf_dir) if scope is None else scope
+    lines = A.lines(spark, sf_dir, scope) if lines is None else lines
+    return M.match_lines(lines, scope, A.products(spark, sf_dir), A.definitions(spark, sf_dir), spelled, **more)
 
 
 @register("match_lines", f"{A.ALL} select line_id, product_id, match_type, score::int as score, case when score = 100 then 'matched' when score >= 40 then 'partial' else 'not_found' end as status from match_v")
 def match_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matched(spark, sf_dir).select("line_id", "product_id", "match_type", "score", "status")
+    return matched(spark, sf_dir, most=0).select("line_id", "product_id", "match_type", "score", "status")
 
 
 @register("exact_match_name_mpn", f"with {A.PRODUCTS}, {A.SCOPE}, {A.LINES}, {A.EXACT} select line_id, product_id from exact_v")
@@ -53,5 +54,6 @@ def attribute_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     select line_id, place::int as place, product_id, name, mpn, score::int as score, price, 'JOD' as currency from r where place <= 10""",
 )
 def line_search_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = A.lines(spark, sf_dir).where("class_id is not null")
-    return M.line_search(lines, "red", A.scope(spark, sf_dir), A.products(spark, sf_dir), A.definitions(spark, sf_dir), A.prices(spark, sf_dir))
+    scope = A.scope(spark, sf_dir)
+    lines = A.lines(spark, sf_dir, scope).where("class_id is not null")
+    return M.line_search(lines, "red", scope, A.products(spark, sf_dir), A.definitions(spark, sf_dir), A.prices(spark, sf_dir))
