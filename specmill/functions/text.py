@@ -155,13 +155,15 @@ def document_kind(media_type: Column, url: Column) -> Column:
         "application/pdf": "PDF", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "DOCX", "application/msword": "DOC", "application/rtf": "RTF", "text/rtf": "RTF",
         "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "XLSX", "application/vnd.ms-excel": "XLS", "text/plain": "TXT", "text/html": "HTML", "application/xhtml+xml": "HTML",
     }
+    by_type = F.try_element_at(F.create_map(*(F.lit(v) for pair in known.items() for v in pair)), kind)
+    return F.coalesce(by_type, kind_by_ending(url))
+
+
+def kind_by_ending(url: Column) -> Column:
+    """SRC-4: format of a document by the ending of its address."""
+    known = {k: "HTML" if k == "htm" else k.upper() for k in ("pdf", "docx", "doc", "rtf", "xlsx", "xls", "txt", "html", "htm")}
     ending = F.lower(F.regexp_extract(url, r"\.([A-Za-z0-9]+)(?:[?#].*)?$", 1))
-    by_type, by_ending = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for k, v in known.items():
-        by_type = F.when(kind == k, v).otherwise(by_type)
-    for k in ("pdf", "docx", "doc", "rtf", "xlsx", "xls", "txt", "html", "htm"):
-        by_ending = F.when(ending == k, "HTML" if k == "htm" else k.upper()).otherwise(by_ending)
-    return F.coalesce(by_type, by_ending)
+    return F.try_element_at(F.create_map(*(F.lit(v) for pair in known.items() for v in pair)), ending)
 
 
 def magic_kind(content: Column) -> Column:
@@ -172,7 +174,12 @@ def magic_kind(content: Column) -> Column:
 
 def agreed_kind(media_type: Column, url: Column, content: Column) -> Column:
     """SRC-3: the format on which declared type, address and first bytes agree, else TYPE_MISMATCH."""
-    kind = document_kind(media_type, url)
-    other = document_kind(F.lit(None).cast("string"), url)
-    family = F.when(kind.isin("DOCX", "XLSX"), "ZIP").when(kind.isin("DOC", "XLS"), "OLE").when(kind.isin("TXT", "HTML"), "TEXT").otherwise(kind)
-    return F.when(kind.isNull(), "UNKNOWN").when((other.isNotNull() & (other != kind)) | (family != magic_kind(content)), "TYPE_MISMATCH").otherwise(kind)
+    told = F.struct(document_kind(media_type, url).alias("kind"), kind_by_ending(url).alias("other"), magic_kind(content).alias("magic"))
+
+    def agreed(t: Column) -> Column:
+        kind, other = t["kind"], t["other"]
+        family = F.when(kind.isin("DOCX", "XLSX"), "ZIP").when(kind.isin("DOC", "XLS"), "OLE").when(kind.isin("TXT", "HTML"), "TEXT").otherwise(kind)
+        return F.when(kind.isNull(), "UNKNOWN").when((other.isNotNull() & (other != kind)) | (family != t["magic"]), "TYPE_MISMATCH").otherwise(kind)
+
+    # the variable of a lambda is computed once; a column would be written out at each of its mentions
+    return F.get(F.transform(F.array(told), agreed), F.lit(0))

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,7 +86,8 @@ def pdf(title: str, lines: list[str]) -> bytes:
 
 
 def _parts(rows: DataFrame, most: int) -> DataFrame:
-    """Rows of each file as an ordered array, at most ``most`` of them."""
+    """Rows of each file as an ordered array, at most ``most`` of them. Files cost far more time than bytes, so that their tasks are not put together by size."""
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tender_id")
     place = F.row_number().over(Window.partitionBy("tender_id").orderBy("line_id")) - 1
     row = F.struct("line_id", *(c for c in rows.columns if c not in ("tender_id", "line_id")))
     return rows.withColumn("part", F.floor(place / most).cast("int")).groupBy("tender_id", "part").agg(F.array_sort(F.collect_list(row)).alias("rows"))
@@ -104,9 +106,10 @@ def xlsx_files(rows: DataFrame, most: int = MOST_ROWS) -> DataFrame:
 def pdf_files(lines: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     """SNK-3: the same of (tender_id, line_id, value), the lines of ``text_report``."""
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            made = [pdf(f"Matching report #{t}", [r["value"] for r in rows]) for t, rows in zip(f["tender_id"], f["rows"], strict=True)]
-            yield pd.DataFrame({"tender_id": f["tender_id"], "part": f["part"], "content": made})
+    def batches(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in files:
+            made = [pdf(f"Matching report #{t}", values) for t, values in zip(f["tender_id"].to_pylist(), f["values"].to_pylist(), strict=True)]
+            yield pa.record_batch({"tender_id": f["tender_id"], "part": f["part"], "content": pa.array(made, pa.binary())})
 
-    return _parts(lines, most).mapInPandas(batches, SCHEMA)
+    values = F.transform("rows", lambda r: r["value"])
+    return _parts(lines, most).select("tender_id", "part", values.alias("values")).mapInArrow(batches, SCHEMA)

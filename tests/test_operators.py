@@ -311,3 +311,12 @@ def test_documents_of_one_task_are_asked_apart(spark):
     assert "FlatMapGroupsIn" not in plan._jdf.queryExecution().optimizedPlan().toString()
     got = plan.groupBy(F.col("doc_id") % 2, "status").count().collect()
     assert sorted(tuple(r) for r in got) == [(0, "failed", 750), (0, "stopped", 500), (1, "ok", 1250 + 0)]
+
+
+def test_files_of_reports_stay_in_many_tasks(spark):
+    """Files cost time rather than bytes: small ones are not put together in one task, and their kind is told once a file."""
+    files = reports.pdf_files(spark.range(40).select("id", F.col("id").alias("tender_id"), F.col("id").alias("line_id"), F.lit("a").alias("value")))
+    assert files.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kinds = documents.fragments(files.select(F.concat("tender_id", F.lit(".pdf")).alias("path"), F.lit(None).cast("string").alias("media_type"), "content"))
+    assert kinds._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 2
+    assert {(r.kind, r.error) for r in kinds.collect()} == {("PDF", None)}
